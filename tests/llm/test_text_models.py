@@ -1,0 +1,145 @@
+import random
+
+import numpy as np
+import pytest
+
+from quern.llm import gam_quality, pii, ppm_langid, sentencepiece_bpe
+
+MIXED = ["", " ", "Hello  world\n x", "日本語 🎉 ok", "\t\t\ta b", "x\x00y", "é ﬁ ①", "a" * 700 + " b" * 300, "né en été " * 40, "   lead", "trail   "]
+
+
+def _arrow(rows):
+    raw = [t.encode() for t in rows]
+    return np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)])
+
+
+def test_bpe_matches_library_and_round_trips():
+    import sentencepiece
+
+    lib = sentencepiece.SentencePieceProcessor(model_file=sentencepiece_bpe.MODEL)
+    bpe = sentencepiece_bpe.Bpe()
+    rng = random.Random(5)
+    texts = MIXED + ["".join(rng.choice("abcdehinot  .,\nàé語🎉") for _ in range(rng.randrange(400))) for _ in range(60)]
+    buf, off = _arrow(texts)
+    ids, bounds = bpe.encode(buf, off)
+    got = [ids[a:b].tolist() for a, b in zip(bounds, bounds[1:])]
+    assert got == [lib.encode(t) for t in texts]
+    out, ends = bpe.decode(ids, bounds)
+    assert [out[a:b].tobytes().decode() for a, b in zip(ends, ends[1:])] == texts
+
+
+def test_bpe_null_and_empty(spark):
+    df = spark.createDataFrame([(1, None, "x"), (2, "", "x"), (3, "hi there", "x"), (3, "hi there", "x")], "doc_id long, text string, token_ids string")
+    rows = sentencepiece_bpe.encode_and_decode(df).orderBy("doc_id").collect()
+    assert [(r.n_tokens, r.decoded) for r in rows[:2]] == [(None, None), (0, "")]
+    assert rows[2] == rows[3] and rows[2].decoded == "hi there"
+    assert sentencepiece_bpe.encode_and_decode(df.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize(
+    "text, kind, source",
+    [
+        ("mail jo.doe@mail1.example.com now", "EMAIL", "jo.doe@mail1.example.com"),
+        ("mail jo [at] example (dot) com now", "EMAIL", "jo [at] example (dot) com"),
+        ("mail jo at example dot com now", "EMAIL", "jo at example dot com"),
+        ("mail jо@exаmple.com now", "EMAIL", "jо@exаmple.com"),
+        ("é ｊｏ＠ｘｙ．ｃｏｍ é", "EMAIL", "ｊｏ＠ｘｙ．ｃｏｍ"),
+        ("call +1 (773) 555-3104 ok", "PHONE", "+1 (773) 555-3104"),
+        ("call five five five one two three four now", "PHONE", "five five five one two three four"),
+        ("ip 41.240.15.231 ok", "IP", "41.240.15.231"),
+        ("card 4885434926535868 ok", "CARD", "4885434926535868"),
+        ("card ４８８５４３４９２６５３５８６８ ok", "CARD", "４８８５４３４９２６５３５８６８"),
+        ("x password=ede9f655e2966022ec y", "SECRET", "ede9f655e2966022ec"),
+        ('x token = "be8a8e7152a5c568b612" y', "SECRET", "be8a8e7152a5c568b612"),
+        ("jo​hn@exam​ple.com", "EMAIL", "jo​hn@exam​ple.com"),
+    ],
+)
+def test_pii_maps_back_to_source(text, kind, source):
+    spans = pii.find(text)
+    assert [(text[a:b], k) for a, b, k in spans] == [(source, kind)]
+    assert pii.redact(text, spans) == text.replace(source, f"<{kind}>")
+
+
+@pytest.mark.parametrize("text", ["", "That was at home dot. He ate two or three.", "Version 1.2.3 from 2024-01-02 at 10:30", "one two three", "Pi is 3.14159265358979323846", "see us at place.com", "order 12345678"])
+def test_pii_leaves_clean_text(text):
+    assert pii.find(text) == []
+
+
+def test_pii_rows(spark):
+    df = spark.createDataFrame([(1, None, 3), (2, "", 0), (3, "a jo@ex.com b", 13)], "doc_id long, text string, n_chars long")
+    rows = {r.doc_id: r for r in pii.deobfuscate(df).collect()}
+    assert rows[1].redacted is None and rows[1].spans == [] and rows[2].redacted == ""
+    assert rows[3].redacted == "a <EMAIL> b" and tuple(rows[3].spans[0]) == (2, 11, "EMAIL")
+    kept = {r.doc_id: r for r in pii.redacted(df).collect()}
+    assert kept[3].n_chars == len("a <EMAIL> b") and kept[1].text is None
+
+
+def _ppm_brute(sample, order, lang, data):
+    """Code length by walking counts in dictionaries."""
+    counts = {}
+    for x, t in sample:
+        if x == lang:
+            b = t.encode()
+            for i in range(len(b)):
+                for k in range(min(i, order) + 1):
+                    c = counts.setdefault(b[i - k : i], {})
+                    c[b[i]] = c.get(b[i], 0) + 1
+    total = 0
+    unit = ppm_langid.UNIT
+    for i, s in enumerate(data):
+        for k in range(min(i, order), -1, -1):
+            c = counts.get(data[i - k : i])
+            if c is None:
+                continue
+            n, d = sum(c.values()), len(c)
+            if s in c:
+                total += round(float(np.log2((n + d) / c[s]) * unit))
+                break
+            total += round(float(np.log2((n + d) / d) * unit))
+        else:
+            total += 8 * unit
+    return total
+
+
+def test_ppm_equals_brute_force():
+    sample = [("a", "the cat sat on the mat"), ("a", "the hat"), ("b", "le chat est là"), ("b", "")]
+    model = ppm_langid.PpmModel([s for s in sample if s[1]], 3)
+    texts = ["the chat", "", "zzz", "là", "x"]
+    got = model.score(*_arrow(texts))
+    assert got.tolist() == [[_ppm_brute(sample, 3, lang, t.encode()) for lang in ("a", "b")] for t in texts]
+
+
+def test_language_rows_and_accuracy(spark):
+    df = spark.createDataFrame([(1, None, "en"), (2, "", "en"), (3, "the cat of the house", "en"), (4, "le chat de la maison", "fr"), (5, "the house of the cat", None)], "doc_id long, text string, lang string")
+    model = ppm_langid.PpmModel(ppm_langid.training_sample(df))
+    got = {r.doc_id: r.ppm_lang for r in ppm_langid.identify(df, model).collect()}
+    assert got == {1: None, 2: None, 3: "en", 4: "fr", 5: "en"}
+    none = ppm_langid.identify(df, ppm_langid.PpmModel([])).collect()
+    assert all(r.ppm_lang is None for r in none)
+
+
+def test_language_held_out(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").where("n_chars > 40")
+    train = docs.where("doc_id % 2 = 0")
+    got = ppm_langid.identify(docs.where("doc_id % 2 = 1"), ppm_langid.PpmModel(ppm_langid.training_sample(train))).join(docs.select("doc_id", "lang"), "doc_id")
+    assert got.where("lang = ppm_lang").count() >= 0.95 * got.count()
+
+
+def test_quality_features_by_hand():
+    x = gam_quality.features(*_arrow(["Ab ab ab!\nCd 12", "", "x"]))
+    f = dict(zip(gam_quality.FEATURES, x[0]))
+    assert f["word_len"] == 2 and f["distinct"] == 4 / 5 and f["repeat"] == 1 / 5 and f["top_word"] == 2 / 5
+    assert f["capital"] == 2 / 5 and f["symbol"] == 1 / 15 and f["digit"] == 2 / 15 and f["newline"] == 1 / 5
+    assert not x[1].any()
+
+
+def test_quality_held_out_and_edges(spark, sf_dir):
+    docs, labels = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "labels"))
+    model = gam_quality.train(docs, labels.where("doc_id % 2 = 0"))
+    got = gam_quality.score(docs, model).join(labels.where("doc_id % 2 = 1"), "doc_id").toPandas()
+    assert (got.keep == (got.quality == 1)).mean() > 0.95
+    odd = spark.createDataFrame([(1, None, True), (2, "", None)], "doc_id long, text string, keep boolean")
+    assert gam_quality.score(odd, model).count() == 2
+    assert gam_quality.kept(odd, gam_quality.train(odd, labels.limit(0))).count() == 2
+    rows = gam_quality.score(docs, model).where("keep").select("doc_id").collect()
+    assert {r.doc_id for r in gam_quality.kept(docs, model).collect()} == {r.doc_id for r in rows}
