@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import gam_quality, pii, ppm_langid, sentencepiece_bpe
+from . import decontamination, gam_quality, pii, ppm_langid, sentencepiece_bpe
 
 QUERIES = {
     "op3_pii": pii.op3_pii,
     "op7_language_id": ppm_langid.op7_language_id,
+    "op8_decontamination": decontamination.op8_decontamination,
     "op9_quality": gam_quality.op9_quality,
     "op10_sentencepiece": sentencepiece_bpe.op10_sentencepiece,
 }
