@@ -1,24 +1,76 @@
-"""The corpus pipeline: stages over `documents`, each keeping or rewriting documents."""
+"""The corpus pipeline: stages over `documents`, each filtering or rewriting what the one before kept.
+
+Every stage but the last returns the columns of documents; the last returns the
+token ids of what is left.  Rows of null id or text pass through the filters.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from quern.llm import decontamination, gam_quality, ngram_join, pii, sentencepiece_bpe
+from quern.llm.common import saved
+from quern.llm.groups import components
+from quern.shipping import ship
 
-from quern.llm import gam_quality
+#: Up to so many ids a filter is sent to all executors; beyond, Spark joins by shuffle.
+BROADCAST_IDS = 1 << 20
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier keeps; the classifier is fitted on labelled documents of `sf_dir`."""
+    """Documents that the quality classifier keeps; it is fitted on labelled rows among docs."""
+    ship(spark)
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     return gam_quality.kept(docs, gam_quality.train(docs, labels))
 
 
-STAGES = [("quality classifier", quality)]
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document, the one of least id, of each group linked by similar n-gram sets; of rows that repeat an id, one."""
+    ship(spark)
+    gone = saved(components(ngram_join.similar(docs).select("doc_a", "doc_b")).select(F.col("node").alias("gone_id")), "gone")
+    few = gone.count() <= BROADCAST_IDS
+    left = docs.join(F.broadcast(gone) if few else gone, docs["doc_id"] == gone["gone_id"], "left_anti")
+    again = docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("times")).where("times > 1 and doc_id is not null").select(F.col("doc_id").alias("again_id"))
+    again = saved(again, "again")
+    if again.isEmpty():
+        return left
+    one = left.join(again, left["doc_id"] == again["again_id"], "left_semi").dropDuplicates(["doc_id"])
+    return left.join(again, left["doc_id"] == again["again_id"], "left_anti").union(one)
+
+
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no benchmark item within its error budget."""
+    ship(spark)
+    return decontamination.clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """docs with identifiers replaced by their kinds."""
+    ship(spark)
+    return pii.redacted(docs)
+
+
+def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """(doc_id, n_tokens, token_ids, decoded) of every document left."""
+    ship(spark)
+    return sentencepiece_bpe.encode_and_decode(docs)
+
+
+STAGES = [
+    ("quality classifier", quality),
+    ("n-gram Jaccard join", near_duplicates),
+    ("benchmark decontamination", decontaminate),
+    ("PII", personal_data),
+    ("SentencePiece", tokens),
+]
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
+    for name, stage in STAGES:
         docs = stage(spark, docs, sf_dir)
+        if name == STAGES[1][0]:
+            docs = saved(docs, "stage")
     return docs
