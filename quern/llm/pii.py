@@ -21,9 +21,13 @@ from __future__ import annotations
 import re
 import unicodedata
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 
+from .common import HashIndex, segment_sum, span_hash, texts, word_bounds
+
 _DIGIT_WORDS = {"zero": "0", "oh": "0", "one": "1", "two": "2", "three": "3", "four": "4", "five": "5", "six": "6", "seven": "7", "eight": "8", "nine": "9"}
 _LOOKS = dict(zip("АВСЕНІЈКМОРЅТХаеорсухіјѕһԁԛԝΑΒΕΖΗΙΚΜΝΟΡΤΥΧοα∙․⋅‐‑‒–—−", "ABCEHIJKMOPSTXaeopcyxijshdqwABEZHIKMNOPTYXoa...------"))
 
@@ -47,10 +51,22 @@ FOLD = _fold_table()
 _TLD = "com|org|net|edu|gov|info|io|co|uk|de|fr|es|it|nl|eu|us|ca|ch|at|be|biz|me|dev|app|example|test"
 _WORDS = "|".join(_DIGIT_WORDS)
 _DOT = "dot|punkt|punto|point"
-_TRIGGER = re.compile("[0-9@" + "".join(re.escape(chr(c)) for c in FOLD if c not in (0xA0, 0x2009, 0x202F, 0x2013, 0x2014)) + "]")
-_KEYS = ("dot", "punkt", "punto", "point", "at]", "at)", "at}", "at>", "password", "passwd", "pwd", "token", "secret", "key")
+_SEEN = np.zeros(256, bool)  # bytes that an identifier or the lead of a folded character has
+_SEEN[48:58] = _SEEN[64] = True
+_SEEN[list({chr(c).encode()[0] for c in FOLD if c > 0xFF and not chr(c).isspace() and c not in (0x2013, 0x2014)})] = True
+_KEYS = [k.encode() for k in ("dot", "punkt", "punto", "point", "at]", "at)", "at}", "at>", "password", "passwd", "pwd", "token", "secret", "key")]
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
+
+
+def _index_of(names: list[str]) -> HashIndex:
+    raw = [x.encode() for x in names]
+    ends = np.cumsum([0, *map(len, raw)])
+    return HashIndex(span_hash(np.frombuffer(b"".join(raw), np.uint8), ends[:-1], ends[1:]))
+
+
+_DIGITS = _index_of(list(_DIGIT_WORDS))
 _SPELLED = re.compile(rf"\b(?:{_WORDS}|\d)(?:[\s,.-]{{1,2}}(?:{_WORDS}|\d)){{3,}}\b", re.I)
-_SPELLED_QUICK = re.compile(rf"(?:{_WORDS})[\s,.-]{{1,2}}(?:{_WORDS})[\s,.-]", re.I)
 _HIDDEN = re.compile("[​-‏⁠﻿­]")
 _AT = re.compile(r"\s{0,3}[\[({<]\s{0,3}(?:at|arroba|@)\s{0,3}[\])}>]\s{0,3}", re.I)
 _DOTB = re.compile(rf"\s{{0,3}}[\[({{<]\s{{0,3}}(?:{_DOT}|\.)\s{{0,3}}[\])}}>]\s{{0,3}}", re.I)
@@ -134,10 +150,8 @@ def _iban(s: str) -> bool:
 
 def find(text: str) -> list[tuple[int, int, str]]:
     """Source spans of identifiers and their kinds, in order and disjoint."""
-    if not _TRIGGER.search(text):
-        low = text.lower()
-        if not any(k in low for k in _KEYS) and not _SPELLED_QUICK.search(low):
-            return []
+    if not text:
+        return []
     p = plain(text)
     t, found = p.text, []
     if "@" in t:
@@ -162,6 +176,40 @@ def find(text: str) -> list[tuple[int, int, str]]:
     return sorted(kept)
 
 
+def suspects(buf: np.ndarray, off: np.ndarray) -> np.ndarray:
+    """Whether each text may hold an identifier: has a telling byte or key word, or two digit words in a row."""
+    n = len(off) - 1
+    if not len(buf):
+        return np.zeros(n, bool)
+    hit = segment_sum(_SEEN[buf], off) > 0
+    low = _LOWER[buf]
+    raw = low.tobytes()
+    for key in _KEYS:
+        at = raw.find(key)
+        while at >= 0:
+            row = int(np.searchsorted(off, at, "right")) - 1
+            hit[row] = True
+            at = raw.find(key, int(off[row + 1]))
+    s, e = word_bounds(low, off)
+    few = np.flatnonzero(e - s <= 5)
+    s, e = s[few], e[few]
+    word = _DIGITS.get(span_hash(low, s, e)) >= 0
+    pair = np.flatnonzero(word[1:] & word[:-1] & (s[1:] - e[:-1] <= 2))
+    hit[np.searchsorted(off, s[pair], "right") - 1] = True
+    return hit
+
+
+def _found(col: pa.Array) -> dict[int, tuple[str, list[tuple[int, int, str]]]]:
+    """Rows with identifiers: text and spans."""
+    out = {}
+    for i, _, buf, off in texts(col):
+        for row in np.flatnonzero(suspects(buf, off)):
+            text = buf[off[row] : off[row + 1]].tobytes().decode()
+            if spans := find(text):
+                out[i + int(row)] = text, spans
+    return out
+
+
 def redact(text: str, spans: list[tuple[int, int, str]]) -> str:
     out, at = [], 0
     for a, b, kind in spans:
@@ -170,6 +218,14 @@ def redact(text: str, spans: list[tuple[int, int, str]]) -> str:
     return "".join(out) + text[at:]
 
 
+def _replaced(col: pa.Array, new: dict[int, object]) -> pa.Array:
+    if not new:
+        return col
+    mask = np.zeros(len(col), bool)
+    mask[list(new)] = True
+    return pa.compute.replace_with_mask(col, pa.array(mask), pa.array([new[i] for i in sorted(new)], col.type))
+
+
 SPANS = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("kind", pa.string())]))
 
 
@@ -178,13 +234,12 @@ def deobfuscate(docs: DataFrame) -> DataFrame:
 
     def run(batches):
         for b in batches:
-            spans, text = [], b.column(1).to_pylist()
-            for i, t in enumerate(text):
-                spans.append(found := find(t) if t else [])
-                if found:
-                    text[i] = redact(t, found)
-            rows = [[{"start": a, "end": e, "kind": k} for a, e, k in s] for s in spans]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(rows, SPANS), pa.array(text, pa.string())], ["doc_id", "spans", "redacted"])
+            found = _found(b.column(1))
+            rows: list[list] = [[] for _ in range(b.num_rows)]
+            for i, (_, spans) in found.items():
+                rows[i] = [{"start": a, "end": e, "kind": k} for a, e, k in spans]
+            text = _replaced(b.column(1), {i: redact(*x) for i, x in found.items()})
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(rows, SPANS), text], ["doc_id", "spans", "redacted"])
 
     src = docs.select("doc_id", "text")
     return src.mapInArrow(run, f"doc_id {src.schema['doc_id'].dataType.simpleString()}, spans array<struct<start:int,end:int,kind:string>>, redacted string")
@@ -197,17 +252,11 @@ def redacted(docs: DataFrame) -> DataFrame:
 
     def run(batches):
         for b in batches:
-            text, changed = b.column(at).to_pylist(), {}
-            for i, t in enumerate(text):
-                if t and (found := find(t)):
-                    text[i] = changed[i] = redact(t, found)
+            new = {i: redact(*x) for i, x in _found(b.column(at)).items()}
             cols = list(b.columns)
-            cols[at] = pa.array(text, cols[at].type)
-            if n is not None and changed:
-                sizes = cols[n].to_pylist()
-                for i, t in changed.items():
-                    sizes[i] = len(t)
-                cols[n] = pa.array(sizes, cols[n].type)
+            cols[at] = _replaced(cols[at], new)
+            if n is not None:
+                cols[n] = _replaced(cols[n], {i: len(x) for i, x in new.items()})
             yield pa.RecordBatch.from_arrays(cols, schema=b.schema)
 
     return docs.mapInArrow(run, docs.schema)

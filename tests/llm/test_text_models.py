@@ -143,3 +143,13 @@ def test_quality_held_out_and_edges(spark, sf_dir):
     assert gam_quality.kept(odd, gam_quality.train(odd, labels.limit(0))).count() == 2
     rows = gam_quality.score(docs, model).where("keep").select("doc_id").collect()
     assert {r.doc_id for r in gam_quality.kept(docs, model).collect()} == {r.doc_id for r in rows}
+
+
+def test_pii_suspects_miss_nothing(spark):
+    hot = ["mail jo [at] example (dot) com", "five five five one two three four", "jo at example dot com", "ｊｏ＠ｘｙ．ｃｏｍ", "card ４８８５４３４９２６５３５８６８", "SECRET: abcdefgh", "a jo@ex.com", ""]
+    cold = ["The cat sat on a mat.", "né en été", "one more", None, ""]
+    df = spark.createDataFrame(list(enumerate(cold[:2] + hot + cold)), "doc_id long, text string")
+    rows = {r.doc_id: r for r in pii.deobfuscate(df).collect()}
+    for i, t in enumerate(cold[:2] + hot + cold):
+        want = pii.find(t)
+        assert [tuple(x) for x in rows[i].spans] == want and rows[i].redacted == (pii.redact(t, want) if t else t)
