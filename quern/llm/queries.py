@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import decontamination, gam_quality, ngram_join, pii, ppm_langid, sentencepiece_bpe
+from . import decontamination, gam_quality, ngram_join, pii, ppm_langid, sentencepiece_bpe, toxicity
 
 QUERIES = {
     "op2_ngram_join": ngram_join.op2_ngram_join,
     "op3_pii": pii.op3_pii,
+    "op5_toxicity": toxicity.op5_toxicity,
     "op7_language_id": ppm_langid.op7_language_id,
     "op8_decontamination": decontamination.op8_decontamination,
     "op9_quality": gam_quality.op9_quality,
