@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from . import decontamination, gam_quality, ngram_join, pii, ppm_langid, sentencepiece_bpe, toxicity
+from . import brown_lm, decontamination, embedding_dedup, gam_quality, ngram_join, pii, ppm_langid, sentencepiece_bpe, toxicity
 
 QUERIES = {
+    "op1_embedding_dedup": embedding_dedup.op1_embedding_dedup,
     "op2_ngram_join": ngram_join.op2_ngram_join,
     "op3_pii": pii.op3_pii,
+    "op4_lm_scoring": brown_lm.op4_lm_scoring,
     "op5_toxicity": toxicity.op5_toxicity,
     "op7_language_id": ppm_langid.op7_language_id,
     "op8_decontamination": decontamination.op8_decontamination,

@@ -55,7 +55,8 @@ def test_cooccurrence_equals_brute_force(spark):
     assert {(a, b): c for a, b, c in got.tolist()} == want
 
 
-def test_polarity_follows_the_graph():
+def test_polarity_follows_the_graph(monkeypatch):
+    monkeypatch.setattr(tx, "SHIFT", 0.0)
     edges = np.array([[0, 1, 50], [2, 3, 50], [1, 2, 1]])
     p = tx.polarity(edges, np.array([1, 0, 0, 0], bool), np.array([0, 0, 0, 1], bool))
     assert p[0] > 0.9 and p[1] > 0.9 and p[2] < -0.9 and p[3] < -0.9
