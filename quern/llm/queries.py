@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import brown_lm, decontamination, embedding_dedup, gam_quality, ngram_join, pii, ppm_langid, sentencepiece_bpe, toxicity
+from . import brown_lm, decontamination, embedding_dedup, gam_quality, ngram_join, pii, ppm_langid, sentencepiece_bpe, suffix_dedup, toxicity
 
 QUERIES = {
     "op1_embedding_dedup": embedding_dedup.op1_embedding_dedup,
@@ -10,6 +10,7 @@ QUERIES = {
     "op3_pii": pii.op3_pii,
     "op4_lm_scoring": brown_lm.op4_lm_scoring,
     "op5_toxicity": toxicity.op5_toxicity,
+    "op6_suffix_dedup": suffix_dedup.op6_suffix_dedup,
     "op7_language_id": ppm_langid.op7_language_id,
     "op8_decontamination": decontamination.op8_decontamination,
     "op9_quality": gam_quality.op9_quality,
