@@ -1,2 +1,133 @@
-QUERIES: dict = {}
-ORACLES: dict = {}
+"""Registered queries that write to namespaces, and their SQL over the source table."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from quern.sources.namespace import Engine
+from quern.sources.scratch import shared
+from quern.streaming.ingest import ingest
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLES: dict[str, str] = {}
+_BASE = "b AS (SELECT o_orderkey AS id, o_custkey AS cust, o_orderstatus AS status, o_totalprice AS price FROM orders)"
+
+
+def _orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = spark.read.parquet(f"{sf_dir}/orders.parquet")
+    return o.select(F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("cust"), F.col("o_orderstatus").alias("status"), F.col("o_totalprice").alias("price"))
+
+
+def _case(name: str, steps: Callable[[Engine, DataFrame], None], sql: str) -> None:
+    """A namespace `ns` filled from orders, changed by `steps`, and its snapshot."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        engine, rows = Engine(spark, shared(spark, "namespaces")), _orders(spark, sf_dir)
+        engine.write("ns", upsert=rows)
+        steps(engine, rows)
+        return engine.snapshot("ns").select("id", "cust", "status", "price")
+
+    QUERIES[name] = run
+    ORACLES[name] = f"WITH {_BASE} {sql}"
+
+
+def _lww(e: Engine, rows: DataFrame) -> None:
+    e.write("ns", upsert=rows.where("id % 10 = 0").withColumn("price", F.col("price") + 1))
+    e.write("ns", upsert=rows.where("id % 20 = 0").select(F.col("id") + 10_000_000, "cust", "status", "price").toDF("id", "cust", "status", "price"))
+
+
+_case("upsert_lww", _lww, "SELECT id, cust, status, CASE WHEN id % 10 = 0 THEN price + 1 ELSE price END AS price FROM b UNION ALL SELECT id + 10000000, cust, status, price FROM b WHERE id % 20 = 0")
+
+
+def _patch(e: Engine, rows: DataFrame) -> None:
+    e.write("ns", patch=rows.where("id % 7 = 0").select("id", F.lit("X").alias("status")))
+    e.write("ns", patch=[{"id": 99_999_999, "status": "Y"}])
+    e.write("ns", patch=rows.where("id % 14 = 0").select("id", F.lit(None).cast("double").alias("price")))
+
+
+_case("patch_merge", _patch, "SELECT id, cust, CASE WHEN id % 7 = 0 THEN 'X' ELSE status END AS status, CASE WHEN id % 14 = 0 THEN NULL ELSE price END AS price FROM b")
+_case("delete_tombstone", lambda e, rows: e.write("ns", deletes=rows.where("id % 5 = 0").select("id")), "SELECT id, cust, status, price FROM b WHERE id % 5 <> 0")
+_case("delete_by_filter", lambda e, rows: e.write("ns", delete_by_filter=["price", "Lt", 150000]), "SELECT id, cust, status, price FROM b WHERE NOT price < 150000")
+_case("patch_by_filter", lambda e, rows: e.write("ns", patch_by_filter={"filters": ["status", "Eq", "O"], "patch": {"status": "Z", "price": None}}), "SELECT id, cust, CASE WHEN status = 'O' THEN 'Z' ELSE status END AS status, CASE WHEN status = 'O' THEN NULL ELSE price END AS price FROM b")
+
+
+def _cond_upsert(e: Engine, rows: DataFrame) -> None:
+    new = rows.where("id % 3 = 0").withColumn("price", F.lit(1.0)).union(rows.where("id % 30 = 0").select(F.col("id") + 10_000_000, "cust", "status", "price"))
+    e.write("ns", upsert=new, upsert_condition=["price", "Lt", 200000])
+
+
+_case("cond_upsert", _cond_upsert, "SELECT id, cust, status, CASE WHEN id % 3 = 0 AND price < 200000 THEN 1.0 ELSE price END AS price FROM b UNION ALL SELECT id + 10000000, cust, status, price FROM b WHERE id % 30 = 0")
+_case("cond_patch", lambda e, rows: e.write("ns", patch=rows.select("id", F.lit("P").alias("status")), patch_condition=["price", "Gte", 200000]), "SELECT id, cust, CASE WHEN price >= 200000 THEN 'P' ELSE status END AS status, price FROM b")
+_case("cond_delete", lambda e, rows: e.write("ns", deletes=rows.where("id % 2 = 0").select("id"), delete_condition=["status", "NotEq", "F"]), "SELECT id, cust, status, price FROM b WHERE NOT (id % 2 = 0 AND status <> 'F')")
+_case("ref_new", lambda e, rows: e.write("ns", upsert=rows.withColumn("price", F.lit(150000.0)), upsert_condition=["price", "Lt", "$ref_new.price"]), "SELECT id, cust, status, greatest(price, 150000.0) AS price FROM b")
+
+
+def _phases(e: Engine, rows: DataFrame) -> None:
+    e.write(
+        "ns", delete_by_filter=["status", "Eq", "P"], patch_by_filter={"filters": ["status", "Eq", "O"], "patch": {"status": "N"}}, upsert=rows.where("status = 'P' and id % 2 = 0").withColumn("price", F.lit(0.0)),
+        patch=rows.where("id % 4 = 0").select("id", F.lit(7).cast("long").alias("cust")), deletes=rows.where("id % 8 = 0").select("id"),
+    )
+
+
+_case("phase_order", _phases, "SELECT id, CASE WHEN id % 4 = 0 THEN 7 ELSE cust END AS cust, CASE WHEN status = 'O' THEN 'N' ELSE status END AS status, CASE WHEN status = 'P' THEN 0.0 ELSE price END AS price FROM b WHERE (status <> 'P' OR id % 2 = 0) AND id % 8 <> 0")
+
+
+def _tail(e: Engine, rows: DataFrame) -> None:
+    e.write("ns", deletes=rows.where("id % 6 = 0").select("id"))
+    e.index("ns")
+    e.write("ns", patch=rows.where("id % 5 = 0").select("id", F.lit("T").alias("status")))
+    e.write("ns", upsert=rows.where("id % 12 = 0"))
+
+
+_TAIL_SQL = "SELECT id, cust, CASE WHEN id % 5 = 0 AND id % 6 <> 0 THEN 'T' ELSE status END AS status, price FROM b WHERE id % 6 <> 0 OR id % 12 = 0"
+
+
+def _compact(e: Engine, rows: DataFrame) -> None:
+    _tail(e, rows)
+    e.index("ns")
+    e.vacuum("ns")
+
+
+_case("snapshot_tail", _tail, _TAIL_SQL)
+_case("compact_equiv", _compact, _TAIL_SQL)
+
+
+def copy_ns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    engine = Engine(spark, shared(spark, "namespaces"))
+    engine.write("from", upsert=_orders(spark, sf_dir))
+    engine.write("from", delete_by_filter=["status", "Eq", "F"])
+    engine.write("to", copy_from="from", upsert=[{"id": 3, "status": "own"}])
+    return engine.query("to", {"aggregate_by": {"n": ["Count"]}, "group_by": ["status"]})
+
+
+QUERIES["copy_ns"] = copy_ns
+ORACLES["copy_ns"] = f"WITH {_BASE}, c AS (SELECT id, status FROM b WHERE status <> 'F' AND id <> 3 UNION ALL SELECT 3, 'own') SELECT status, count(*) AS n FROM c GROUP BY 1"
+
+
+def multi_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    engine = Engine(spark, shared(spark, "namespaces"))
+    engine.write("ns", upsert=_orders(spark, sf_dir))
+    a, b = engine.multi_query("ns", [{"aggregate_by": {"n": ["Count"]}, "group_by": ["status"]}, {"aggregate_by": {"n": ["Count"]}, "filters": ["price", "Gt", 200000]}])
+    return a.union(b.select(F.lit("dear"), "n"))
+
+
+QUERIES["multi_query"] = multi_query
+ORACLES["multi_query"] = f"WITH {_BASE} SELECT status, count(*) AS n FROM b GROUP BY 1 UNION ALL SELECT 'dear', count(*) FROM b WHERE price > 200000"
+
+
+def stream_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events streamed into a namespace in micro-batches, counted there."""
+    folder = shared(spark, "stream")
+    schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
+    stream = spark.readStream.schema(schema).parquet(sf_dir + "/events.parque[t]").select(F.col("event_id").alias("id"), "event_type", "value")
+    engine = Engine(spark, f"{folder}/namespaces")
+    ingest(engine, "events", stream, f"{folder}/progress", None).awaitTermination()
+    out = engine.query("events", {"aggregate_by": {"n": ["Count"], "v": ["Sum", "value"]}, "group_by": ["event_type"]})
+    return out.withColumn("v", F.round("v", 2))
+
+
+QUERIES["stream_ingest"] = stream_ingest
+ORACLES["stream_ingest"] = "SELECT event_type, count(*) AS n, round(sum(value), 2) AS v FROM events GROUP BY 1 ORDER BY 1 LIMIT 10"
