@@ -8,14 +8,15 @@ verified (true cosine) when it collides on at least L of the M projections, L
 being the largest count that a pair at the threshold still reaches with
 probability COUNT_RECALL.
 
-All windows of n vectors would meet n**2 times, so a pair's collisions are
-counted where it surely meets: T groups of g projections each cut space into
-cells two windows wide, and a vector looks into every cell that its windows
-touch (2**g at most), so a pair colliding on all g projections of any group
-meets in one cell.  Within a cell vectors are sorted by a projection and each
-scans its window.  g grows with the logarithm of n, which keeps cells from
-filling up, and T follows from g, so that 1 - (1 - p1**g)**T is at least
-GROUP_RECALL at every n.
+All windows of n vectors would meet n**2 times, so collisions are counted among
+vectors that share a cell: T times, space is cut along g further projections,
+at random shifts, into slabs CUT * d_t wide.  Two vectors at the threshold fall
+into one slab with p = 1 - 2 Phi(-CUT) - 2 (1 - exp(-CUT**2 / 2)) / (CUT sqrt(2 pi)),
+so T = log(1 - CELL_RECALL) / log(1 - p**g).  g grows with the logarithm of n,
+which keeps cells from filling up, and T follows: every vector is sent T times, a
+low power of n.  Within a cell vectors are sorted by each of the first two
+projections, every vector scans its window there, and what it meets is counted
+on the other projections, as long as the count can still reach L.
 
 Vectors that are equal share one place (the least id); the result holds the
 pairs of distinct vectors under these ids, and a row of cosine 1 from the least
@@ -28,7 +29,7 @@ one (the longer on ties); repeated rows count once; only id and vector are read.
 
 from __future__ import annotations
 
-from math import ceil, comb, erf, log, sqrt
+from math import ceil, comb, erf, exp, log, pi, sqrt
 
 import numpy as np
 import pyarrow as pa
@@ -37,9 +38,14 @@ from pyspark.sql import functions as F
 
 from .common import saved
 
-THRESHOLD, M, WIDTH, COUNT_RECALL, GROUP_RECALL = 0.95, 32, 2.0, 0.998, 0.99
+THRESHOLD, M, WIDTH, COUNT_RECALL, CELL_RECALL, CUT = 0.95, 32, 2.0, 0.998, 0.985, 4.0
 #: Vectors of a cell, aimed at; scale of the stored projections; seed.
-CELL, SCALE, SEED = 4096, 4096, 20240607
+CELL, SCALE, SEED = 8192, 4096, 20240607
+
+
+def _together(r: float) -> float:
+    """Chance that two points a normal step apart fall into one slab r steps wide."""
+    return erf(r / sqrt(2)) - 2 / (r * sqrt(2 * pi)) * (1 - exp(-r * r / 2))
 
 
 class Plan:
@@ -47,21 +53,25 @@ class Plan:
         d = sqrt(2 - 2 * t)
         self.t, self.w = t, max(1, ceil(WIDTH * d * SCALE))
         p1 = erf(WIDTH / sqrt(2))
-        p2 = erf(WIDTH * d / 2)  # of unrelated vectors, whose difference has deviation sqrt(2)
         tail, self.least = 0.0, M
         while self.least > 0 and tail < COUNT_RECALL:
             tail += comb(M, self.least) * p1**self.least * (1 - p1) ** (M - self.least)
             self.least -= 1
         self.least += 1
-        self.g = min(M, max(1, ceil(log(max(n, 2) / CELL) / log(1 / min(0.9, 2 * p2))))) if n > CELL else 1
-        self.groups = ceil(log(1 - GROUP_RECALL) / log(1 - p1**self.g))
-        self.a = np.random.default_rng(SEED).standard_normal((dim, M))
+        far = _together(CUT * d / sqrt(2))  # unrelated vectors differ by a deviation of sqrt(2)
+        self.g = max(1, ceil(log(max(n, 2) / CELL) / log(1 / far)))
+        self.groups = ceil(log(1 - CELL_RECALL) / log(1 - _together(CUT) ** self.g))
+        rng = np.random.default_rng(SEED)
+        self.a = rng.standard_normal((dim, M))
+        self.cut = rng.standard_normal((dim, self.groups * self.g)) / (CUT * d)
+        self.shift = rng.random(self.groups * self.g)
 
     def project(self, x: np.ndarray) -> np.ndarray:
         return np.clip(np.rint(x @ self.a * SCALE), -32767, 32767).astype(np.int16)
 
-    def axes(self, group: int) -> np.ndarray:
-        return (group * self.g + np.arange(self.g)) % M
+    def cells(self, x: np.ndarray) -> np.ndarray:
+        """Slab numbers: vectors x groups x axes."""
+        return np.floor(x @ self.cut + self.shift).astype(np.int32).reshape(len(x), self.groups, self.g)
 
 
 def near_pairs(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", t: float = THRESHOLD) -> DataFrame:
@@ -91,41 +101,38 @@ def near_pairs(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embed
             q = p.project(x)
             ids = np.asarray(b.column(0))
             raw = pa.array([r.tobytes() for r in q], pa.binary())
+            at = p.cells(x)
             for g in range(p.groups):
-                v = q[:, p.axes(g)].astype(np.int64)
-                home = np.floor_divide(v, 2 * p.w)
-                lo, hi = np.floor_divide(v - p.w, 2 * p.w), np.floor_divide(v + p.w, 2 * p.w)
-                for mask in range(1 << p.g):
-                    up = (mask >> np.arange(p.g)) & 1 == 1
-                    at = np.where(up, hi, lo)
-                    real = (~up | (hi > lo)).all(1)
-                    own = (at == home).all(1)
-                    rows = np.flatnonzero(real)
-                    if len(rows):
-                        key = [np.append(r, g).astype(np.int32).tobytes() for r in at[rows]]
-                        yield pa.RecordBatch.from_arrays([pa.array(key, pa.binary()), pa.array(ids[rows]), pa.array(own[rows]), raw.take(pa.array(rows))], ["cell", "id", "home", "q"])
-
-    def meet(key, table):
+                key = [np.append(r, np.int32(g)).tobytes() for r in at[:, g]]
+                yield pa.RecordBatch.from_arrays([pa.array(key, pa.binary()), b.column(0), raw], ["cell", "id", "q"])
+
+    def meet(table):
         p = shared.value
-        g = int(np.frombuffer(key[0].as_py(), np.int32)[-1])
-        ids, home = np.asarray(table["id"]), np.asarray(table["home"])
+        ids = np.asarray(table["id"])
         q = np.frombuffer(b"".join(table["q"].to_pylist()), np.int16).reshape(len(ids), M).astype(np.int32)
-        first = p.axes(g)[0]
-        order = np.lexsort((ids, q[:, first]))
-        ids, home, q = ids[order], home[order], q[order]
-        line = q[:, first]
-        left, right = np.searchsorted(line, line - p.w, "left"), np.searchsorted(line, line + p.w, "right")
-        out = []
-        for i in np.flatnonzero(home):  # the pair is looked for from the window of one of the two, in the other's own cell
-            a, b = left[i], right[i]
-            near = np.abs(q[a:b] - q[i]) <= p.w
-            hit = np.flatnonzero((near.sum(1) >= p.least) & (ids[a:b] != ids[i])) + a
-            if len(hit):
-                out.append(np.stack([np.minimum(ids[hit], ids[i]), np.maximum(ids[hit], ids[i])]))
-        found = np.unique(np.concatenate(out, axis=1), axis=1) if out else np.zeros((2, 0), np.int64)
-        return pa.table({"id_a": pa.array(found[0]), "id_b": pa.array(found[1])})
-
-    met = one.mapInArrow(cells, "cell binary, id long, home boolean, q binary").groupBy("cell").applyInArrow(meet, "id_a long, id_b long").distinct()
+        spare = M - p.least
+        found = [np.zeros((2, 0), np.int64)]
+        for line in (0, 1):
+            order = np.lexsort((ids, q[:, line]))
+            own, v = ids[order], np.ascontiguousarray(q[order].T)
+            right = np.searchsorted(v[line], v[line] + p.w, "right")
+            for i in range(len(own)):  # a window's upper half: the lower one is the others' upper half
+                ahead = slice(i + 1, right[i])
+                missed = (np.abs(v[:4, ahead] - v[:4, i, None]) > p.w).sum(0, dtype=np.int8)
+                near = np.flatnonzero(missed <= spare) + i + 1
+                missed = missed[near - i - 1]
+                for k in range(4, M, 4):
+                    if not len(near):
+                        break
+                    missed = missed + (np.abs(v[k : k + 4, near] - v[k : k + 4, i, None]) > p.w).sum(0, dtype=np.int8)
+                    ok = missed <= spare
+                    near, missed = near[ok], missed[ok]
+                if len(near):
+                    found.append(np.stack([np.minimum(own[near], own[i]), np.maximum(own[near], own[i])]))
+        pairs = np.unique(np.concatenate(found, axis=1), axis=1)
+        return pa.table({"id_a": pa.array(pairs[0]), "id_b": pa.array(pairs[1])})
+
+    met = one.mapInArrow(cells, "cell binary, id long, q binary").groupBy("cell").applyInArrow(meet, "id_a long, id_b long").distinct()
     left = one.select(F.col("id").alias("id_a"), F.col("v").alias("v_a"))
     right = one.select(F.col("id").alias("id_b"), F.col("v").alias("v_b"))
 
