@@ -50,7 +50,7 @@ from .groups import components
 
 MIN_WORDS, GRAM = 50, 32
 #: Words of a shard, aimed at; tuples of a queue kept in memory; tuples of a block of a run; ids up to which a table is broadcast.
-SHARD_WORDS, HELD, BLOCK, BROADCAST_ROWS = 1 << 19, 1 << 17, 1 << 13, 1 << 18
+SHARD_WORDS, HELD, BLOCK, BROADCAST_ROWS = 1 << 18, 1 << 16, 1 << 12, 1 << 18
 
 
 class DiskQueue:
