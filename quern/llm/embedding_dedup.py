@@ -149,4 +149,4 @@ def near_pairs(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embed
 
 
 def op1_embedding_dedup(spark, sf_dir: str) -> DataFrame:
-    return near_pairs(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+    return near_pairs(spark.read.parquet(f"{sf_dir}/embeddings.parquet")).withColumn("cosine", F.round("cosine", 6))

@@ -17,4 +17,26 @@ QUERIES = {
     "op10_sentencepiece": sentencepiece_bpe.op10_sentencepiece,
 }
 
-ORACLES: dict[str, str] = {}
+_WORDS = r"w AS (SELECT doc_id, regexp_extract_all(lower(text), '[0-9a-z\x{80}-\x{10FFFF}]+') AS t FROM documents)"
+
+ORACLES: dict[str, str] = {
+    "op1_embedding_dedup": """
+        WITH g AS (SELECT embedding::DOUBLE[] AS v, min(vec_id) AS rep FROM embeddings GROUP BY 1)
+        SELECT a.rep AS id_a, b.rep AS id_b, round(list_cosine_similarity(a.v, b.v), 6) AS cosine FROM g a JOIN g b ON a.rep < b.rep WHERE list_cosine_similarity(a.v, b.v) >= 0.95
+        UNION ALL SELECT g.rep, e.vec_id, 1.0 FROM embeddings e JOIN g ON e.embedding::DOUBLE[] = g.v WHERE e.vec_id <> g.rep""",
+    "op2_ngram_join": f"""
+        WITH {_WORDS},
+        g AS (SELECT doc_id, list_sort(list_distinct(CASE WHEN len(t) > 1 THEN list_transform(range(1, len(t)), lambda i: t[i] || ' ' || t[i + 1]) ELSE t END)) AS s FROM w WHERE len(t) > 0),
+        r AS (SELECT s, min(doc_id) AS rep FROM g GROUP BY s),
+        e AS (SELECT rep, len(s) AS n, unnest(s) AS k FROM r),
+        p AS (SELECT a.rep AS doc_a, b.rep AS doc_b, count(*) AS c, any_value(a.n) AS na, any_value(b.n) AS nb FROM e a JOIN e b ON a.k = b.k AND a.rep < b.rep AND b.n >= 0.6 * a.n AND a.n >= 0.6 * b.n GROUP BY 1, 2)
+        SELECT doc_a, doc_b, round(c / (na + nb - c), 9) AS jaccard FROM p WHERE c / (na + nb - c) >= 0.6
+        UNION ALL SELECT r.rep, g.doc_id, 1.0 FROM g JOIN r USING (s) WHERE g.doc_id <> r.rep""",
+    "op6_suffix_dedup": f"""
+        WITH {_WORDS},
+        x AS (SELECT doc_id, i, md5(array_to_string(t[i : i + 49], ' ')) AS h FROM (SELECT doc_id, t, unnest(range(1, len(t) - 48)) AS i FROM w WHERE len(t) >= 50)),
+        d AS (SELECT doc_id, i FROM x WHERE h IN (SELECT h FROM x GROUP BY h HAVING count(*) > 1)),
+        m AS (SELECT doc_id, i, coalesce(i > lag(i) OVER o + 50, true) AS fresh FROM d WINDOW o AS (PARTITION BY doc_id ORDER BY i)),
+        k AS (SELECT doc_id, i, sum(fresh::INT) OVER (PARTITION BY doc_id ORDER BY i) AS island FROM m)
+        SELECT doc_id, (min(i) - 1)::INT AS start_word, (max(i) + 49)::INT AS end_word FROM k GROUP BY doc_id, island""",
+}
