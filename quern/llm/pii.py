@@ -7,8 +7,8 @@ Unicode digits become ASCII, invisible characters vanish, bracketed or spoken
 are found in the plain form and their spans mapped back to source characters.
 
 Kinds: EMAIL, CARD (13-19 digits passing the Luhn test), IP (v4), IBAN
-(mod 97), SSN, PHONE (a + sign, brackets or separators, 10-15 digits; or 7-15
-spelled digits), SECRET (the value after a password/token/key name).  Earlier
+(mod 97), SSN, PHONE (ten digits in groups, or + and 8-15 digits; or 7-15 spelled
+digits), SECRET (the value after a password/token/key name).  Earlier
 kinds win overlaps.
 
 Defined cases: a null text stays null with no spans; an empty one stays empty;
@@ -73,12 +73,13 @@ _DOTB = re.compile(rf"\s{{0,3}}[\[({{<]\s{{0,3}}(?:{_DOT}|\.)\s{{0,3}}[\])}}>]\s
 _SPOKEN = re.compile(rf"[A-Za-z0-9._%+-]{{1,64}}(?: at |@)(?:[A-Za-z0-9-]{{1,63}}(?: (?:{_DOT}) |\.)){{1,6}}(?:{_TLD})\b", re.I)
 _SPOKEN_PART = re.compile(rf" at | (?:{_DOT}) ", re.I)
 _EMAIL = re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63}){0,8}\.[A-Za-z]{2,24}\b")
-_CARD = re.compile(r"(?<![\d.])\d(?:[ -]?\d){12,18}(?![\d])")
+_CARD = re.compile(r"(?<![\d.])(?:\d{13,19}|\d{4}([ -])\d{4}\1\d{4}\1\d{4}(?:\1\d{3})?|\d{4}([ -])\d{6}\2\d{5})(?!\d)")
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
 _IP = re.compile(rf"(?<![\d.]){_OCTET}(?:\.{_OCTET}){{3}}(?!\d|\.\d)")
 _IBAN = re.compile(r"\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?\b")
 _SSN = re.compile(r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])")
-_PHONE = re.compile(r"(?<![\w+])(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)|\d{2,4})(?:[ .-]{0,2}\d{2,4}){2,4}(?!\w)")
+_PHONE = re.compile(r"(?<![\w+.])(?:\+?1[ .-]?)?(?:\(\d{3}\) ?|\d{3}[ .-])\d{3}[ .-]\d{4}(?![\w-])")
+_WORLD = re.compile(r"(?<![\w+])\+\d{1,3}(?:[ .-]?\(?\d{1,4}\)?){2,5}(?!\w)")
 _SECRET = re.compile(r"\b(?:password|passwd|pwd|token|secret|api[_ -]?key|access[_ -]?key|secret[_ -]?key|private[_ -]?key)[\"']?\s{0,3}(?:=|:|:=|=>)\s{0,3}[\"']?([^\s\"',;]{6,})", re.I)
 _KEYLIKE = re.compile(r"\b(?:AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36,}|sk-[A-Za-z0-9_-]{20,})\b")
 
@@ -160,12 +161,15 @@ def find(text: str) -> list[tuple[int, int, str]]:
     found += [(m.start(), m.end(), "SECRET") for m in _KEYLIKE.finditer(t)]
     found += [(m.start(), m.end(), "CARD") for m in _CARD.finditer(t) if luhn(re.sub(r"\D", "", m.group()))]
     found += [(m.start(), m.end(), "IP") for m in _IP.finditer(t)]
-    found += [(m.start(), m.end(), "IBAN") for m in _IBAN.finditer(t) if _iban(m.group())]
+    for m in _IBAN.finditer(t):  # words in capitals may follow
+        end = m.end()
+        while end > m.start() and not _iban(t[m.start() : end]):
+            end = t.rfind(" ", m.start(), end)
+        if end > m.start():
+            found.append((m.start(), end, "IBAN"))
     found += [(m.start(), m.end(), "SSN") for m in _SSN.finditer(t)]
-    for m in _PHONE.finditer(t):
-        s = m.group()
-        if 10 <= sum(c.isdigit() for c in s) <= 15 and re.search(r"[+( .-]", s) and not _IP.fullmatch(s):
-            found.append((m.start(), m.end(), "PHONE"))
+    found += [(m.start(), m.end(), "PHONE") for m in _PHONE.finditer(t)]
+    found += [(m.start(), m.end(), "PHONE") for m in _WORLD.finditer(t) if 8 <= sum(c.isdigit() for c in m.group()) <= 15]
     found += [(a, b, "PHONE") for a, b in p.spoken if 7 <= b - a <= 15]
     kept: list[tuple[int, int, str]] = []
     taken = bytearray(len(t))

@@ -65,6 +65,13 @@ def test_pii_leaves_clean_text(text):
     assert pii.find(text) == []
 
 
+def test_pii_neighbours():
+    text = "4451718024887799 41.240.15.231 +1 (608) 555-2280 26.80.124.160 4885 4349 2653 5868 12 GB82 WEST 1234 5698 7654 32 THE END +49 30 1234567 or 608-555-2280"
+    want = ["CARD", "IP", "PHONE", "IP", "CARD", "IBAN", "PHONE", "PHONE"]
+    spans = pii.find(text)
+    assert [k for _, _, k in spans] == want and text[spans[5][0] : spans[5][1]] == "GB82 WEST 1234 5698 7654 32" and text[spans[4][0] : spans[4][1]] == "4885 4349 2653 5868"
+
+
 def test_pii_rows(spark):
     df = spark.createDataFrame([(1, None, 3), (2, "", 0), (3, "a jo@ex.com b", 13)], "doc_id long, text string, n_chars long")
     rows = {r.doc_id: r for r in pii.deobfuscate(df).collect()}
