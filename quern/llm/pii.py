@@ -51,10 +51,20 @@ FOLD = _fold_table()
 _TLD = "com|org|net|edu|gov|info|io|co|uk|de|fr|es|it|nl|eu|us|ca|ch|at|be|biz|me|dev|app|example|test"
 _WORDS = "|".join(_DIGIT_WORDS)
 _DOT = "dot|punkt|punto|point"
-_SEEN = np.zeros(256, bool)  # bytes that an identifier or the lead of a folded character has
+_SEEN = np.zeros(256, bool)  # bytes that an identifier has, or leads of characters that fold or are digits to a pattern
 _SEEN[48:58] = _SEEN[64] = True
 _SEEN[list({chr(c).encode()[0] for c in FOLD if c > 0xFF and not chr(c).isspace() and c not in (0x2013, 0x2014)})] = True
-_KEYS = [k.encode() for k in ("dot", "punkt", "punto", "point", "at]", "at)", "at}", "at>", "password", "passwd", "pwd", "token", "secret", "key")]
+_SEEN[list({chr(c).encode()[0] for c in range(0x100, 0x110000) if unicodedata.category(chr(c)) == "Nd"})] = True
+#: Key words of secrets and spoken dots; then characters of common leads that fold, vanish, are blank or, ignoring case, equal an ASCII letter.
+_KEYS = [k.encode() for k in ("dot", "punkt", "punto", "point", "password", "passwd", "pwd", "token", "secret", "key", *"\xad\xa0\x85\xb2\xb3\xb9\u0130\u0131\u017f\u3000")]
+_KEYS = [k for k in _KEYS if not _SEEN[k[0]]]
+_BLANK = rb"[\s\x1c-\x1f]{0,3}"
+#: What is left of the disguises and secrets when a text has none of the above, over lower-cased bytes.
+_FORMS = [
+    re.compile(rb"[\[({<]" + _BLANK + rb"(?:at|arroba|\.)" + _BLANK + rb"[\])}>]"),
+    re.compile(rb" at (?:[a-z0-9-]{1,63}\.){1,6}(?:" + _TLD.encode() + rb")"),
+    re.compile(rb"akia[a-z]{16}|gh[pousr]_[a-z]{36}|sk-[a-z_-]{20}"),
+]
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
@@ -181,7 +191,7 @@ def find(text: str) -> list[tuple[int, int, str]]:
 
 
 def suspects(buf: np.ndarray, off: np.ndarray) -> np.ndarray:
-    """Whether each text may hold an identifier: has a telling byte or key word, or two digit words in a row."""
+    """Whether each text may hold an identifier: has a telling byte, key word or form, or two digit words in a row; true wherever find() finds."""
     n = len(off) - 1
     if not len(buf):
         return np.zeros(n, bool)
@@ -194,6 +204,12 @@ def suspects(buf: np.ndarray, off: np.ndarray) -> np.ndarray:
             row = int(np.searchsorted(off, at, "right")) - 1
             hit[row] = True
             at = raw.find(key, int(off[row + 1]))
+    for form in _FORMS:
+        m = form.search(raw)
+        while m:
+            row = int(np.searchsorted(off, m.start(), "right")) - 1
+            hit[row] = True
+            m = form.search(raw, int(off[row + 1]))
     s, e = word_bounds(low, off)
     few = np.flatnonzero(e - s <= 5)
     s, e = s[few], e[few]
