@@ -1,20 +1,25 @@
 """Language-model scores from a Brown class bigram model.
 
-Three passes over the whole corpus: counts of all words; counts of all
-neighbouring pairs of *units* (the EXCHANGE_WORDS most frequent words, one unit
-for each octave of the count of the other words, one for the start of a text);
-and the scores.  Between the last two, exchange clustering on the driver moves
-each exchanged word, in order of frequency, to the class that most raises the
-likelihood of the class bigram model, until a sweep moves none or SWEEPS are
-done; octaves and the start stay classes of their own.  The driver's share is
-bounded by EXCHANGE_WORDS (squared) and LISTED, not by the corpus.
+Every word of the corpus has a class, and its emission is its own count over
+that of its class:
+
+1. Counts of all words; the EXCHANGE_WORDS most frequent are exchanged.
+2. Counts of neighbouring pairs of units (the exchanged words, one unit for all
+   others, one for the start of a text).  Exchange clustering on the driver moves
+   each exchanged word, in order of frequency, to the class that most raises the
+   likelihood of the class bigram model, until a sweep moves none or SWEEPS are done.
+3. All other words, however many, are shuffled by word with the counts of their
+   neighbours' classes; each goes to the class that these counts make most likely
+   under the transitions of step 2.  The table of words and classes is on disk.
+4. The table is joined with the corpus: the HEAD most frequent words are sent to
+   all executors, any others join by shuffle, per block of documents.  What that
+   gives, the classes of each text, is counted and scored.  HEAD decides only
+   how words travel, not the result.
 
 P(w | v) = P(class w | class v) * P(w | class w).  Transitions are interpolated
-with class frequencies (DISCOUNT pseudo-counts); an exchanged word's emission is
-its share of its class; within an octave all word types are alike, so its
-emission is 1 / (types + 1), which leaves room for unseen words.  A word that is
-not among the LISTED most frequent counts as one of the rarest listed octave or
-below, all of which form one class.
+with class frequencies (DISCOUNT pseudo-counts).  A word that the model's corpus
+has not counts as one seen once, in the class that has most of the words that
+were not exchanged.
 
 Log probabilities are held in units of 2**-16 bit as integers, so scores do not
 depend on the order of addition.
@@ -31,9 +36,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import HashIndex, segment_sum, texts, words
+from .common import HashIndex, saved, segment_sum, texts, words
 
-EXCHANGE_WORDS, CLASSES, SWEEPS, LISTED, DISCOUNT = 1536, 48, 6, 1 << 18, 4.0
+EXCHANGE_WORDS, CLASSES, SWEEPS, DISCOUNT = 1536, 48, 6, 4.0
+#: Words sent to all executors; tokens of a block of documents that joins by shuffle; neighbour counts of a shuffle partition.
+HEAD, BLOCK_TOKENS, PART_TOKENS = 1 << 18, 1 << 19, 1 << 21
 UNIT = 1 << 16
 
 
@@ -71,26 +78,16 @@ def _table(key, n):
 
 
 class Units:
-    """Unit of each word: its rank among the exchanged words, or an octave; the last unit is the start of a text."""
-
-    def __init__(self, word: np.ndarray, times: np.ndarray, types: dict[int, int], exchange: int = EXCHANGE_WORDS):
-        self.index = HashIndex(word)
-        n = self.words = min(exchange, len(word))
-        low = int(np.log2(times[-1])) if len(times) else 0
-        octave = np.log2(np.maximum(times, 1)).astype(np.int64)
-        high = int(octave[n]) if len(word) > n else low
-        self.octaves = high - low + 1
-        self.unit = np.where(np.arange(len(word)) < n, np.arange(len(word)), n + octave - low).astype(np.int64)
-        self.rare = n  # the lowest octave holds unlisted words, too
-        self.start = n + self.octaves
-        self.count = self.start + 1
-        listed = np.bincount(octave[n:] - low, minlength=self.octaves) if len(word) > n else np.zeros(self.octaves, np.int64)
-        self.types = listed.astype(float)
-        self.types[0] = max(sum(c for o, c in types.items() if o <= low) - (octave[:n] <= low).sum(), listed[0])
+    """Unit of each listed word: its rank; then one unit for all others and one for the start of a text."""
+
+    def __init__(self, word: np.ndarray, others: int):
+        self.index, self.words = HashIndex(word), len(word)
+        self.rare, self.start, self.count = self.words, self.words + 1, self.words + 2
+        self.types = np.array([float(others)])  # words that are not listed
 
     def of(self, h: np.ndarray) -> np.ndarray:
         at = self.index.get(h)
-        return np.where(at >= 0, self.unit[at], self.rare) if len(self.unit) else np.full(len(h), self.rare)
+        return np.where(at >= 0, at, self.rare).astype(np.int64)
 
 
 def _pairs(h: np.ndarray, bounds: np.ndarray, units: Units) -> tuple[np.ndarray, np.ndarray]:
@@ -185,61 +182,239 @@ def exchange(table: np.ndarray, movable: int, classes: int = CLASSES, sweeps: in
     return of
 
 
-class BrownModel:
-    def __init__(self, units: Units, table: np.ndarray, classes: int = CLASSES):
-        self.units, self.of = units, exchange(table, units.words, classes)
-        k = int(self.of.max()) + 1
-        n = np.zeros((k, k))
-        np.add.at(n, (self.of[:, None], self.of[None, :]), table)
-        seen = n.sum(0)
-        start = self.of[units.start]
-        share = (seen + 1) * (np.arange(k) != start)
-        share = share / max(share.sum(), 1)
-        self.step = (n + DISCOUNT * share) / (n.sum(1, keepdims=True) + DISCOUNT)
-        times = table.sum(0).astype(float)
-        inside = np.zeros(k)
-        np.add.at(inside, self.of, times)
-        self.emit = np.ones(units.count)
-        w = units.words
-        self.emit[:w] = np.maximum(times[:w], 1) / np.maximum(inside[self.of[:w]], 1)
-        self.emit[w : w + units.octaves] = 1 / (units.types + 1)
-        bits = lambda p: np.rint(-np.log2(np.maximum(p, 1e-300)) * UNIT).astype(np.int64)
-        self.step_bits, self.emit_bits = bits(self.step), bits(self.emit)
+def _neighbours(docs: DataFrame, units: Units, of: np.ndarray) -> DataFrame:
+    """(word, code, times) of all words that are not units of their own; code: the class before, or the number of classes plus the class after."""
+    shared, k = docs.sparkSession.sparkContext.broadcast((units, of)), int(of.max()) + 1
+
+    def table(parts):
+        h, code, times = (np.concatenate(x) for x in zip(*parts))
+        order = np.lexsort((code, h))
+        h, code, times = h[order], code[order], times[order]
+        first = np.flatnonzero(np.append(True, (h[1:] != h[:-1]) | (code[1:] != code[:-1]))) if len(h) else np.zeros(0, np.int64)
+        return h[first], code[first], np.add.reduceat(times, first) if len(first) else times
+
+    def out(part):
+        h, code, times = part
+        return pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(code.astype(np.int16)), pa.array(times)], ["word", "code", "times"])
+
+    def count(batches):
+        units, of = shared.value
+        held, size = [], 0
+        for b in batches:
+            for _, _, buf, off in texts(b.column(0)):
+                h, bounds = words(buf, off)
+                before, u = _pairs(h, bounds, units)
+                rare = u == units.rare
+                last = np.zeros(len(h), bool)
+                last[bounds[1:][np.diff(bounds) > 0] - 1] = True
+                follows = np.flatnonzero(rare & ~last)
+                w = np.concatenate([h[rare], h[follows]])
+                held.append((w, np.concatenate([of[before[rare]], k + of[u[np.minimum(follows + 1, len(u) - 1)]]]), np.ones(len(w), np.int64)))
+                size += len(w)
+                if size > 1 << 21:
+                    held = [table(held)]
+                    size = len(held[0][0])
+                    if size > 1 << 20:
+                        yield out(held[0])
+                        held, size = [], 0
+        if held:
+            yield out(table(held))
+
+    src = docs.select(F.lower("text").alias("text")).where("text is not null")
+    return src.mapInArrow(count, "word long, code short, times long")
 
-    def bits(self, h: np.ndarray, bounds: np.ndarray) -> np.ndarray:
-        before, u = _pairs(h, bounds, self.units)
-        return segment_sum(self.step_bits[self.of[before], self.of[u]] + self.emit_bits[u], bounds)
 
+def nearest(left: np.ndarray, right: np.ndarray, n: np.ndarray, classes: int) -> np.ndarray:
+    """Class among the first `classes` that makes each word's neighbours most likely; left, right: counts of the classes before and after it."""
+    column, row = np.log(n.sum(0)[:classes] + 1), np.log(n.sum(1)[:classes] + 1)
+    gain = left @ np.log(n[:, :classes] + 0.5) - left.sum(1)[:, None] * column
+    gain += right @ np.log(n[:classes] + 0.5).T - right.sum(1)[:, None] * row
+    return np.round(gain, 6).argmax(1)
 
-def fit(docs: DataFrame, exchange_words: int = EXCHANGE_WORDS, classes: int = CLASSES, listed: int = LISTED) -> BrownModel:
-    from .common import saved
 
+def word_classes(docs: DataFrame, units: Units, of: np.ndarray, n: np.ndarray, classes: int, tokens: int) -> DataFrame:
+    """(word, class, times) of all words that are not units of their own."""
+    k = len(n)
+
+    def assign(batches):
+        parts = [tuple(np.asarray(b.column(i)) for i in range(3)) for b in batches if b.num_rows]
+        if not parts:
+            return
+        h, code, times = (np.concatenate(x) for x in zip(*parts))
+        word, at = np.unique(h, return_inverse=True)
+        order = np.argsort(at, kind="stable")
+        at, code, times = at[order], code[order].astype(np.int64), times[order]
+        for i in range(0, len(word), 1 << 14):
+            m = min(1 << 14, len(word) - i)
+            a, b = np.searchsorted(at, [i, i + m])
+            c = np.bincount((at[a:b] - i) * 2 * k + code[a:b], times[a:b], m * 2 * k).reshape(m, 2 * k)
+            to = nearest(c[:, :k], c[:, k:], n, classes)
+            yield pa.RecordBatch.from_arrays([pa.array(word[i : i + m]), pa.array(to.astype(np.int16)), pa.array(c[:, :k].sum(1).astype(np.int64))], ["word", "class", "times"])
+
+    return _neighbours(docs, units, of).repartition(2 * tokens // PART_TOKENS + 4, "word").mapInArrow(assign, "word long, class short, times long")
+
+
+def _bits(p: np.ndarray) -> np.ndarray:
+    return np.rint(-np.log2(np.maximum(p, 1e-300)) * UNIT).astype(np.int64)
+
+
+class BrownModel:
+    """units and of: the words sent to all executors and their classes, after them those of a word never seen and of the start; rest: (word, class, times) of all other words."""
+
+    def __init__(self, units: Units, of: np.ndarray, times: np.ndarray, inside: np.ndarray, rest: DataFrame | None, tokens: int):
+        self.units, self.of, self.rest, self.tokens = units, of, rest, tokens
+        self.inside = np.maximum(inside, 1.0)
+        self.emit_bits = _bits(np.append(times, [1, 1]) / self.inside[of])
+
+    def transitions(self, n: np.ndarray) -> None:
+        k, start = len(n), self.of[self.units.start]
+        share = (n.sum(0) + 1) * (np.arange(k) != start)
+        share = share / max(share.sum(), 1)
+        self.step_bits = _bits((n + DISCOUNT * share) / (n.sum(1, keepdims=True) + DISCOUNT))
+
+    def classed(self, docs: DataFrame) -> DataFrame:
+        """(doc_id, n_words, emitted, classes) of every row: bits of the emissions; the class of each word, as bytes of 16-bit integers."""
+        spark = docs.sparkSession
+        kind = docs.schema["doc_id"].dataType.simpleString()
+        shared = spark.sparkContext.broadcast((self.units, self.of, self.emit_bits, self.inside))
+        result = f"doc_id {kind}, n_words long, emitted long, classes binary"
+
+        def rows(ids, col, more=None):
+            units, of, emit, inside = shared.value
+            n, bits, classes = np.zeros(len(col), np.int64), np.zeros(len(col), np.int64), []
+            for i, j, buf, off in texts(col):
+                h, bounds = words(buf, off)
+                u = units.of(h)
+                c, e = of[u], emit[u]
+                if more:
+                    at = more[0].get(h)
+                    c, e = np.where(at >= 0, more[1][at], c), np.where(at >= 0, more[2][at], e)
+                n[i:j], bits[i:j] = np.diff(bounds), segment_sum(e, bounds)
+                raw = c.astype("<u2").tobytes()
+                classes += [raw[2 * a : 2 * b] for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist())]
+            return [ids, pa.array(n), pa.array(bits), pa.array(classes, pa.binary())]
+
+        names = ["doc_id", "n_words", "emitted", "classes"]
+        src = docs.select("doc_id", F.lower("text").alias("text"))
+        if self.rest is None:
+
+            def run(batches):
+                for b in batches:
+                    yield pa.RecordBatch.from_arrays(rows(b.column(0), b.column(1)), names)
+
+            return src.mapInArrow(run, result)
+
+        def needed(batches):
+            units = shared.value[0]
+            for b in batches:
+                block = np.asarray(b.column(0))
+                for i, j, buf, off in texts(b.column(1)):
+                    h, bounds = words(buf, off)
+                    pos = np.flatnonzero(units.of(h) == units.rare)
+                    h, at = h[pos], np.repeat(block[i:j], np.diff(bounds))[pos]
+                    order = np.lexsort((h, at))
+                    h, at = h[order], at[order]
+                    new = np.append(True, (h[1:] != h[:-1]) | (at[1:] != at[:-1])) if len(h) else np.zeros(0, bool)
+                    yield pa.RecordBatch.from_arrays([pa.array(at[new]), pa.array(h[new].view(np.int64))], ["block", "word"])
+
+        def join(left, right):
+            text, need = left.combine_chunks(), right.combine_chunks()
+            more = None
+            if need.num_rows:
+                h, first = np.unique(np.asarray(need["word"]).view(np.uint64), return_index=True)
+                c, times = np.asarray(need["class"])[first].astype(np.int64), np.asarray(need["times"])[first]
+                more = HashIndex(h), c, _bits(times / shared.value[3][c])
+            parts = [pa.Table.from_arrays(rows(b.column("doc_id"), b.column("text"), more), names) for b in text.to_batches()]
+            return pa.concat_tables(parts)
+
+        blocks = self.tokens // BLOCK_TOKENS + 1
+        keyed = src.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)))
+        need = keyed.select("block", "text").mapInArrow(needed, "block long, word long").join(self.rest, "word").select("block", "word", "class", "times")
+        return keyed.groupBy("block").cogroup(need.groupBy("block")).applyInArrow(join, result)
+
+
+def class_pairs(classed: DataFrame, k: int, start: int) -> np.ndarray:
+    """Square table of neighbouring classes."""
+
+    def count(batches):
+        n = np.zeros(k * k, np.int64)
+        for b in batches:
+            c, before, _ = _sequence(b.column(0), start)
+            n += np.bincount(before * k + c, minlength=k * k)
+        at = np.flatnonzero(n)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(n[at])], ["pair", "times"])
+
+    got = classed.select("classes").mapInArrow(count, "pair long, times long").groupBy("pair").agg(F.sum("times").alias("times")).toArrow()
+    n = np.zeros(k * k)
+    n[np.asarray(got["pair"])] = np.asarray(got["times"])
+    return n.reshape(k, k)
+
+
+def _sequence(col: pa.Array, start: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(classes of all words, those before them, bounds of the rows)."""
+    kind = np.int64 if pa.types.is_large_binary(col.type) else np.int32
+    off = np.frombuffer(col.buffers()[1], kind)[col.offset : col.offset + len(col) + 1].astype(np.int64) if len(col) else np.zeros(1, np.int64)
+    raw = col.buffers()[2] if len(col) else None
+    c = np.frombuffer(raw, np.uint8)[off[0] : off[-1]].view("<u2").astype(np.int64) if raw is not None else np.zeros(0, np.int64)
+    bounds = (off - off[0]) // 2
+    before = np.empty_like(c)
+    before[1:] = c[:-1]
+    before[bounds[:-1][np.diff(bounds) > 0]] = start
+    return c, before, bounds
+
+
+def fit(docs: DataFrame, exchange_words: int = EXCHANGE_WORDS, classes: int = CLASSES, head: int = HEAD) -> BrownModel:
     counts = saved(word_counts(docs), "words")
-    top = counts.orderBy(F.desc("times"), "word").limit(listed).toArrow()
-    types = {int(r.octave): r.types for r in counts.groupBy(F.floor(F.log2("times")).alias("octave")).agg(F.count(F.lit(1)).alias("types")).collect()}
+    types, tokens = counts.agg(F.count(F.lit(1)), F.coalesce(F.sum("times"), F.lit(0))).first()
+    top = counts.orderBy(F.desc("times"), "word").limit(exchange_words).toArrow()
     word, times = np.asarray(top["word"]), np.asarray(top["times"])
     order = np.lexsort((word, -times))
-    units = Units(word[order].view(np.uint64), times[order], types, exchange_words)
-    return BrownModel(units, pair_counts(docs, units), classes)
-
-
-def perplexity(docs: DataFrame, model: BrownModel) -> DataFrame:
-    """(doc_id, n_words, bits, perplexity) of every row."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    word, times = word[order].view(np.uint64), times[order].astype(np.int64)
+    units = Units(word, types - len(word))
+    pairs = pair_counts(docs, units)
+    of = exchange(pairs, units.words, classes)
+    k = int(of.max()) + 1  # classes, then others, then the start
+    n = np.zeros((k, k))
+    np.add.at(n, (of[:, None], of[None, :]), pairs)
+    inside = np.zeros(k - 1)
+    np.add.at(inside, of[: len(word)], times)
+    common, rest = 0, None
+    to = of[: len(word)]
+    if types > len(word):
+        table = saved(word_classes(docs, units, of, n, k - 2, tokens), "classes")
+        per = table.groupBy("class").agg(F.count(F.lit(1)).alias("words"), F.sum("times").alias("times")).orderBy(F.desc("words"), "class").collect()
+        for r in per:
+            inside[r["class"]] += r.times
+        common = per[0]["class"]
+        more = table.orderBy(F.desc("times"), "word").limit(max(head - len(word), 0)).toArrow()
+        word = np.append(word, np.asarray(more["word"]).view(np.uint64))
+        times, to = np.append(times, np.asarray(more["times"])), np.append(to, np.asarray(more["class"]).astype(np.int64))
+        rest = table if types > len(word) else None
+    start = max(k - 2, 1)  # no class of others is left
+    model = BrownModel(Units(word, types - len(word)), np.append(to, [common, start]).astype(np.int64), times, np.append(inside[:start], 1) if k > 2 else np.ones(2), rest, tokens)
+    model.fitted = saved(model.classed(docs), "classed")
+    model.transitions(class_pairs(model.fitted, start + 1, start))
+    return model
+
+
+def perplexity(docs: DataFrame, model: BrownModel, classed: DataFrame | None = None) -> DataFrame:
+    """(doc_id, n_words, bits, perplexity) of every row; classed: model.classed(docs), if there already."""
+    classed = model.classed(docs) if classed is None else classed
+    shared = docs.sparkSession.sparkContext.broadcast((model.step_bits, int(model.of[model.units.start])))
 
     def run(batches):
+        step, start = shared.value
         for b in batches:
-            n, bits = np.zeros(b.num_rows, np.int64), np.zeros(b.num_rows, np.int64)
-            for i, j, buf, off in texts(b.column(1)):
-                h, bounds = words(buf, off)
-                n[i:j], bits[i:j] = np.diff(bounds), shared.value.bits(h, bounds)
+            n = np.asarray(b.column(1))
+            c, before, bounds = _sequence(b.column(3), start)
+            bits = np.asarray(b.column(2)) + segment_sum(step[before, c], bounds)
             ppl = np.exp2(bits / UNIT / np.maximum(n, 1))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n), pa.array(bits / UNIT), pa.array(ppl, mask=n == 0)], ["doc_id", "n_words", "bits", "perplexity"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(bits / UNIT), pa.array(ppl, mask=n == 0)], ["doc_id", "n_words", "bits", "perplexity"])
 
-    src = docs.select("doc_id", F.lower("text").alias("text"))
-    return src.mapInArrow(run, f"doc_id {src.schema['doc_id'].dataType.simpleString()}, n_words long, bits double, perplexity double")
+    return classed.mapInArrow(run, f"doc_id {classed.schema['doc_id'].dataType.simpleString()}, n_words long, bits double, perplexity double")
 
 
 def op4_lm_scoring(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return perplexity(docs, fit(docs))
+    model = fit(docs)
+    return perplexity(docs, model, model.fitted)

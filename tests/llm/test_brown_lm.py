@@ -89,3 +89,33 @@ def test_scores_equal_brute_force(spark):
         assert got[d].n_words == len(tokens(t)) and abs(got[d].bits - bits) < 1e-3 * max(1, len(tokens(t)))
         assert (got[d].perplexity is None) == (not tokens(t))
     assert lm.perplexity(df.limit(0), lm.fit(df.limit(0))).count() == 0
+
+
+def test_every_word_counts_whatever_is_sent_to_executors(spark):
+    docs = corpus(5, 80) + [(500, "rare1 the n1"), (501, None), (502, "!!"), (503, "zzz rare1 v3"), (503, "zzz rare1 v3"), (None, "n1"), (504, "v1 v1 q q q the")]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    key = lambda r: (r.doc_id is None, r.doc_id, r.bits)
+    rows = [sorted(lm.perplexity(df, m, m.fitted).collect(), key=key) for m in (lm.fit(df, 4, 3), lm.fit(df, 4, 3, 7), lm.fit(df, 4, 3, 0))]
+    assert rows[0] == rows[1] == rows[2] and len(rows[0]) == len(docs)
+    model = lm.fit(df, 4, 3, 7)
+    assert sorted(lm.perplexity(df, model).collect(), key=key) == rows[0]
+    left, sent = Counter({r.word: r.times for r in model.rest.collect()}), model.units.words
+    count = Counter(w for _, t in docs for w in tokens(t))
+    assert sent == 7 and sorted(left.values()) == sorted(count.values())[: len(count) - 4]
+    one = lm.perplexity(spark.createDataFrame([(1, "never seen")], "doc_id long, text string"), model).first()
+    assert one.n_words == 2 and one.perplexity > 1
+
+
+def test_rare_words_join_the_class_of_their_neighbours(spark):
+    rng = random.Random(9)
+    docs = [(d, " ".join(f"the {rng.choice(['n1', 'n2', 'n3'])} {rng.choice(['v1', 'v2', 'v3'])}" for _ in range(9))) for d in range(60)]
+    docs += [(100 + i, f"the noun{i} v1 the n2 verb{i} the") for i in range(8)]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    model = lm.fit(df, 7, 3)
+    import quern.llm.common as c
+
+    def of(w):
+        b = np.frombuffer(w.encode(), np.uint8)
+        return int(model.of[model.units.of(c.span_hash(b, np.array([0]), np.array([len(b)])))[0]])
+
+    assert {of(f"noun{i}") for i in range(8)} == {of("n1")} and {of(f"verb{i}") for i in range(8)} == {of("v1")} and of("n1") != of("v1")
