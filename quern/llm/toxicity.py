@@ -6,8 +6,11 @@
    Copies must not speak many times: documents of one least word-trigram hash
    share one vote.  The words of highest
    z seed the toxic side; frequent words of no toxic lean seed the clean side.
-   Graph terms are the seeds and all words with z of at least TERM_Z (the
-   GRAPH_TERMS strongest).
+   Graph terms are the seeds, all words with z of at least TERM_Z (the GRAPH_TERMS
+   strongest), and, labelled or not, all words of the corpus that keep company
+   with toxic seeds: of the documents that hold the word, so many have it within
+   WINDOW words of a toxic seed that odds LEAST_ODDS above those of words at large
+   would give as many to less than one word of the vocabulary.
 2. Over all documents, graph terms within WINDOW words of one another are
    counted, and positive pointwise mutual information, less SHIFT (two words of
    one language inform of each other a little in any mixed corpus), weighs the
@@ -15,7 +18,7 @@
 3. Two random walks with restart, one from each set of seeds, give every term a
    share of visits; its polarity is the difference over the sum.
 4. A document's score is the sum of the positive polarities of its distinct
-   lexicon terms, each weighed by how sure its own label evidence is; the
+   lexicon terms, seeds weighed by how sure their label evidence is; the
    threshold separating toxic from clean is fitted on the labelled sample.
 
 Words are lower-cased runs of letters and digits (bytes >= 0x80 included).
@@ -33,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import HashIndex, mix, ngrams, texts, words
+from .common import HashIndex, mix, ngrams, saved, texts, words
 
 #: Labelled documents read at most; toxic seeds, graph terms and clean seeds at most; least z of a term and a seed; log-odds that count as none.
 TRAIN_ROWS, SEEDS, GRAPH_TERMS, TERM_Z, SEED_Z, LEAST_ODDS = 20000, 400, 4000, 2.0, 2.5, 1.5
@@ -159,14 +162,74 @@ def cooccurrence(docs: DataFrame, terms: np.ndarray) -> np.ndarray:
     return np.column_stack([code // n, code % n, got["times"].to_numpy(np.int64)]) if len(code) else np.zeros((0, 3), np.int64)
 
 
-def polarity(edges: np.ndarray, toxic: np.ndarray, clean: np.ndarray) -> np.ndarray:
-    """Polarity of each term in [-1, 1] by random walks over the PPMI graph."""
+def company(docs: DataFrame, seeds: np.ndarray) -> DataFrame:
+    """(word, docs, near) of all words of the corpus: documents that hold it, and those that have it within WINDOW words of a seed."""
+    shared = docs.sparkSession.sparkContext.broadcast(HashIndex(seeds))
+
+    def total(parts):
+        h, n, near = (np.concatenate(x) for x in zip(*parts))
+        key, of = np.unique(h, return_inverse=True)
+        return key, np.bincount(of, n, len(key)).astype(np.int64), np.bincount(of, near, len(key)).astype(np.int64)
+
+    def out(h, n, near):
+        return pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n), pa.array(near)], ["word", "docs", "near"])
+
+    def count(batches):
+        held, size = [], 0
+        for b in batches:
+            for _, _, buf, off in texts(b.column(0)):
+                h, bounds = words(buf, off)
+                doc = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
+                pos = np.flatnonzero(shared.value.get(h) >= 0)
+                edge = np.zeros(len(h) + 1, np.int64)
+                np.add.at(edge, np.maximum(pos - WINDOW, bounds[:-1][doc[pos]]), 1)
+                np.add.at(edge, np.minimum(pos + WINDOW + 1, bounds[1:][doc[pos]]), -1)
+                near = np.cumsum(edge)[:-1] > 0
+                all_h, _ = _distinct(h, bounds)
+                some = np.flatnonzero(near)
+                near_h, _ = _distinct(h[some], np.searchsorted(some, bounds))
+                held += [(all_h, np.ones(len(all_h)), np.zeros(len(all_h))), (near_h, np.zeros(len(near_h)), np.ones(len(near_h)))]
+                size += len(all_h) + len(near_h)
+                if size > 1 << 21:
+                    held = [total(held)]
+                    size = len(held[0][0])
+                    if size > 1 << 20:
+                        yield out(*held[0])
+                        held, size = [], 0
+        if held:
+            yield out(*total(held))
+
+    src = docs.select(F.lower("text").alias("text")).where("text is not null")
+    return src.mapInArrow(count, "word long, docs long, near long").groupBy("word").agg(F.sum("docs").alias("docs"), F.sum("near").alias("near"))
+
+
+def companions(docs: DataFrame, seeds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Words of the corpus that stand by toxic seeds in more of their documents than chance gives to one word of the vocabulary; by how much their log-odds exceed chance."""
+    table = saved(company(docs, seeds), "company")
+    types, n, near = table.agg(F.count(F.lit(1)), F.sum("docs"), F.sum("near")).first()
+    if not near or near == n:
+        return np.zeros(0, np.uint64), np.zeros(0)
+    p = 1 / (1 + (n - near) / near * np.exp(-LEAST_ODDS))
+    k, m = F.col("near").cast("double"), F.col("docs") - F.col("near")
+    # Chernoff: k of n by chance p has a probability of at most exp(-excess)
+    excess = k * F.log(k / (F.col("docs") * p)) + F.when(m > 0, m * F.log(m / (F.col("docs") * (1 - p)))).otherwise(0)
+    got = table.where(k > F.col("docs") * p).where(excess >= float(np.log(max(types, 2)))).toPandas().sort_values("word")
+    word, k, m = got["word"].to_numpy(np.int64).view(np.uint64), got["near"].to_numpy(float), (got["docs"] - got["near"]).to_numpy(float)
+    return word, np.maximum(np.log((k + 0.5) / (m + 0.5)) - np.log(p / (1 - p)), 0)
+
+
+def polarity(edges: np.ndarray, toxic: np.ndarray, clean: np.ndarray, company: np.ndarray | None = None) -> np.ndarray:
+    """Polarity of each term in [-1, 1] by random walks over the PPMI graph; a term's edges to toxic seeds weigh its `company` together at least."""
     n = len(toxic)
     edges = edges[edges[:, 0] != edges[:, 1]]
     x, y = np.concatenate([edges[:, 0], edges[:, 1]]), np.concatenate([edges[:, 1], edges[:, 0]])
     c = np.concatenate([edges[:, 2]] * 2).astype(float)
     deg = np.bincount(x, c, n)
     w = np.maximum(np.log(c * max(c.sum(), 1) / np.maximum(deg[x] * deg[y], 1e-12)) - SHIFT, 0) if len(c) else c
+    if company is not None and len(c):
+        for a, b in ((x, y), (y, x)):
+            to = c * (toxic[b] & ~toxic[a])
+            w = np.maximum(w, company[a] * to / np.maximum(np.bincount(a, to, n)[a], 1))
     out = np.bincount(x, w, n)
     step = w / np.maximum(out[x], 1e-12)
     visits = []
@@ -205,7 +268,13 @@ def induce(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Lexico
     terms, toxic, clean, sure = choose(*word_odds(sample))
     if not len(terms):
         return Lexicon(terms, sure)
-    lexicon = Lexicon(terms, np.maximum(polarity(cooccurrence(docs, terms), toxic, clean), 0) * sure)
+    more, excess = companions(docs, terms[toxic])
+    new = ~np.isin(more, terms)
+    more, excess, none = more[new], excess[new], np.zeros(int(new.sum()), bool)
+    company_of = np.append(np.zeros(len(terms)), excess)
+    terms, toxic, clean = np.append(terms, more), np.append(toxic, none), np.append(clean, none)
+    sure = np.where(toxic | clean, np.append(sure, np.ones(len(more))), 1.0)
+    lexicon = Lexicon(terms, np.maximum(polarity(cooccurrence(docs, terms), toxic, clean, company_of), 0) * sure)
     shared = docs.sparkSession.sparkContext.broadcast(lexicon)
 
     def run(batches):

@@ -60,3 +60,36 @@ def test_polarity_follows_the_graph(monkeypatch):
     edges = np.array([[0, 1, 50], [2, 3, 50], [1, 2, 1]])
     p = tx.polarity(edges, np.array([1, 0, 0, 0], bool), np.array([0, 0, 0, 1], bool))
     assert p[0] > 0.9 and p[1] > 0.9 and p[2] < -0.9 and p[3] < -0.9
+
+
+def test_induces_toxic_words_that_no_label_has(spark):
+    docs, labels = corpus(n=800)
+    rng = random.Random(2)
+    labelled = {d for d, _ in labels}
+    for i in range(40):
+        w = [f"w{rng.randrange(300)}" for _ in range(40)]
+        for new in ["idiott", "Scumm", "vermm", "vermm"]:
+            w.insert(rng.randrange(len(w)), new)
+        docs.append((2000 + i, " ".join(w)))
+    docs += [(5000 + d, t) for d, t in corpus(3, 2400)[0] if d % 8]  # toxic words are rare, or keeping company tells little
+    docs += [(3000, "w1 vermm w2"), (3001, "w1 of w2")]
+    assert not any("vermm" in t for d, t in docs if d in labelled)
+    df, lb = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int")
+    lexicon = tx.induce(df, lb)
+    assert key("vermm") in lexicon.index.keys.tolist() and not any(key(f"w{i}") in lexicon.index.keys.tolist() for i in range(300))
+    got = {r.doc_id: r.toxicity for r in tx.toxicity(df, lexicon).collect()}
+    assert got[3000] > 0 and got[3001] == 0
+
+
+def test_company_equals_brute_force(spark):
+    docs, _ = corpus(4, 60)
+    got = {r.word: (r.docs, r.near) for r in tx.company(spark.createDataFrame(docs + [(99, None), (98, "")], "doc_id long, text string"), np.array([key("idiott"), key("scumm")], np.uint64)).collect()}
+    want = {}
+    for _, t in docs:
+        w = re.findall(r"\w+", t.lower())
+        at = [i for i, x in enumerate(w) if x in ("idiott", "scumm")]
+        for x in set(w):
+            near = any(y == x and any(abs(i - j) <= tx.WINDOW for j in at) for i, y in enumerate(w))
+            n, k = want.get(x, (0, 0))
+            want[x] = n + 1, k + near
+    assert got == {int(np.uint64(key(x)).astype(np.int64)): v for x, v in want.items()}
