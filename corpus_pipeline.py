@@ -71,6 +71,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
         docs = stage(spark, docs, sf_dir)
-        if name == STAGES[1][0]:
+        if name != STAGES[-1][0]:  # each stage's result is written and read again as the next one's docs
             docs = saved(docs, "stage")
     return docs

@@ -64,3 +64,11 @@ def test_repeated_and_null_rows(spark, sf_dir):
     for stage in (cp.decontaminate, cp.personal_data):
         assert stage(spark, df, sf_dir).count() == 6
     assert cp.near_duplicates(spark, df.limit(0), sf_dir).count() == 0
+
+
+def test_run_saves_every_stage_but_the_last(spark, sf_dir, monkeypatch):
+    tags, real = [], cp.saved
+    monkeypatch.setattr(cp, "saved", lambda df, tag: (tags.append(tag), real(df, tag))[1])
+    monkeypatch.setattr(cp, "STAGES", [(name, lambda s, d, _: d) for name, _ in cp.STAGES])
+    assert cp.run(spark, sf_dir).count() == spark.read.parquet(f"{sf_dir}/documents.parquet").count()
+    assert tags == ["stage"] * (len(cp.STAGES) - 1)
