@@ -1,17 +1,43 @@
-"""The folder that all executors share."""
+"""The folder that all executors share, and tables kept there for a while."""
 
 from __future__ import annotations
 
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
-def shared(spark: SparkSession, tag: str) -> str:
-    """A new folder below spark.checkpoint.dir, or, where that is unset (tests), below a local one set here."""
+def root(spark: SparkSession) -> str:
+    """spark.checkpoint.dir; where that is unset, a local folder set here, which only a local master may use."""
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         where = "file://" + tempfile.mkdtemp(prefix="quern-shared-")
         spark.conf.set("spark.checkpoint.dir", where)
-    return f"{where.rstrip('/')}/{tag}-{uuid.uuid4().hex}"
+    return where.rstrip("/")
+
+
+def shared(spark: SparkSession, tag: str) -> str:
+    """The path of a new folder in the shared one."""
+    return f"{root(spark)}/{tag}-{uuid.uuid4().hex}"
+
+
+def saved(df: DataFrame, tag: str) -> DataFrame:
+    """Cut the lineage: write df as Parquet in the shared folder and read it back; `drop` deletes it."""
+    spark = df.sparkSession
+    path = shared(spark, tag)
+    df.write.option("compression", "zstd").parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._kept_at = path
+    return out
+
+
+def drop(*tables: DataFrame) -> None:
+    """Delete tables written by `saved` that nothing reads any more."""
+    for df in tables:
+        spark = df.sparkSession
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(df._kept_at)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
