@@ -9,13 +9,14 @@ case must not matter.
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from quern.sources.scratch import drop, root, saved  # noqa: F401
 
 SLICE_BYTES = 1 << 20
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
@@ -28,32 +29,6 @@ WORD[48:58] = WORD[65:91] = WORD[97:123] = True
 WORD[128:] = True
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared scratch folder: spark.checkpoint.dir, or, where that is unset (tests), a local one set here."""
-    where = spark.conf.get("spark.checkpoint.dir", None)
-    if not where:
-        where = "file://" + tempfile.mkdtemp(prefix="quern-shared-")
-        spark.conf.set("spark.checkpoint.dir", where)
-    return where.rstrip("/")
-
-
-def saved(df: DataFrame, tag: str) -> DataFrame:
-    """Cut the lineage: write df as Parquet in the shared folder and read it back."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def drop_saved(df: DataFrame) -> None:
-    """Delete a table written by `saved` that nothing reads any more."""
-    spark = df.sparkSession
-    jvm = spark.sparkContext._jvm
-    for f in {p.rsplit("/", 1)[0] for p in df.inputFiles()}:
-        path = jvm.org.apache.hadoop.fs.Path(f)
-        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
-
-
 def mix(x: np.ndarray) -> np.ndarray:
     """Finaliser of splitmix64: spreads 64-bit keys over all bits."""
     x = x.astype(np.uint64, copy=True)
@@ -193,3 +168,32 @@ def segment_sum(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     c = np.zeros((len(values) + 1, *values.shape[1:]), np.int64 if values.dtype.kind in "iub" else np.float64)
     np.cumsum(values, axis=0, out=c[1:])
     return c[bounds[1:]] - c[bounds[:-1]]
+
+
+def forest(n: int, a: np.ndarray, b: np.ndarray, root: np.ndarray | None = None) -> np.ndarray:
+    """Least member of the component of each of n nodes under the edges (a, b), on top of the components in `root`."""
+    root = np.arange(n) if root is None else root
+    while True:
+        x, y = root[a], root[b]
+        open_ = x != y
+        if not open_.any():
+            return root
+        a, b, x, y = a[open_], b[open_], x[open_], y[open_]
+        root = root.copy()
+        np.minimum.at(root, np.maximum(x, y), np.minimum(x, y))
+        while not np.array_equal(up := root[root], root):
+            root = up
+
+
+#: Groups of more rows than this are joined by broadcast: of N rows there are at most N / HOT such groups.
+HOT = 1 << 17
+
+
+def join_groups(rows: DataFrame, groups: DataFrame, keys: list[str], size: str = "n") -> DataFrame:
+    """Inner join of rows with one row a group, which counts the group's rows in `size`; a hot group is no task of its own."""
+    few = groups.where(F.col(size) > HOT)
+    if few.isEmpty():
+        return rows.join(groups, keys)
+    hot = rows.join(F.broadcast(few), keys)
+    cold = rows.join(F.broadcast(few.select(*keys)), keys, "left_anti").join(groups.where(F.col(size) <= HOT), keys)
+    return hot.select(cold.columns).unionByName(cold)

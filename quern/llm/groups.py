@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import saved
+from .common import drop, saved
 
 
 def components(pairs: DataFrame) -> DataFrame:
@@ -29,4 +29,5 @@ def components(pairs: DataFrame) -> DataFrame:
         least = F.min("root").over(Window.partitionBy("node"))
         seen = large.select("node", "root", least.alias("m"))
         small = seen.select("node", F.col("m").alias("root")).union(seen.where("root > m").select(F.col("root").alias("node"), F.col("m").alias("root")))
-        edges = saved(small.distinct(), "edges")
+        old, edges = edges, saved(small.distinct(), "edges")
+        drop(old)

@@ -21,9 +21,12 @@ _WORDS = r"w AS (SELECT doc_id, regexp_extract_all(lower(text), '[0-9a-z\x{80}-\
 
 ORACLES: dict[str, str] = {
     "op1_embedding_dedup": """
-        WITH g AS (SELECT embedding::DOUBLE[] AS v, min(vec_id) AS rep FROM embeddings GROUP BY 1)
-        SELECT a.rep AS id_a, b.rep AS id_b, round(list_cosine_similarity(a.v, b.v), 6) AS cosine FROM g a JOIN g b ON a.rep < b.rep WHERE list_cosine_similarity(a.v, b.v) >= 0.95
-        UNION ALL SELECT g.rep, e.vec_id, 1.0 FROM embeddings e JOIN g ON e.embedding::DOUBLE[] = g.v WHERE e.vec_id <> g.rep""",
+        WITH RECURSIVE g AS (SELECT embedding::DOUBLE[] AS v, min(vec_id) AS rep, count(*) AS n FROM embeddings GROUP BY 1),
+        e AS (SELECT a.rep AS x, b.rep AS y, b.n AS n FROM g a JOIN g b ON a.rep <> b.rep WHERE list_cosine_similarity(a.v, b.v) >= 0.95),
+        r AS (SELECT rep AS x, rep AS y FROM g UNION SELECT r.x, e.y FROM r JOIN e ON r.y = e.x),
+        c AS (SELECT x, min(y) AS class_id FROM r GROUP BY 1), d AS (SELECT x, sum(n) AS n FROM e GROUP BY 1)
+        SELECT t.vec_id, c.class_id, (g.n - 1 + coalesce(d.n, 0))::BIGINT AS links
+        FROM embeddings t JOIN g ON t.embedding::DOUBLE[] = g.v JOIN c ON c.x = g.rep LEFT JOIN d ON d.x = g.rep""",
     "op2_ngram_join": f"""
         WITH {_WORDS},
         g AS (SELECT doc_id, list_sort(list_distinct(CASE WHEN len(t) > 1 THEN list_transform(range(1, len(t)), lambda i: t[i] || ' ' || t[i + 1]) ELSE t END)) AS s FROM w WHERE len(t) > 0),

@@ -45,7 +45,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import mix, powers, saved, shared_dir, texts, words
+from .common import mix, powers, root, saved, texts, words
 from .groups import components
 
 MIN_WORDS, GRAM = 50, 32
@@ -301,7 +301,7 @@ def anchors(h: np.ndarray, bounds: np.ndarray, least: int, gram: int) -> tuple[n
 def passages(docs: DataFrame, least: int = MIN_WORDS, gram: int = GRAM, shard_words: int = SHARD_WORDS, held: int = HELD) -> DataFrame:
     """(doc_id, start_word, end_word) of the stretches of each document that repeated passages cover."""
     spark = docs.sparkSession
-    folder = shared_dir(spark)
+    folder = root(spark)
     src = docs.select(F.col("doc_id").cast("long").alias("doc"), F.lower("text").alias("text")).where("doc is not null")
 
     def mark(batches):
