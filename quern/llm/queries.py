@@ -28,13 +28,16 @@ ORACLES: dict[str, str] = {
         SELECT t.vec_id, c.class_id, (g.n - 1 + coalesce(d.n, 0))::BIGINT AS links
         FROM embeddings t JOIN g ON t.embedding::DOUBLE[] = g.v JOIN c ON c.x = g.rep LEFT JOIN d ON d.x = g.rep""",
     "op2_ngram_join": f"""
-        WITH {_WORDS},
+        WITH RECURSIVE {_WORDS},
         g AS (SELECT doc_id, list_sort(list_distinct(CASE WHEN len(t) > 1 THEN list_transform(range(1, len(t)), lambda i: t[i] || ' ' || t[i + 1]) ELSE t END)) AS s FROM w WHERE len(t) > 0),
-        r AS (SELECT s, min(doc_id) AS rep FROM g GROUP BY s),
-        e AS (SELECT rep, len(s) AS n, unnest(s) AS k FROM r),
-        p AS (SELECT a.rep AS doc_a, b.rep AS doc_b, count(*) AS c, any_value(a.n) AS na, any_value(b.n) AS nb FROM e a JOIN e b ON a.k = b.k AND a.rep < b.rep AND b.n >= 0.6 * a.n AND a.n >= 0.6 * b.n GROUP BY 1, 2)
-        SELECT doc_a, doc_b, round(c / (na + nb - c), 9) AS jaccard FROM p WHERE c / (na + nb - c) >= 0.6
-        UNION ALL SELECT r.rep, g.doc_id, 1.0 FROM g JOIN r USING (s) WHERE g.doc_id <> r.rep""",
+        r AS (SELECT s, min(doc_id) AS rep, count(*) AS times FROM g GROUP BY s),
+        e AS (SELECT rep, times, len(s) AS n, unnest(s) AS k FROM r),
+        p AS (SELECT a.rep AS x, b.rep AS y, any_value(b.times) AS times, count(*) AS c, any_value(a.n) AS na, any_value(b.n) AS nb FROM e a JOIN e b ON a.k = b.k AND a.rep <> b.rep AND b.n >= 0.6 * a.n AND a.n >= 0.6 * b.n GROUP BY 1, 2),
+        l AS (SELECT x, y, times FROM p WHERE c / (na + nb - c) >= 0.6),
+        o AS (SELECT rep AS x, rep AS y FROM r UNION SELECT o.x, l.y FROM o JOIN l ON o.y = l.x),
+        c AS (SELECT x, min(y) AS class_id FROM o GROUP BY 1), d AS (SELECT x, sum(times) AS n FROM l GROUP BY 1)
+        SELECT g.doc_id, c.class_id, (r.times - 1 + coalesce(d.n, 0))::BIGINT AS links FROM g JOIN r USING (s) JOIN c ON c.x = r.rep LEFT JOIN d ON d.x = r.rep
+        UNION ALL SELECT doc_id, doc_id, 0 FROM w WHERE coalesce(len(t), 0) = 0""",
     "op6_suffix_dedup": f"""
         WITH {_WORDS},
         x AS (SELECT doc_id, i, md5(array_to_string(t[i : i + 49], ' ')) AS h FROM (SELECT doc_id, t, unnest(range(1, len(t) - 48)) AS i FROM w WHERE len(t) >= 50)),
