@@ -6,12 +6,11 @@ token ids of what is left.  Rows of null id or text pass through the filters.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quern.llm import decontamination, gam_quality, ngram_join, pii, sentencepiece_bpe
 from quern.llm.common import saved
-from quern.llm.groups import components
 from quern.shipping import ship
 
 #: Up to so many ids a filter is sent to all executors; beyond, Spark joins by shuffle.
@@ -26,16 +25,24 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, the one of least id, of each group linked by similar n-gram sets; of rows that repeat an id, one."""
+    """One document, the one of least id, of each group linked by similar n-gram sets.
+
+    Of rows that repeat an id and its text one stays, the least by the other
+    columns; rows that repeat an id with another text stay or go with the id.
+    """
     ship(spark)
-    gone = saved(components(ngram_join.similar(docs).select("doc_a", "doc_b")).select(F.col("node").alias("gone_id")), "gone")
+    classes = ngram_join.linked(docs)
+    gone = saved(classes.where("doc_id != class_id").select(F.col("doc_id").alias("gone_id")), "gone")
     few = gone.count() <= BROADCAST_IDS
     left = docs.join(F.broadcast(gone) if few else gone, docs["doc_id"] == gone["gone_id"], "left_anti")
     again = docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("times")).where("times > 1 and doc_id is not null").select(F.col("doc_id").alias("again_id"))
     again = saved(again, "again")
     if again.isEmpty():
         return left
-    one = left.join(again, left["doc_id"] == again["again_id"], "left_semi").dropDuplicates(["doc_id"])
+    others = [F.col(f"`{c}`").cast("string").asc_nulls_first() for c in docs.columns if c not in ("doc_id", "text")]
+    twice = left.join(again, left["doc_id"] == again["again_id"], "left_semi")
+    rank = F.row_number().over(Window.partitionBy("doc_id", "text").orderBy(*(others or [F.lit(0)])))
+    one = twice.withColumn("rank of a repeated row", rank).where("`rank of a repeated row` = 1").select(docs.columns)
     return left.join(again, left["doc_id"] == again["again_id"], "left_anti").union(one)
 
 
