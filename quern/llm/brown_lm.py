@@ -26,7 +26,8 @@ depend on the order of addition.
 
 Defined cases: null or wordless texts have 0 words and null perplexity; equal
 counts are ordered by hash; every row is scored and counted, repeats too; an
-empty corpus scores nothing; only doc_id and text are read.
+empty corpus scores nothing; long texts are counted and scored whole; only doc_id
+and text are read.
 """
 
 from __future__ import annotations

@@ -14,8 +14,9 @@ its own, so no task ever holds more.
 
 Defined cases: null or empty texts match nothing and null or blank items match
 nothing; items too short for an error must stand as whole words; equal items are
-reported under each id, repeated rows once (the result is distinct); only
-doc_id/text and item_id/text are read.
+reported under each id, repeated rows once (the result is distinct); long
+texts are searched whole; an empty table on either side gives an empty result;
+only doc_id/text and item_id/text are read.
 """
 
 from __future__ import annotations

@@ -10,11 +10,13 @@ Training uses a bounded sample of labelled rows (TRAIN_ROWS, those with the
 least hashes of their ids); scoring covers every document.
 
 Defined cases: labels of one document are averaged, nulls ignored, a mean of at
-least 1/2 counts as good; a null text scores like an empty one; an empty text
+least 1/2 counts as good; of rows that repeat a labelled id the one of least
+features trains; a null text scores like an empty one; an empty text
 has all features 0; documents without a label are scored like all others; with
 no labelled rows or one class only, the model is that class's constant and keeps
 every document unless all labels are bad.  Only doc_id and text are read, so
-clashing columns do not matter; repeated rows are scored each.
+clashing columns do not matter; repeated rows are scored each; long texts are
+read whole; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -194,7 +196,8 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Gam:
             x = _features_of(b.column(1))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), *(pa.array(c) for c in x.T)], ["doc_id", "y_", *FEATURES])
 
-    got = rows_.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, y_ double, " + ", ".join(f"{f} double" for f in FEATURES)).toPandas()
+    got = rows_.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, y_ double, " + ", ".join(f"{f} double" for f in FEATURES))
+    got = got.groupBy("doc_id").agg(F.min(F.struct("y_", *FEATURES)).alias("f")).select("doc_id", "f.*").toPandas()  # a row a labelled id
     got = got.sort_values(list(got.columns))
     return Gam(got[list(FEATURES)].to_numpy(float), got["y_"].to_numpy(float))
 

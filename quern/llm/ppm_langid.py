@@ -10,41 +10,42 @@ trees of all languages fold into one table per order from (context, byte) to
 the exact code lengths under every language.  Code lengths are held in units of
 2**-12 bit as integers: totals do not depend on the order of addition.
 
-Defined cases: a null or empty text has language NULL and 0 bits; of equally
-cheap languages the first in byte order wins; rows are scored independently, so
+Defined cases: a null or empty text has language NULL and 0 bits; long texts are
+scored whole, in blocks, and take part in training by pieces; of equally cheap
+languages the first in byte order wins; rows are scored independently, so
 repeated rows and clashing extra columns do not matter (only id, text and, for
-training, lang are read); with no training rows every language is NULL.
+training, lang are read); with no training rows every language is NULL; an empty
+table gives an empty result.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import HashIndex, segment_sum, texts
 
 UNIT = 4096
 ORDER = 4
-#: Bounds of the training sample: documents of each language, bytes of one of them.
-TRAIN_DOCS, TRAIN_BYTES = 250, 1 << 16
+#: Bounds of the training sample: pieces of labelled texts of each language, characters of a piece.  Bytes scored at once.
+TRAIN_PIECES, PIECE, BLOCK = 250, 1 << 15, 1 << 19
 
 
-def training_sample(docs: DataFrame, per_lang: int = TRAIN_DOCS, max_bytes: int = TRAIN_BYTES) -> list[tuple[str, str]]:
-    """(lang, text) of at most per_lang labelled documents a language, those with the least hashes of their ids."""
-    labelled = docs.select("doc_id", "text", "lang").where(
-        F.col("lang").isNotNull() & (F.octet_length("text") > 0) & (F.octet_length("text") <= max_bytes)
-    )
-    keyed = labelled.select("lang", F.struct(F.xxhash64("doc_id").alias("h"), "doc_id").alias("k"), "text")
-    # Heaps of bounded size on the map side would be ideal; a hash threshold found from ids alone comes close.
-    from pyspark.sql import Window
-
-    w = Window.partitionBy("lang").orderBy("k")
-    ids = keyed.select("lang", "k").withColumn("r", F.row_number().over(w)).where(F.col("r") <= per_lang)
-    cut = ids.groupBy("lang").agg(F.max("k").alias("cut"))
-    rows = keyed.join(F.broadcast(cut), "lang").where(F.col("k") <= F.col("cut")).select("lang", "text", "k").collect()
-    return [(r.lang, r.text) for r in sorted(rows, key=lambda r: (r.lang, r.k, r.text))]
+def training_sample(docs: DataFrame, per_lang: int = TRAIN_PIECES, piece: int = PIECE) -> list[tuple[str, str]]:
+    """(lang, text) of at most per_lang pieces a language, those with the least hashes of id and number; texts are cut into pieces, so long ones take part as they are long."""
+    labelled = docs.select("doc_id", "text", "lang").where(F.col("lang").isNotNull() & (F.octet_length("text") > 0))
+    number = F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(char_length(text) - 1) div {piece}")))
+    key = F.struct(F.xxhash64("doc_id", "number").alias("h"), "doc_id", "number")
+    keyed = labelled.withColumn("number", number).select("lang", key.alias("k"), "text", "number")
+    rank = F.dense_rank().over(Window.partitionBy("lang").orderBy("k"))
+    cut = keyed.select("lang", "k").withColumn("r", rank).where(F.col("r") <= per_lang).groupBy("lang").agg(F.max("k").alias("cut"))
+    chosen = keyed.join(F.broadcast(cut), "lang").where(F.col("k") <= F.col("cut"))  # one row a language is sent
+    rows = chosen.select("lang", "k", F.expr(f"substring(text, cast(number * {piece} + 1 as int), {piece})").alias("part")).dropDuplicates(["lang", "k", "part"])
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy("k", "part"))
+    got = rows.withColumn("r", rank).where(F.col("r") <= per_lang).collect()  # repeated ids do not widen the bound
+    return [(r.lang, r.part) for r in sorted(got, key=lambda r: (r.lang, r.r))]
 
 
 class PpmModel:
@@ -103,18 +104,19 @@ class PpmModel:
 
     def score(self, buf: np.ndarray, off: np.ndarray) -> np.ndarray:
         """Total cost of each document under each language, in 1/UNIT bit."""
-        n = len(buf)
-        if not n:
-            return np.zeros((len(off) - 1, len(self.langs)), np.int64)
-        out = self.lookup(self.order, _keys(buf, self.order))
-        starts = off[:-1][np.diff(off) > 0]
-        ends = off[1:][np.diff(off) > 0]
-        for k in range(self.order):
-            at = starts + k
-            at = at[at < ends]
-            if len(at):
-                out[at] = self.lookup(k, _keys(buf, k)[at])
-        return segment_sum(out, off)
+        total = np.zeros((len(off) - 1, len(self.langs)), np.int64)
+        for a in range(0, len(buf), BLOCK):  # a long text is scored in blocks, each with the bytes before it
+            b, back = min(a + BLOCK, len(buf)), min(a, self.order)
+            part = buf[a - back : b]
+            out = self.lookup(self.order, _keys(part, self.order)[back:])
+            starts, ends = off[:-1][np.diff(off) > 0], off[1:][np.diff(off) > 0]
+            for k in range(self.order):
+                at = starts + k
+                at = at[(at < ends) & (at >= a) & (at < b)] - a
+                if len(at):
+                    out[at] = self.lookup(k, _keys(part, k)[back:][at])
+            total += segment_sum(out, np.clip(off, a, b) - a)
+        return total
 
 
 def _keys(buf: np.ndarray, k: int) -> np.ndarray:
@@ -135,7 +137,7 @@ def identify(docs: DataFrame, model: PpmModel) -> DataFrame:
         for b in batches:
             n = b.num_rows
             best, bits, margin = np.full(n, len(m.langs)), np.zeros(n, np.int64), np.zeros(n, np.int64)
-            for i, j, buf, off in texts(b.column(1), 1 << 19):
+            for i, j, buf, off in texts(b.column(1), BLOCK):
                 if not m.langs:
                     break
                 cost = m.score(buf, off)

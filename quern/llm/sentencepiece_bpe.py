@@ -15,7 +15,8 @@ broadcast (their size is the vocabulary's).
 
 Defined cases: null text gives null ids and null decoded text, empty text no
 ids; the marker character itself is encoded as a space, as the format has it;
-rows are independent, so repeats and clashing columns do not matter.
+rows are independent, so repeats and clashing columns do not matter; long texts
+are encoded whole; an empty table gives an empty result.
 """
 
 from __future__ import annotations

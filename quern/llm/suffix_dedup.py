@@ -29,8 +29,8 @@ count words from 0, half open.
 
 Defined cases: null ids and null or wordless texts have no spans; of rows that
 repeat an id with equal text one counts; equal texts of at least MIN_WORDS words
-repeat each other whole; only doc_id and text are read; an empty table gives an
-empty result.
+repeat each other whole; long texts are sorted whole; only doc_id and text are
+read; an empty table gives an empty result.
 """
 
 from __future__ import annotations

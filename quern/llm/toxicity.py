@@ -26,7 +26,8 @@ Words are lower-cased runs of letters and digits (bytes >= 0x80 included).
 Defined cases: null and empty texts score 0 and are not toxic; labels repeated
 for a document count as their maximum, null labels not at all; without both
 classes among the labels every score is 0; ties in z go to the word of least
-hash; only doc_id, text, toxic are read; every row is scored, repeats too.
+hash; only doc_id, text, toxic are read; every row is scored, repeats too; long texts
+are counted and scored whole; an empty table gives an empty result.
 """
 
 from __future__ import annotations
