@@ -15,7 +15,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable
-from datetime import datetime, timezone
+from datetime import datetime, timedelta, timezone
 from functools import reduce
 from uuid import UUID
 
@@ -137,7 +137,12 @@ class Compiler:
             return F.lit(value) if isinstance(value, bool) else None
         if isinstance(kind, (T.TimestampType, T.TimestampNTZType, T.DateType)):
             at = instant(value)
-            return F.to_timestamp(F.lit(at.isoformat(sep=" "))) if at is not None else None
+            if at is None:
+                return None
+            if isinstance(kind, T.TimestampType):  # an instant, whatever the session's zone
+                return F.timestamp_micros(F.lit((at - datetime(1970, 1, 1)) // timedelta(microseconds=1)))
+            plain = F.lit(at.isoformat(sep=" ")).cast("timestamp_ntz")
+            return plain if isinstance(kind, T.TimestampNTZType) else plain.cast("date")
         return None
 
     def _eq(self, c: Column, kind: T.DataType, value: object) -> Column:
@@ -188,7 +193,7 @@ class Compiler:
             return _false()
         try:
             return c.rlike(re2_regex(value))
-        except UnsupportedPattern:
+        except UnsupportedPattern:  # as one that does not compile, it matches nothing
             return _false()
 
     def _words(self, value: object) -> tuple[list[str], bool] | None:

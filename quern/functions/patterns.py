@@ -121,9 +121,8 @@ def re2_regex(pattern: str) -> str:
         elif rest.startswith(("(?=", "(?!", "(?<=", "(?<!", "(?>")) or re.match(r"[*+?}]\+", rest):
             raise UnsupportedPattern(pattern)
         elif m := re.match(r"\(\?([imsU]*)(-[imsU]+)?([:)])", rest):
-            if "U" in m[1] or "U" in (m[2] or ""):
-                raise UnsupportedPattern(pattern)
-            out.append(m[0])
+            on, off = m[1].replace("U", ""), (m[2] or "").replace("U", "").removesuffix("-")  # greed does not decide whether a text matches
+            out.append("" if not on + off and m[3] == ")" else f"(?{on}{off}{m[3]}")
             i += m.end() - 1
         else:
             out.append(pattern[i])

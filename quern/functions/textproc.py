@@ -13,24 +13,26 @@ from pyspark.sql import functions as F
 from .stemming import STEMMERS
 
 TOKENIZERS = ("word_v3", "whitespace", "character", "ngram")
-_FOLD = dict(zip("àáâãäåçèéêëìíîïñòóôõöøùúûüýÿ", "aaaaaaceeeeiiiinoooooouuuuyy"))
+_FOLD = dict(zip("àáâãäåæçèéêëìíîïñòóôõöøùúûüýÿ", "aaaaaaaceeeeiiiinoooooouuuuyy"))
+_UPPER = {k.upper(): v.upper() for k, v in _FOLD.items() if k != "ÿ"}
+#: Stop words as indexes of this kind have them, in alphabetical order; transliterated where the language has another script.
 STOP_WORDS = {
-    "english": "a an and are as at be but by for if in into is it no not of on or such that the their then there these they this to was will with",
-    "german": "der die das und oder aber ein eine einer eines einem einen ist sind war mit von zu im in auf für nicht den dem des als auch an aus bei es sich sie er wir ihr",
-    "french": "le la les un une des du de et ou mais dans en est sont au aux ce cette ces que qui par pour pas sur il elle nous vous ils se ne avec",
-    "spanish": "el la los las un una unos unas de del y o pero en es son al que por para no se con su lo como más este esta",
-    "italian": "il lo la i gli le un una uno di del della e o ma in è sono al che per non si con su come da",
-    "portuguese": "o a os as um uma uns umas de do da dos das e ou mas em no na é são ao que por para não se com seu como",
-    "dutch": "de het een en of maar in is zijn op te van voor met niet dat die aan om er ook als bij",
-    "swedish": "och det att i en jag hon som han på den med var sig för så till är men ett om hade de av",
-    "norwegian": "og i jeg det at en et den til er som på de med han av ikke der så var meg seg men ett har om",
-    "danish": "og i jeg det at en den til er som på de med han af for ikke der var mig sig men et har om",
-    "finnish": "ja on ei se hän että en mutta tai kun niin kuin myös ovat oli",
-    "russian": "и в во не что он на я с со как а то все она так его но да ты к у же вы за бы по",
-    "hungarian": "a az és hogy nem is egy ez de meg volt csak mint már van",
-    "romanian": "și în la de pe cu un o este sunt nu că din mai ca",
-    "turkish": "ve bir bu da de için ile mi ne o çok daha gibi",
-    "arabic": "في من على إلى أن هذا هذه التي الذي ما لا",
+    "english": "a all also an and any are as at be been being but by can did do does each for from had has have he how i if in is it its just me more most my no not now of on only or other our own same should so some such than that the their they this to too very was we were what when where which who why will with you your",
+    "spanish": "al como con de del el en es la las los o para pero por que sin son su sus un una unas unos y",
+    "french": "au aux avec de des du en est et la le les ou par pour que sans sont un une",
+    "german": "als am auch auf das der die ein eine im in ist mit nicht oder sind und von zu",
+    "italian": "che con del della di e gli i il in la le lo o per sono su un una",
+    "portuguese": "a as com da de do e em nao o os ou para por que sao sem um uma umas uns",
+    "dutch": "aan als bij de een en het in met niet of op van voor wel",
+    "russian": "a da i ili k my na ne no on ona oni ono po s ty v vo vy ya",
+    "swedish": "att den det en for han hon i jag med och pa sig som var",
+    "norwegian": "at den det en for han hun i jeg med og pa seg som var",
+    "danish": "at den det en for han hun i jeg med og pa seg som var",
+    "finnish": "ei ett he ja me mina olen oli on se sin tassa te tuo",
+    "arabic": "al an bi fi ila lan li ma min wa",
+    "chinese": "bu de le men ni shi ta wo ye zai",
+    "japanese": "de ga ka mo ni no shi to wa wo",
+    "korean": "eseo eul ga geu gwa ha i reul ui wa",
 }
 
 
@@ -78,10 +80,8 @@ class Fts:
 
 def fold(c: Column) -> Column:
     """Latin letters without their marks."""
-    out = F.translate(c, "".join(_FOLD) + "".join(_FOLD).upper().replace("Ÿ", "Ÿ"), "".join(_FOLD.values()) + "".join(_FOLD.values()).upper())
-    for a, b in (("ß", "ss"), ("æ", "ae"), ("œ", "oe"), ("Æ", "AE"), ("Œ", "OE")):
-        out = F.replace(out, F.lit(a), F.lit(b))
-    return out
+    table = _FOLD | _UPPER
+    return F.replace(F.translate(c, "".join(table), "".join(table.values())), F.lit("ß"), F.lit("ss"))
 
 
 def tokenize(c: Column, fts: Fts) -> Column:
@@ -96,12 +96,11 @@ def tokenize(c: Column, fts: Fts) -> Column:
     elif fts.tokenizer == "character":
         out = F.filter(F.split(text, ""), lambda t: ~t.rlike(r"(?U)^\s*$"))
     else:
-        text = F.translate(text, " ", "")
-        size = F.char_length(text)
-        out = F.when(size >= 3, F.transform(F.sequence(F.lit(1), F.greatest(size - 2, F.lit(1))), lambda i: F.substring(text, i, F.lit(3)))).when(size > 0, F.array(text)).otherwise(F.array().cast("array<string>"))
-        out = F.when(c.isNotNull(), out)
+        # a look-ahead at every place gives all windows in one pass; bound as a lambda's variable, the text is made once
+        grams = lambda t: F.when(F.char_length(t) >= 3, F.regexp_extract_all(t, F.lit(r"(?s)(?![\x{DC00}-\x{DFFF}])(?=(.{3}))"), F.lit(1))).when(t != "", F.array(t)).when(t == "", F.array().cast("array<string>"))
+        out = F.transform(F.array(F.translate(text, " ", "")), grams)[0]
     if fts.stop:
-        out = F.filter(out, lambda t: ~t.isin(*sorted(fts.stop)))
+        out = F.filter(out, lambda t: ~F.lower(t).isin(*sorted(fts.stop)))
     return out
 
 
@@ -111,7 +110,7 @@ def terms_of(text: str, fts: Fts) -> list[str]:
 
     text = text if fts.case_sensitive else text.lower()
     if fts.ascii_folding:
-        table = _FOLD | {k.upper(): v.upper() for k, v in _FOLD.items() if len(k.upper()) == 1} | {"ß": "ss", "æ": "ae", "œ": "oe", "Æ": "AE", "Œ": "OE"}
+        table = _FOLD | _UPPER | {"ß": "ss"}
         text = "".join(table.get(ch, ch) for ch in text)
     if fts.tokenizer == "word_v3":
         out = regex.findall(r"[\p{L}\p{Nd}_]+", text)
@@ -122,6 +121,6 @@ def terms_of(text: str, fts: Fts) -> list[str]:
     else:
         text = text.replace(" ", "")
         out = [text[i : i + 3] for i in range(len(text) - 2)] or ([text] if text else [])
-    out = [t for t in out if t not in fts.stop]
+    out = [t for t in out if t.lower() not in fts.stop]
     step = STEMMERS.get(fts.language) if fts.stemming else None
     return [step(t) for t in out] if step else out

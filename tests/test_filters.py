@@ -23,7 +23,7 @@ def table(spark):
         (["tags", "Contains", "b"], 2), (["tags", "Eq", None], 1), (["tags", "NotEq", None], 3), (["tags", "NotContains", "b"], 2), (["tags", "ContainsAny", ["a", "d"]], 2),
         (["tags", "NotContainsAny", ["a", "d"]], 2), (["tags", "AnyGt", "c"], 1), (["tags", "Eq", "a"], 0), (["Or", []], 4), (["And", []], 4), (["Not", ["tags", "Contains", "b"]], 2),
         (["missing", "Eq", None], 4), (["missing", "Eq", 1], 0), (["missing", "NotEq", 1], 4), (["missing", "NotIn", [1]], 4), (["score", "Eq", "20"], 0), (["score", "NotEq", "20"], 4),
-        (["name", "Glob", "*ta"], 2), (["name", "NotGlob", "*ta"], 2), (["name", "IGlob", "AL*"], 1), (["name", "Regex", "^[AB]"], 2), (["name", "NotRegex", "^[AB]"], 2), (["name", "Regex", "("], 0),
+        (["name", "Glob", "*ta"], 2), (["name", "NotGlob", "*ta"], 2), (["name", "IGlob", "AL*"], 1), (["name", "Regex", "^[AB]"], 2), (["name", "NotRegex", "^[AB]"], 2), (["name", "Regex", "("], 0), (["name", "Regex", "(?U)^A.*"], 1), (["name", "Regex", "(?iU:^a)"], 1),
         (["score", "In", 10], 0), (["score", "Lt", None], 0), (["id", "Gt", 2], 2),
     ],
 )
