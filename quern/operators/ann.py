@@ -1,75 +1,183 @@
-"""Clustered vector search: centroids, probing, recall-aware planning, recall."""
+"""Clustered vector search: k-means, an index on disk by cluster, probing, recall-aware planning, recall.
+
+The index is the table itself, written as Parquet partitioned by `cluster_id`, so
+a search reads the folders of the probed clusters only.  Centroids are fitted on
+a bounded sample (FIT_ROWS); every row is assigned and written.
+"""
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
-from math import ceil, sqrt
+from math import sqrt
 
 import numpy as np
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quern.functions.vectors import distance
+from quern.sources.scratch import shared
 
-PROBES = 16
-#: Rows on which centroids are fitted at most; clusters at most, freshly written and compacted.
-FIT_ROWS, NEW_CLUSTERS, CLUSTERS = 200_000, 32, 256
+PROBES, MOST_PROBES = 16, 64
+#: Rows on which centroids are fitted at most; clusters at most, freshly written and compacted; rows of a selectivity sample.
+FIT_ROWS, NEW_CLUSTERS, CLUSTERS, SAMPLE_ROWS = 50_000, 32, 256, 1000
+CLUSTER = "cluster_id"
 
 
 def cluster_count(n: int, most: int = CLUSTERS) -> int:
     return max(1, min(int(sqrt(max(n, 1))), most))
 
 
+def distances(x: np.ndarray, q: np.ndarray, metric: str) -> np.ndarray:
+    """Distance of each row of x to each row of q."""
+    if metric == "euclidean_squared":
+        return np.maximum((x * x).sum(1)[:, None] - 2 * x @ q.T + (q * q).sum(1), 0)
+    dot = x @ q.T
+    if metric == "dot_product":
+        return -dot
+    scale = np.sqrt((x * x).sum(1))[:, None] * np.sqrt((q * q).sum(1))
+    return np.where(scale == 0, 1.0, 1 - dot / np.where(scale == 0, 1, scale))
+
+
+def kmeans(x: np.ndarray, k: int, metric: str, rounds: int = 20, seed: int = 7, tolerance: float = 1e-3) -> tuple[np.ndarray, np.ndarray]:
+    """(centroids, cluster of each row): k-means++ and Lloyd's rounds on unit vectors for cosine; with 0 rounds one pass assigns."""
+    rng = np.random.default_rng(seed)
+    if metric == "cosine_distance":
+        x = x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
+    k = min(k, len(x))
+    c = x[rng.integers(len(x))][None]
+    near = distances(x, c, "euclidean_squared")[:, 0]
+    while len(c) < k:  # the next centre by its squared distance
+        total = near.sum()
+        i = rng.choice(len(x), p=near / total) if total > 0 else rng.integers(len(x))
+        c = np.vstack([c, x[i]])
+        near = np.minimum(near, distances(x, x[i : i + 1], "euclidean_squared")[:, 0])
+    of = distances(x, c, "euclidean_squared").argmin(1)
+    for _ in range(rounds):
+        n = np.bincount(of, minlength=k)
+        new = np.zeros_like(c)
+        np.add.at(new, of, x)
+        new = np.where(n[:, None] > 0, new / np.maximum(n, 1)[:, None], x[rng.integers(len(x), size=k)])
+        moved = float(np.sqrt(((new - c) ** 2).sum() / k))
+        c, of = new, distances(x, new, "euclidean_squared").argmin(1)
+        if moved < tolerance:
+            break
+    return c, of
+
+
+def split_oversized(x: np.ndarray, c: np.ndarray, of: np.ndarray, metric: str, least: int = 1000, seed: int = 7) -> np.ndarray:
+    """Centroids with those of over max(2 x mean, `least`) rows split into 2 to 16."""
+    most = max(2 * len(x) / max(len(c), 1), least)
+    out = []
+    for i in range(len(c)):
+        rows = np.flatnonzero(of == i)
+        parts = 2
+        while len(rows) / parts > most and parts < 16:
+            parts *= 2
+        out.append(kmeans(x[rows], parts, metric, seed=seed)[0] if len(rows) > most else c[i : i + 1])
+    return np.concatenate(out) if out else c
+
+
 @dataclass
 class Ivf:
-    """Vectors with a `$cluster` column, and the clusters' centroids."""
+    """Rows by cluster, the clusters' centroids, and rows that are not clustered yet."""
 
     assigned: DataFrame
     centroids: np.ndarray
     metric: str
     vector: str
+    fresh: DataFrame | None = None
+    rows: int = 0
 
     @staticmethod
-    def build(df: DataFrame, vector: str = "vector", metric: str = "cosine_distance", clusters: int | None = None, seed: int = 7, rounds: int = 20) -> Ivf:
-        """Centroids by k-means|| on rows with a vector (a seeded sample beyond FIT_ROWS), then one narrow pass that assigns every row."""
-        from pyspark.ml.clustering import KMeans
-        from pyspark.ml.functions import array_to_vector
-
-        has = df.where(F.col(vector).isNotNull())
-        n = has.count()
-        if not n:
-            return Ivf(df.withColumn("$cluster", F.lit(None).cast("int")), np.zeros((0, 0)), metric, vector)
-        unit = has.select(F.col(vector).cast("array<double>").alias("v"))
+    def fit(df: DataFrame, vector: str = "vector", metric: str = "cosine_distance", clusters: int | None = None, seed: int = 7, rounds: int = 20, most: int = CLUSTERS) -> tuple[np.ndarray, int]:
+        """(centroids, rows with a vector), on a seeded sample beyond FIT_ROWS; vectors of another length than the most common one take no part."""
+        has = df.where(F.col(f"`{vector}`").isNotNull())
+        sizes = has.groupBy(F.size(f"`{vector}`").alias("dim")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), F.desc("dim")).collect()
+        if not sizes:
+            return np.zeros((0, 0)), 0
+        n, dim = sum(r.n for r in sizes), sizes[0].dim
+        same = has.where(F.size(f"`{vector}`") == dim).select(F.col(f"`{vector}`").cast("array<double>").alias("v"))
+        fit = same.sample(min(1.0, 1.1 * FIT_ROWS / n), seed).limit(FIT_ROWS) if n > FIT_ROWS else same
+        x = np.array([r.v for r in fit.collect()]).reshape(-1, dim)
         if metric == "cosine_distance":
-            unit = unit.where(F.exists("v", lambda x: x != 0))
-        fit = unit.sample(FIT_ROWS / n, seed) if n > FIT_ROWS else unit
-        kind = "cosine" if metric == "cosine_distance" else "euclidean"
-        k = clusters or cluster_count(n)
-        model = KMeans(k=max(k, 2), seed=seed, maxIter=rounds, tol=1e-3, distanceMeasure=kind, featuresCol="f").fit(fit.select(array_to_vector("v").alias("f")))
-        centroids = np.array(model.clusterCenters())
-        scored = F.array(*[F.struct(distance(F.col(vector), c.tolist(), "cosine_distance" if kind == "cosine" else "euclidean_squared").alias("d"), F.lit(i).alias("i")) for i, c in enumerate(centroids)])
-        return Ivf(df.withColumn("$cluster", F.when(F.col(vector).isNotNull(), F.array_min(scored)["i"])), centroids, metric, vector)
+            x = x[np.abs(x).sum(1) > 0]
+        if not len(x):
+            return np.zeros((0, dim)), n
+        k = clusters or cluster_count(n, most)
+        centroids, of = kmeans(x, k, metric, rounds, seed)
+        return (centroids if clusters else split_oversized(x, centroids, of, metric)), n
+
+    @staticmethod
+    def assign(df: DataFrame, centroids: np.ndarray, vector: str, metric: str) -> DataFrame:
+        """df with the number of each row's nearest centroid; -1 without a vector of their length.  One narrow pass."""
+        c = centroids
+        if metric == "cosine_distance" and len(c):
+            c = c / np.maximum(np.linalg.norm(c, axis=1, keepdims=True), 1e-300)
+        shared_c = df.sparkSession.sparkContext.broadcast(c)
+
+        def run(series):
+            import pandas as pd
+
+            for col in series:
+                out, cs = np.full(len(col), -1, np.int32), shared_c.value
+                at = [i for i, v in enumerate(col) if v is not None and len(cs) and len(v) == cs.shape[1]]
+                for i in range(0, len(at), 4096):
+                    some = at[i : i + 4096]
+                    x = np.stack([np.asarray(col.iloc[j], float) for j in some])
+                    out[some] = distances(x, cs, "cosine_distance" if metric == "cosine_distance" else "euclidean_squared").argmin(1)
+                yield pd.Series(out)
+
+        import pandas as pd
+
+        run.__annotations__ = {"series": Iterator[pd.Series], "return": Iterator[pd.Series]}
+        return df.withColumn(CLUSTER, F.pandas_udf(run, "int")(F.col(f"`{vector}`")))
+
+    @staticmethod
+    def write(df: DataFrame, path: str, vector: str, metric: str, clusters: int | None = None, seed: int = 7, rounds: int = 20, most: int = CLUSTERS) -> tuple[np.ndarray, int]:
+        """Write df by cluster below path; (centroids, rows with a vector).  Large clusters become several files (a skewed one is no task of its own)."""
+        centroids, n = Ivf.fit(df, vector, metric, clusters, seed, rounds, most)
+        Ivf.assign(df, centroids, vector, metric).hint("rebalance", CLUSTER).write.partitionBy(CLUSTER).parquet(path)
+        return centroids, n
+
+    @staticmethod
+    def build(df: DataFrame, vector: str = "vector", metric: str = "cosine_distance", clusters: int | None = None, seed: int = 7, rounds: int = 20, path: str | None = None) -> Ivf:
+        """An index of df on disk, in a scratch folder unless `path` names one."""
+        path = path or shared(df.sparkSession, "ivf")
+        centroids, n = Ivf.write(df, path, vector, metric, clusters, seed, rounds)
+        schema = T.StructType([*df.schema.fields, T.StructField(CLUSTER, T.IntegerType())])
+        return Ivf(df.sparkSession.read.schema(schema).parquet(path), centroids, metric, vector, rows=n)
 
     def nearest(self, query: Sequence[float], probes: int) -> list[int]:
         """The clusters to look into: a driver-side choice over the centroids."""
-        q = np.asarray(query, float)
-        if self.metric == "cosine_distance":
-            c = self.centroids / np.maximum(np.linalg.norm(self.centroids, axis=1, keepdims=True), 1e-300)
-            d = 1 - c @ (q / max(np.linalg.norm(q), 1e-300))
-        elif self.metric == "dot_product":
-            d = -(self.centroids @ q)
-        else:
-            d = ((self.centroids - q) ** 2).sum(1)
-        return np.argsort(d, kind="stable")[:probes].tolist()
-
-    def search(self, query: Sequence[float], top_k: int, ties: str, probes: int = PROBES, where=None) -> DataFrame:
-        """The top_k nearest rows of the probed clusters; a filter goes below the distances, the clusters to a partition filter."""
-        df = self.assigned if where is None else self.assigned.where(where)
-        if len(self.centroids):
-            df = df.where(F.col("`$cluster`").isin(self.nearest(query, probes)))
-        out = df.where(F.col(self.vector).isNotNull()).withColumn("$dist", distance(F.col(self.vector), query, self.metric))
-        return out.orderBy(F.col("`$dist`").asc(), F.col(f"`{ties}`").asc()).limit(top_k)
+        return np.argsort(distances(self.centroids, np.asarray(query, float)[None], self.metric)[:, 0], kind="stable")[:probes].tolist()
+
+    def search(self, query: Sequence[float], top_k: int, ties: str | list[str], probes: int = PROBES, where: Column | None = None) -> DataFrame:
+        """The top_k nearest rows of the probed clusters and of the fresh rows; filters go below the distances, clusters are partition filters."""
+        df = self.assigned
+        if len(self.centroids) and probes < len(self.centroids):
+            df = df.where(F.col(CLUSTER).isin(self.nearest(query, probes)))
+        df = df.drop(CLUSTER)
+        if self.fresh is not None:
+            df = df.unionByName(self.fresh)
+        df = df if where is None else df.where(where)
+        out = df.where(F.col(f"`{self.vector}`").isNotNull()).withColumn("$dist", distance(F.col(f"`{self.vector}`"), query, self.metric))
+        return out.orderBy(F.col("`$dist`").asc(), *[F.col(f"`{t}`").asc() for t in ([ties] if isinstance(ties, str) else ties)]).limit(top_k)
+
+    def search_filtered(self, query: Sequence[float], top_k: int, ties: str | list[str], where: Column) -> DataFrame:
+        """Recall-aware search: a sampled selectivity sets the probes; too few results double them, up to all clusters."""
+        plan = plan_filtered(selectivity(self.assigned, where, self.rows), top_k)
+        if plan.exact:
+            return self.search(query, top_k, ties, len(self.centroids), where)
+        while plan.probes < len(self.centroids):
+            found = self.search(query, top_k, ties, plan.probes, where)
+            wider = widen(plan, found.count(), top_k)  # at most top_k rows
+            if wider is None:
+                return found
+            plan = wider
+        return self.search(query, top_k, ties, len(self.centroids), where)
 
 
 @dataclass(frozen=True)
@@ -86,7 +194,7 @@ def plan_filtered(selectivity: float, top_k: int) -> SearchPlan:
     if selectivity >= 1:
         return SearchPlan(False, top_k, PROBES)
     over = min(max(1 / selectivity, 2.0), 10.0)
-    return SearchPlan(False, ceil(top_k * over), round(64 - (64 - PROBES) * selectivity))
+    return SearchPlan(False, max(top_k, int(top_k * over)), MOST_PROBES - int((selectivity - 0.01) / 0.99 * (MOST_PROBES - PROBES)))
 
 
 def widen(plan: SearchPlan, found: int, top_k: int) -> SearchPlan | None:
@@ -94,22 +202,53 @@ def widen(plan: SearchPlan, found: int, top_k: int) -> SearchPlan | None:
     return None if plan.exact or found >= top_k else SearchPlan(False, plan.candidates * 2, plan.probes * 2)
 
 
-def selectivity(df: DataFrame, where, rows: int = 1000) -> float:
-    """Share of a bounded sample that passes a filter; 0 of an empty one."""
-    got = df.limit(rows).agg(F.avg(F.coalesce(where, F.lit(False)).cast("double")).alias("s")).first()
+def selectivity(df: DataFrame, where: Column, rows: int, sample: int = SAMPLE_ROWS, seed: int = 7) -> float:
+    """Share of a seeded sample of about `sample` of the `rows` rows that passes a filter; 0 of an empty one."""
+    got = df.sample(min(1.0, sample / max(rows, 1)), seed).agg(F.avg(F.coalesce(where, F.lit(False)).cast("double")).alias("s")).first()
     return float(got.s or 0.0)
 
 
 def recall(ivf: Ivf, key: str, num: int = 10, top_k: int = 10, probes: int = PROBES, seed: int = 7) -> dict[str, float]:
-    """Mean share of the exact top_k that the clustered search finds, for `num` sampled vectors; 1, 0, 0 without vectors."""
-    has = ivf.assigned.where(F.col(ivf.vector).isNotNull())
-    queries = has.orderBy(F.xxhash64(F.lit(seed), F.col(key)), key).limit(num).select(ivf.vector).collect()
+    """Mean share of the exact top_k that the clustered search finds, for `num` sampled vectors; 1, 0, 0 without vectors.
+
+    All queries are compared with all rows in one pass: each task keeps its best
+    top_k a query, over all its rows and over those of the probed clusters.
+    """
+    v = F.col(f"`{ivf.vector}`")
+    table = ivf.assigned.select(F.col(f"`{key}`").alias("key"), v.cast("array<double>").alias("v"), CLUSTER)
+    if ivf.fresh is not None:
+        table = table.unionByName(ivf.fresh.select(F.col(f"`{key}`").alias("key"), v.cast("array<double>").alias("v"), F.lit(-1).alias(CLUSTER)))
+    table = table.where("v is not null")
+    queries = table.orderBy(F.xxhash64(F.lit(seed), "key"), "key").limit(num).select("v").collect()
     if not queries:
         return {"avg_recall": 1.0, "avg_ann_count": 0.0, "avg_exhaustive_count": 0.0}
-    shares, ann_n, exact_n = [], 0, 0
-    for (q,) in queries:  # a handful of queries, each a distributed search
-        ann = {r[0] for r in ivf.search(q, top_k, key, probes).select(key).collect()}
-        exact = {r[0] for r in has.withColumn("$dist", distance(F.col(ivf.vector), q, ivf.metric)).orderBy("`$dist`", key).limit(top_k).select(key).collect()}
-        shares.append(len(ann & exact) / max(len(exact), 1))
-        ann_n, exact_n = ann_n + len(ann), exact_n + len(exact)
-    return {"avg_recall": float(np.mean(shares)), "avg_ann_count": ann_n / len(queries), "avg_exhaustive_count": exact_n / len(queries)}
+    q = [np.asarray(r.v, float) for r in queries]
+    probed = [set(ivf.nearest(x, probes)) | {-1} if len(ivf.centroids) and len(x) == ivf.centroids.shape[1] else None for x in q]
+    kind, metric = table.schema["key"].dataType.simpleString(), ivf.metric
+
+    def run(batches):
+        for b in batches:
+            of = np.asarray(b.column(2))
+            rows = b.column(1).to_pylist()
+            size = np.array([len(x) for x in rows], np.int64)
+            for n, x in enumerate(q):
+                same = np.flatnonzero(size == len(x))
+                if not len(same):
+                    continue
+                d = np.full(len(rows), np.inf)
+                d[same] = distances(np.array([rows[i] for i in same]), x[None], metric)[:, 0]
+                inside = np.ones(len(rows), bool) if probed[n] is None else np.isin(of, list(probed[n]))
+                for ann in (False, True):
+                    at = np.flatnonzero((size == len(x)) & (inside | (not ann)))
+                    at = at[np.argsort(d[at], kind="stable")[: 2 * top_k]]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), n, np.int32)), pa.array(np.full(len(at), ann)), b.column(0).take(pa.array(at)), pa.array(d[at])], ["q", "ann", "key", "d"])
+
+    best = table.mapInArrow(run, f"q int, ann boolean, key {kind}, d double")
+    rank = F.row_number().over(Window.partitionBy("q", "ann").orderBy(F.round("d", 12), "key"))
+    best = best.withColumn("r", rank).where(F.col("r") <= top_k).groupBy("q").pivot("ann", [False, True]).agg(F.collect_list("key")).collect()  # top lists
+    pairs = [(set(r["false"] or []), set(r["true"] or [])) for r in best]
+    m = max(len(pairs), 1)
+    return {
+        "avg_recall": sum(len(e & a) / max(len(e), 1) for e, a in pairs) / m, "avg_ann_count": sum(len(a) for _, a in pairs) / m, "avg_exhaustive_count": sum(len(e) for e, _ in pairs) / m,
+    }
+

@@ -1,118 +1,126 @@
 """BM25 ranking and composite scores.
 
-Corpus statistics (number of documents, mean length, document frequencies of the
-query's terms) are one aggregation over the token column; only the query's terms
-are looked at, so each document yields a fixed-width array of counts and nothing
-is exploded or shuffled but the partial sums.
+Without an index, each text attribute of a query is tokenised once a pass, for
+all clauses that rank by it, into a struct of fixed width: the length and the
+counts of the query's terms.  One pass aggregates the corpus statistics (number
+of documents, mean length, document frequencies), the other scores; nothing is
+exploded or shuffled but the partial sums.
+
+With an index (`Postings`) a query reads only the postings of its terms.
 """
 
 from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Callable
+from dataclasses import dataclass, field
 from functools import reduce
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quern.functions.filters import Compiler
+from quern.functions.stemming import STEMMERS
 from quern.functions.textproc import Fts, terms_of, tokenize
+from quern.sources.tables import spread
 
 
 class RankError(ValueError):
     """The ranking is malformed."""
 
 
-def _tf(tokens: Column, term: str) -> Column:
-    return F.size(F.filter(tokens, lambda t: t == term)).cast("double")
-
-
-def _stem_of(df: DataFrame, tokens: Column, fts: Fts, name: str) -> DataFrame:
-    """df with the token array `name`, stemmed where the settings say so (arrays of tokens in Arrow batches)."""
-    if not fts.stemming:
-        return df.withColumn(name, tokens)
-    from quern.functions.stemming import STEMMERS
-
-    step = STEMMERS.get(fts.language)
-    if step is None:
-        return df.withColumn(name, tokens)
-
-    def stems(lists):
-        seen: dict[str, str] = {}  # distinct terms of the batch are stemmed once
-        return lists.map(lambda x: None if x is None else [seen[t] if t in seen else seen.setdefault(t, step(t)) for t in x])
-
-    stems.__annotations__ = {"lists": pd.Series, "return": pd.Series}
-    return df.withColumn(name, F.pandas_udf(stems, "array<string>")(tokens))
-
-
-def bm25(df: DataFrame, field: str, query: str | dict, fts: Fts, out: str, stats: DataFrame | None = None) -> DataFrame:
-    """df with the BM25 score of `field` in column `out`; 0 where no query term occurs.
-
-    score = sum over query tokens (repeats count) of
-    idf * tf * (k1 + 1) / (tf + k1 * (1 - b + b * length / mean length)) with
-    idf = ln((N - n + 1/2) / (n + 1/2) + 1), N, n and the mean over `stats`, the
-    whole collection unless given.  {"query": q, "last_as_prefix": true} makes
-    the last token a prefix: documents need every other token, and a document
-    with a token of that prefix gains exactly 1.
-    """
-    prefix = isinstance(query, dict) and bool(query.get("last_as_prefix"))
+def parse_query(query: str | dict, fts: Fts) -> tuple[Counter, str | None]:
+    """(terms with their repeats, the prefix or None) of a text or {"query": text, "last_as_prefix": true}."""
     text = query.get("query", "") if isinstance(query, dict) else query
     if not isinstance(text, str):
         raise RankError("a BM25 query is a text")
     terms = terms_of(text, fts)
-    last = None
-    if prefix and terms:
-        last = terms_of(text, Fts(**{**_settings(fts), "stemming": False}))[-1]
-        terms = terms[:-1]
-    times = Counter(terms)
-    if not times and last is None:
-        return df.withColumn(out, F.lit(0.0))
-    name = f"{out}tokens"
-    tokens = tokenize(F.col(f"`{field}`"), fts)
-    df = _stem_of(df, tokens, fts, name)
-    base = df if stats is None else _stem_of(stats, tokens, fts, name)
-    t = F.col(f"`{name}`")
-    counted = base.where(t.isNotNull()).agg(
-        F.count(F.lit(1)).cast("double").alias("$n"),
-        F.coalesce(F.avg(F.size(t)), F.lit(0.0)).alias("$mean"),
-        *[F.sum(F.array_contains(t, x).cast("int")).cast("double").alias(f"$df{i}") for i, x in enumerate(times)],
-    )
-    df = df.crossJoin(F.broadcast(counted))  # one row
-    share = F.size(t) / F.nullif(F.col("`$mean`"), F.lit(0.0))
-    score = F.lit(0.0)
-    for i, (x, m) in enumerate(times.items()):
-        n, tf = F.col(f"`$df{i}`"), _tf(t, x)
-        idf = F.log((F.col("`$n`") - n + 0.5) / (n + 0.5) + 1)
-        score = score + F.lit(float(m)) * F.when(tf > 0, idf * tf * (fts.k1 + 1) / (tf + fts.k1 * (1 - fts.b + fts.b * share))).otherwise(0.0)
-    if last is not None:
-        found = F.exists(t, lambda x: x.startswith(last))
-        needed = reduce(lambda a, b: a & b, [F.array_contains(t, x) for x in times], F.lit(True))
-        score = F.when(needed & found, score + 1.0).otherwise(0.0)
-    drop = ["$n", "$mean", *(f"$df{i}" for i in range(len(times))), name]
-    return df.withColumn(out, F.coalesce(score, F.lit(0.0))).drop(*drop)
-
-
-def _settings(fts: Fts) -> dict:
-    return {k: getattr(fts, k) for k in ("tokenizer", "language", "case_sensitive", "stemming", "remove_stopwords", "ascii_folding", "k1", "b")}
-
-
-def is_composite(rank: object) -> bool:
-    return isinstance(rank, (list, tuple)) and bool(rank) and rank[0] in ("Sum", "Max", "Product")
-
-
-def composite(df: DataFrame, rank: list, fts_of: Callable[[str], Fts], compiler: Compiler, out: str = "$dist", stats: DataFrame | None = None) -> DataFrame:
-    """df with the composite score in `out`.
-
-    ["Sum", [c, ...]] adds, ["Max", [c, ...]] takes the greatest (0 if empty),
-    ["Product", weight, c] (either order) scales; leaves are [field, "BM25", q]
-    and, inside composites, filters, which score 1 or 0.
+    if isinstance(query, dict) and query.get("last_as_prefix") and terms:
+        return Counter(terms[:-1]), terms[-1]
+    return Counter(terms), None
+
+
+def _starts(tokens: Column, prefix: str) -> Column:
+    return F.exists(tokens, lambda x: x.startswith(prefix)).cast("int")
+
+
+@dataclass
+class Counts:
+    """Length and term counts of one attribute under one setting: the struct column `name` with dl, t0, t1, ... and p0, ... for prefixes."""
+
+    attribute: str
+    fts: Fts
+    name: str
+    terms: dict[str, int] = field(default_factory=dict)
+    prefixes: dict[str, int] = field(default_factory=dict)
+
+    def add(self, times: Counter, prefix: str | None) -> None:
+        for t in times:
+            self.terms.setdefault(t, len(self.terms))
+        if prefix is not None:
+            self.prefixes.setdefault(prefix, len(self.prefixes))
+
+    def column(self) -> Column:
+        tokens = tokenize(F.col(f"`{self.attribute}`"), self.fts)
+        step = STEMMERS.get(self.fts.language) if self.fts.stemming else None
+        names = ["dl", *(f"t{i}" for i in self.terms.values()), *(f"p{i}" for i in self.prefixes.values())]
+        if step is None:  # bound as a lambda's variable, the tokens are made once
+            def measure(t):
+                size = F.size(t)
+                found = [size - F.size(F.array_remove(t, x)) for x in self.terms]
+                return F.struct(*[c.alias(n) for c, n in zip([size, *found, *(_starts(t, p) for p in self.prefixes)], names)])
+
+            return F.transform(F.array(tokens), lambda t: F.when(t.isNotNull(), measure(t)))[0]
+        terms, prefixes = list(self.terms), list(self.prefixes)
+
+        def count(lists):
+            seen: dict[str, str] = {}  # distinct tokens of the batch are stemmed once
+            out = []
+            for x in lists:
+                if x is None:
+                    out.append(None)
+                    continue
+                stems = [seen[t] if t in seen else seen.setdefault(t, step(t)) for t in x]
+                n = Counter(stems)
+                out.append([len(stems), *(n[t] for t in terms), *(int(any(s.startswith(p) for s in n)) for p in prefixes)])
+            return pd.Series(out, dtype=object)
+
+        count.__annotations__ = {"lists": pd.Series, "return": pd.Series}
+        got = F.pandas_udf(count, "array<int>")(tokens)
+        return F.transform(F.array(got), lambda a: F.when(a.isNotNull(), F.struct(*[a[i].alias(n) for i, n in enumerate(names)])))[0]
+
+
+def _score(c: Counts, times: Counter, prefix: str | None, stats: str) -> Column:
+    """score = sum over query tokens (repeats count) of idf * tf * (k1 + 1) / (tf + k1 * (1 - b + b * length / mean length)) with idf = ln((N - n + 1/2) / (n + 1/2) + 1); a prefix needs every other token and adds exactly 1."""
+    row, all_ = (lambda f: F.col(f"`{c.name}`.{f}").cast("double")), (lambda f: F.col(f"`{stats}`.{f}"))
+    k1, b, out = c.fts.k1, c.fts.b, F.lit(0.0)
+    share = row("dl") / F.nullif(all_("dl") / all_("n"), F.lit(0.0))
+    for x, m in times.items():
+        tf, n = row(f"t{c.terms[x]}"), all_(f"t{c.terms[x]}")
+        idf = F.log((all_("n") - n + 0.5) / (n + 0.5) + 1)
+        out = out + F.lit(float(m)) * F.when(tf > 0, idf * tf * (k1 + 1) / (tf + k1 * (1 - b + b * share))).otherwise(0.0)
+    if prefix is not None:
+        needed = reduce(lambda a, t: a & (row(f"t{c.terms[t]}") > 0), times, row(f"p{c.prefixes[prefix]}") > 0)
+        out = F.when(needed, out + 1.0).otherwise(0.0)
+    return F.coalesce(out, F.lit(0.0))
+
+
+def ranked(df: DataFrame, rank: list, fts_of: Callable[[str], Fts], compiler: Compiler, out: str = "$dist", stats: DataFrame | None = None) -> DataFrame:
+    """df with the score of a ranking in `out`; statistics over `stats`, all of df unless given.
+
+    Leaves are [field, "BM25", q] and, inside composites, filters, which score 1
+    or 0; ["Sum", [c, ...]] adds, ["Max", [c, ...]] takes the greatest (0 if
+    empty), ["Product", weight, c] (either order) scales.
     """
-    made: list[str] = []
+    counts: dict[tuple[str, Fts], Counts] = {}
+    made: list[tuple[Counts, Counter, str | None]] = []
 
-    def walk(node: object, top: bool) -> Column:
-        nonlocal df
+    def walk(node: object, top: bool) -> Callable[[], Column]:
         if not isinstance(node, (list, tuple)) or not node:
             raise RankError(f"no ranking: {node!r}")
         if node[0] in ("Sum", "Max"):
@@ -120,25 +128,126 @@ def composite(df: DataFrame, rank: list, fts_of: Callable[[str], Fts], compiler:
                 raise RankError(f"{node[0]} takes a list")
             parts = [walk(c, False) for c in node[1]]
             if not parts:
-                return F.lit(0.0)
+                return lambda: F.lit(0.0)
             if node[0] == "Sum":
-                return reduce(lambda a, b: a + b, parts)
-            return parts[0] if len(parts) == 1 else F.greatest(*parts)
+                return lambda: reduce(lambda a, b: a + b, [p() for p in parts])
+            return parts[0] if len(parts) == 1 else lambda: F.greatest(*[p() for p in parts])
         if node[0] == "Product":
             if len(node) != 3:
                 raise RankError("Product takes a weight and a clause")
             weight, clause = (node[1], node[2]) if isinstance(node[1], (int, float)) else (node[2], node[1])
             if isinstance(weight, bool) or not isinstance(weight, (int, float)):
                 raise RankError("Product needs a number")
-            return F.lit(float(weight)) * walk(clause, False)
+            inner = walk(clause, False)
+            return lambda: F.lit(float(weight)) * inner()
         if len(node) == 3 and node[1] == "BM25":
-            name = f"$score{len(made)}"
-            made.append(name)
-            df = bm25(df, node[0], node[2], fts_of(node[0]), name, stats)
-            return F.col(f"`{name}`")
+            fts = fts_of(node[0])
+            times, prefix = parse_query(node[2], fts)
+            if not times and prefix is None:
+                return lambda: F.lit(0.0)
+            c = counts.setdefault((node[0], fts), Counts(node[0], fts, f"$counts{len(counts)}"))
+            c.add(times, prefix)
+            made.append((c, times, prefix))
+            return lambda: _score(c, times, prefix, f"$stats{c.name}")
         if top:
             raise RankError("a filter ranks only inside a composite")
-        return F.when(F.coalesce(compiler.compile(node), F.lit(False)), 1.0).otherwise(0.0)
+        test = compiler.compile(node)
+        return lambda: F.when(F.coalesce(test, F.lit(False)), 1.0).otherwise(0.0)
 
     score = walk(rank, True)
-    return df.withColumn(out, score.cast(T.DoubleType())).drop(*made)
+    if not counts:
+        return df.withColumn(out, score().cast(T.DoubleType()))
+    base = spread((df if stats is None else stats).select(*[F.col(f"`{a}`") for a in dict.fromkeys(a for a, _ in counts)]))
+    sums = []
+    for c in counts.values():
+        x = F.col(f"`{c.name}`")
+        parts = [F.coalesce(F.sum(x["dl"]), F.lit(0)).cast("double").alias("dl"), F.count(x).cast("double").alias("n")]
+        parts += [F.coalesce(F.sum((x[f"t{i}"] > 0).cast("int")), F.lit(0)).cast("double").alias(f"t{i}") for i in c.terms.values()]
+        sums.append(F.struct(*parts).alias(f"$stats{c.name}"))
+    one = base.select(*[c.column().alias(c.name) for c in counts.values()]).agg(*sums)
+    df = spread(df).withColumns({c.name: c.column() for c in counts.values()}).crossJoin(F.broadcast(one))  # one row
+    return df.withColumn(out, score().cast(T.DoubleType())).drop(*[n for c in counts.values() for n in (c.name, f"$stats{c.name}")])
+
+
+def is_composite(rank: object) -> bool:
+    return isinstance(rank, (list, tuple)) and bool(rank) and rank[0] in ("Sum", "Max", "Product")
+
+
+def postings(df: DataFrame, key: str, attribute: str, fts: Fts) -> DataFrame:
+    """(term, key, tf, dl) of all documents with a text; one of no tokens has one row of a null term."""
+    step = STEMMERS.get(fts.language) if fts.stemming else None
+    src = df.select(F.col(f"`{key}`").alias("key"), tokenize(F.col(f"`{attribute}`"), fts).alias("tokens")).where("tokens is not null")
+
+    def run(batches):
+        for b in batches:
+            if not b.num_rows:
+                continue
+            lists = b.column(1)
+            size = np.asarray(lists.value_lengths()).astype(np.int64)
+            flat = lists.flatten().dictionary_encode()
+            names = [step(x) for x in flat.dictionary.to_pylist()] if step else flat.dictionary.to_pylist()
+            kinds = sorted(set(names))
+            number = {x: i for i, x in enumerate(kinds)}
+            code = np.array([number[x] for x in names], np.int64)[np.asarray(flat.indices)] if len(flat) else np.zeros(0, np.int64)
+            doc = np.repeat(np.arange(b.num_rows), size)
+            pair, tf = np.unique(doc * max(len(kinds), 1) + code, return_counts=True)
+            of, term = pair // max(len(kinds), 1), pair % max(len(kinds), 1)
+            none = np.flatnonzero(size == 0)
+            words = pa.array(kinds, pa.string()).take(pa.array(term)) if kinds else pa.array([], pa.string())
+            yield pa.RecordBatch.from_arrays(
+                [pa.concat_arrays([words, pa.nulls(len(none), pa.string())]), b.column(0).take(pa.array(np.concatenate([of, none]))), pa.array(np.concatenate([tf, np.zeros(len(none), np.int64)]).astype(np.int32)), pa.array(size[np.concatenate([of, none])].astype(np.int32))], ["term", "key", "tf", "dl"]
+            )
+
+    return src.mapInArrow(run, f"term string, key {src.schema['key'].dataType.simpleString()}, tf int, dl int")
+
+
+@dataclass
+class Postings:
+    """Inverted index of one attribute on disk, sorted by term; `gone` keys are void, `fresh` documents count instead."""
+
+    path: str
+    key: str
+    attribute: str
+    fts: Fts
+    docs: int
+    length: int
+    gone: DataFrame | None = None
+    fresh: DataFrame | None = None
+
+    @staticmethod
+    def write(df: DataFrame, path: str, key: str, attribute: str, fts: Fts) -> tuple[int, int]:
+        """Write the postings of df below path, in ranges of (term, key), and the lengths; (documents with a text, sum of their lengths)."""
+        rows = postings(df, key, attribute, fts)
+        rows.where("term is not null").repartitionByRange("term", "key").sortWithinPartitions("term", "key").write.parquet(f"{path}/postings")
+        spark = df.sparkSession
+        size = F.size("tokens")
+        lengths = df.select(F.col(f"`{key}`").alias("key"), tokenize(F.col(f"`{attribute}`"), fts).alias("tokens")).where("tokens is not null").select("key", size.alias("dl"))
+        lengths.write.parquet(f"{path}/lengths")
+        got = spark.read.parquet(f"{path}/lengths").agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("dl"), F.lit(0)).alias("dl")).first()
+        return got.n, got.dl
+
+    def score(self, df: DataFrame, query: str, out: str = "$dist") -> DataFrame:
+        """(key, out) of the documents with a term of the query."""
+        times, _ = parse_query(query, self.fts)
+        spark = df.sparkSession
+        found = spark.read.parquet(f"{self.path}/postings").where(F.col("term").isin(*times)) if times else None
+        if found is None:
+            return df.sparkSession.createDataFrame([], T.StructType([df.schema[self.key], T.StructField(out, T.DoubleType())]))
+        n, length = F.lit(float(self.docs)), F.lit(float(self.length))
+        joined = None
+        if self.gone is not None:
+            found = found.join(self.gone, found["key"] == self.gone[self.key], "left_anti")
+            void = spark.read.parquet(f"{self.path}/lengths").join(self.gone, F.col("key") == self.gone[self.key], "left_semi").select(F.lit(-1).alias("n"), (-F.col("dl")).alias("dl"))
+            new = postings(self.fresh, self.key, self.attribute, self.fts)
+            found = found.unionByName(new.where(F.col("term").isin(*times)))
+            more = new.dropDuplicates(["key"]).select(F.lit(1).alias("n"), "dl")
+            joined = void.unionByName(more).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("more_n"), F.coalesce(F.sum("dl"), F.lit(0)).alias("more_dl"))
+            n, length = n + F.col("more_n"), length + F.col("more_dl")
+        per = found.groupBy("term").agg(F.count(F.lit(1)).cast("double").alias("df"))  # a row a query term
+        repeats = F.create_map(*[F.lit(v) for t, m in times.items() for v in (t, float(m))])
+        rows = found.join(F.broadcast(per), "term")
+        if joined is not None:
+            rows = rows.crossJoin(F.broadcast(joined))  # one row
+        idf = F.log((n - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1)
+        part = repeats[F.col("term")] * idf * F.col("tf") * (self.fts.k1 + 1) / (F.col("tf") + self.fts.k1 * (1 - self.fts.b + self.fts.b * F.col("dl") / F.nullif(length / n, F.lit(0.0))))
+        return rows.groupBy(F.col("key").alias(self.key)).agg(F.sum(part).alias(out))

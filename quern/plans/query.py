@@ -26,7 +26,8 @@ class Collection:
     """A DataFrame that can be queried as a set of documents.
 
     key: column(s) that identify a row, the first doubling as `id`; fts: settings
-    of full-text columns; regex: columns open to Regex filters (None: all).
+    of full-text columns; regex: columns open to Regex filters (None: all); index
+    and text: vector and text indexes of the same rows; dims: length of a vector.
     """
 
     df: DataFrame
@@ -37,6 +38,8 @@ class Collection:
     regex: set[str] | None = None
     allow_dot_product: bool = False
     index: ann.Ivf | None = None
+    text: dict[str, text_rank.Postings] = field(default_factory=dict)
+    dims: int | None = None
 
     def __post_init__(self):
         if self.metric not in METRICS or (self.metric == "dot_product" and not self.allow_dot_product):
@@ -100,33 +103,28 @@ class Collection:
         ties = [F.col(f"`{k}`").asc() for k in self.keys]
         if len(rank) == 3 and rank[1] == "ANN":
             return self._nearest(rank, filters, limit, ties)
-        fits = filters is None
         if len(rank) == 3 and rank[1] == "BM25" or text_rank.is_composite(rank):
-            base = self.df
-            if not fits and request.get("stats_scope") == "filtered":
-                base, fits = self.where(filters), True
-            if text_rank.is_composite(rank):
-                scored = text_rank.composite(base, list(rank), self._settings, self.compiler())
-            else:
-                scored = text_rank.bm25(base, rank[0], rank[2], self._settings(rank[0]), "$dist")
-            if not fits:
-                scored = scored.where(self.compiler().compile(filters))
-            return scored.where(F.col("`$dist`") > 0).orderBy(F.col("`$dist`").desc(), *ties).limit(limit)
+            order, filtered = [F.col("`$dist`").desc(), *ties], request.get("stats_scope") == "filtered"
+            if rank[1] == "BM25" and isinstance(rank[2], str) and rank[0] in self.text and not (filtered and filters is not None):
+                self._settings(rank[0])
+                scored = self.text[rank[0]].score(self.df, rank[2])
+                if filters is None:  # the rows are fetched for the top list only
+                    scored = F.broadcast(scored.orderBy(*order).limit(limit))
+                return self.where(filters).join(scored, self.keys[0]).where(F.col("`$dist`") > 0).orderBy(*order).limit(limit)
+            # all of the collection counts for the statistics, but only rows that pass the filter are scored
+            base = self.where(filters)
+            scored = text_rank.ranked(base, list(rank), self._settings, self.compiler(), stats=base if filtered else self.df)
+            return scored.where(F.col("`$dist`") > 0).orderBy(*order).limit(limit)
         raise QueryError(f"no ranking: {rank!r}")
 
     def _nearest(self, rank: Sequence, filters: object, limit: int, ties: list) -> DataFrame:
         if self.vector is None or rank[0] not in ("vector", self.vector):
             raise QueryError("the collection has no such vector")
-        q = decode_vector(rank[2])
+        q = decode_vector(rank[2], self.dims)
         if self.index is not None:
-            where = None if filters is None else self.compiler().compile(filters)
-            probes = ann.PROBES
-            if where is not None:
-                plan = ann.plan_filtered(ann.selectivity(self.df, where), limit)
-                if plan.exact:
-                    return self._exact(q, filters, limit, ties)
-                probes = plan.probes
-            return self.index.search(q, limit, self.keys[0], probes, where).drop("$cluster")
+            if filters is None:
+                return self.index.search(q, limit, self.keys)
+            return self.index.search_filtered(q, limit, self.keys, self.compiler().compile(filters))
         return self._exact(q, filters, limit, ties)
 
     def _exact(self, q: list[float], filters: object, limit: int, ties: list) -> DataFrame:
