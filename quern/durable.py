@@ -88,7 +88,8 @@ _TAIL_SQL = "SELECT id, cust, CASE WHEN id % 5 = 0 AND id % 6 <> 0 THEN 'T' ELSE
 def _compact(e: Engine, rows: DataFrame) -> None:
     _tail(e, rows)
     e.index("ns")
-    e.vacuum("ns")
+    e.compact("ns")
+    e.vacuum("ns", retention=0)
 
 
 _case("snapshot_tail", _tail, _TAIL_SQL)
@@ -131,3 +132,93 @@ def stream_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES["stream_ingest"] = stream_ingest
 ORACLES["stream_ingest"] = "SELECT event_type, count(*) AS n, round(sum(value), 2) AS v FROM events GROUP BY 1 ORDER BY 1 LIMIT 10"
+
+
+def _text_space(spark: SparkSession, sf_dir: str) -> Engine:
+    """Documents in a namespace: an indexed part, then a tail that deletes and replaces."""
+    engine = Engine(spark, shared(spark, "namespaces"))
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.col("doc_id").alias("id"), "text", "lang")
+    engine.write("ns", upsert=docs, schema={"text": {"type": "string", "full_text_search": {"stemming": False, "remove_stopwords": False}}})
+    engine.index("ns")
+    engine.write("ns", deletes=docs.where("id % 10 = 3").select("id"), upsert=docs.where("id % 10 = 4").withColumn("text", F.concat(F.lit("scum scum "), "text")))
+    return engine
+
+
+def ns_bm25(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """BM25 over the postings of a segment, less what the tail hides, plus what it brings."""
+    out = _text_space(spark, sf_dir).query("ns", {"rank_by": ["text", "BM25", "scum the"], "limit": 30, "include_attributes": ["lang"]})
+    return out.select("id", "lang", F.round("`$dist`", 4).alias("score"))
+
+
+QUERIES["ns_bm25"] = ns_bm25
+_TF = "len(list_filter(t, lambda x: x = '{0}'))"
+_PART = "ln(((SELECT count(*) FROM d) - (SELECT count(*) FROM d WHERE list_contains(t, '{0}')) + 0.5) / ((SELECT count(*) FROM d WHERE list_contains(t, '{0}')) + 0.5) + 1) * " + _TF + " * 2.2 / (" + _TF + " + 1.2 * (0.25 + 0.75 * len(t) / (SELECT avg(len(t)) FROM d)))"
+ORACLES["ns_bm25"] = (
+    r"WITH d AS (SELECT doc_id AS id, lang, regexp_extract_all(lower(CASE WHEN doc_id % 10 = 4 THEN 'scum scum ' || text ELSE text END), '[\p{L}\p{Nd}_]+') AS t FROM documents WHERE doc_id % 10 <> 3), "
+    f"s AS (SELECT id, lang, {_PART.format('scum')} + {_PART.format('the')} AS score FROM d) SELECT id, lang, round(score, 4) AS score FROM s WHERE score > 0 ORDER BY s.score DESC, id LIMIT 30"
+)
+
+
+def ns_vector(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The nearest vectors of a namespace with an indexed part and a tail; the nearest of all come from the tail."""
+    engine = Engine(spark, shared(spark, "namespaces"))
+    rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"), "label")
+    engine.write("ns", upsert=rows.where("id % 10 <> 0"), distance_metric="euclidean_squared")
+    engine.index("ns")
+    engine.write("ns", upsert=rows.where("id % 10 = 0").withColumn("vector", F.expr("transform(vector, x -> cast(x * 0.01 as float))")), deletes=rows.where("id % 10 = 1").select("id"))
+    out = engine.query("ns", {"rank_by": ["vector", "ANN", [0.0] * 63 + [0.25]], "top_k": 20, "filters": ["id", "Gte", 0]})
+    return out.select("id", "label", F.round("`$dist`", 6).alias("dist"))
+
+
+QUERIES["ns_vector"] = ns_vector
+ORACLES["ns_vector"] = """
+    WITH q AS (SELECT list_concat(list_transform(range(63), lambda i: 0.0::DOUBLE), [0.25::DOUBLE]) AS q),
+    v AS (SELECT vec_id AS id, label, CASE WHEN vec_id % 10 = 0 THEN list_transform(embedding::DOUBLE[], lambda x: (x * 0.01)::FLOAT::DOUBLE) ELSE embedding::DOUBLE[] END AS v FROM embeddings WHERE vec_id % 10 <> 1),
+    d AS (SELECT id, label, list_sum(list_transform(list_zip(v, q), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) AS dist FROM v, q)
+    SELECT id, label, round(dist, 6) AS dist FROM d ORDER BY d.dist, id LIMIT 20"""
+
+
+def eventual_cap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An eventual read sees the indexed part and only the newest entries of the log that fit its cap."""
+    engine, rows = Engine(spark, shared(spark, "namespaces")), _orders(spark, sf_dir)
+    engine.write("ns", upsert=rows.where("id % 3 = 0"))
+    engine.index("ns")
+    engine.write("ns", upsert=rows.where("id % 3 = 1"))
+    engine.write("ns", upsert=rows.where("id % 3 = 2"))
+    state = engine.state("ns")
+    state.log[str(state.head)]["bytes"], state.log[str(state.head - 1)]["bytes"] = 1 << 20, 128 << 20  # the older one no longer fits
+    return engine.snapshot("ns", "eventual", state).select("id", "cust", "status", "price")
+
+
+QUERIES["eventual_cap"] = eventual_cap
+ORACLES["eventual_cap"] = f"WITH {_BASE} SELECT id, cust, status, price FROM b WHERE id % 3 <> 1"
+
+
+def _many_phases(e: Engine, rows: DataFrame) -> None:
+    wide = rows.repartition(300)  # the order of phases does not hang on that of partitions
+    e.write("ns", upsert=wide.withColumn("price", F.lit(1.0)), patch=wide.where("id % 3 = 0").select("id", F.lit("M").alias("status")), deletes=wide.where("id % 5 = 0").select("id"))
+
+
+_case("phase_order_wide", _many_phases, "SELECT id, cust, CASE WHEN id % 3 = 0 THEN 'M' ELSE status END AS status, 1.0::DOUBLE AS price FROM b WHERE id % 5 <> 0")
+
+
+def _tiers(e: Engine, rows: DataFrame) -> None:
+    for k in range(5):
+        e.index("ns")
+        e.write("ns", patch=rows.where(f"id % 11 = {k}").select("id", F.lit(float(k)).alias("price")), deletes=rows.where(f"id % 13 = {k}").select("id"))
+    e.index("ns")
+
+
+_case("segment_tiers", _tiers, "SELECT id, cust, status, CASE WHEN id % 11 < 5 THEN (id % 11)::DOUBLE ELSE price END AS price FROM b WHERE id % 13 >= 5")
+
+
+def string_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    engine = Engine(spark, shared(spark, "namespaces"))
+    rows = spark.read.parquet(f"{sf_dir}/part.parquet").select(F.concat_ws("/", "p_brand", F.col("p_partkey")).alias("id"), "p_size")
+    engine.write("from", upsert=rows)
+    engine.write("to", copy_from="from", deletes=rows.where("p_size < 10").select("id"))
+    return engine.snapshot("to")
+
+
+QUERIES["string_ids"] = string_ids
+ORACLES["string_ids"] = "SELECT p_brand || '/' || p_partkey AS id, p_size FROM part WHERE p_size >= 10"

@@ -12,8 +12,8 @@ def ingest(engine: Engine, ns: str, stream: DataFrame, checkpoint: str, interval
     """Upsert every micro-batch of `stream` (with an `id` column) as one write.
 
     A micro-batch that is replayed after a failure is an upsert of the same rows
-    once more, which leaves the documents as they are; within one engine the
-    batch id also makes it a repeated request, which is not written again.
+    once more, which leaves the documents as they are; its batch id also makes it a
+    repeated request, which the namespace's state knows for a while, across drivers.
     `interval` None takes all there is and stops.
     """
 
@@ -27,8 +27,8 @@ def ingest(engine: Engine, ns: str, stream: DataFrame, checkpoint: str, interval
 
 def index_as_stream(engine: Engine, ns: str, checkpoint: str) -> StreamingQuery:
     """Fold what the log has gained since the last call into the base."""
-    state = engine.state(ns)
-    log = engine.spark.readStream.schema(engine.log(ns, state=state).schema).option("basePath", engine.path(ns, "log")).parquet(engine.path(ns, "log"))
+    schema = "_seq long"
+    log = engine.spark.readStream.schema(schema).option("recursiveFileLookup", "true").option("pathGlobFilter", "*.parquet").parquet(engine.path(ns, "log"))
 
     def batch(rows: DataFrame, number: int) -> None:
         engine.index(ns)
