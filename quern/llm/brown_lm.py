@@ -37,6 +37,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quern.sources.tables import read
+
 from .common import HashIndex, saved, segment_sum, texts, words
 
 EXCHANGE_WORDS, CLASSES, SWEEPS, DISCOUNT = 1536, 48, 6, 4.0
@@ -416,6 +418,6 @@ def perplexity(docs: DataFrame, model: BrownModel, classed: DataFrame | None = N
 
 
 def op4_lm_scoring(spark, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = read(spark, f"{sf_dir}/documents.parquet")
     model = fit(docs)
     return perplexity(docs, model, model.fitted)

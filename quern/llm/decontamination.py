@@ -27,6 +27,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quern.sources.tables import read
+
 from .common import WORD, HashIndex, mix, texts
 
 ERROR_RATE = 0.05
@@ -235,4 +237,4 @@ def clean(docs: DataFrame, items: DataFrame, rate: float = ERROR_RATE, limit: in
 
 
 def op8_decontamination(spark, sf_dir: str) -> DataFrame:
-    return contaminated(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return contaminated(read(spark, f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))

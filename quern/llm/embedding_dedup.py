@@ -46,6 +46,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quern.sources.tables import read
+
 from .common import drop, forest, join_groups, mix, saved
 from .groups import components
 
@@ -208,4 +210,4 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "
 
 
 def op1_embedding_dedup(spark, sf_dir: str) -> DataFrame:
-    return near_duplicates(spark.read.parquet(f"{sf_dir}/embeddings.parquet")).withColumnRenamed("id", "vec_id")
+    return near_duplicates(read(spark, f"{sf_dir}/embeddings.parquet")).withColumnRenamed("id", "vec_id")

@@ -26,6 +26,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quern.sources.tables import read
+
 from .common import span_hash, texts, word_bounds
 
 FEATURES = ("log_bytes upper symbol digit space non_ascii word_len distinct repeat stops newline pipe top_word capital log_words").split()
@@ -233,5 +235,5 @@ def kept(docs: DataFrame, model: Gam) -> DataFrame:
 
 
 def op9_quality(spark, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = read(spark, f"{sf_dir}/documents.parquet")
     return score(docs, train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))

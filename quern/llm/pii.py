@@ -32,6 +32,8 @@ import pyarrow as pa
 import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 
+from quern.sources.tables import read
+
 from .common import HashIndex, segment_sum, span_hash, texts, word_bounds
 
 _DIGIT_WORDS = {"zero": "0", "oh": "0", "one": "1", "two": "2", "three": "3", "four": "4", "five": "5", "six": "6", "seven": "7", "eight": "8", "nine": "9"}
@@ -289,4 +291,4 @@ def redacted(docs: DataFrame) -> DataFrame:
 
 
 def op3_pii(spark, sf_dir: str) -> DataFrame:
-    return deobfuscate(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return deobfuscate(read(spark, f"{sf_dir}/documents.parquet"))

@@ -25,6 +25,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from quern.sources.tables import read
+
 from .common import HashIndex, segment_sum, texts
 
 UNIT = 4096
@@ -159,5 +161,5 @@ def identify(docs: DataFrame, model: PpmModel) -> DataFrame:
 
 
 def op7_language_id(spark, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = read(spark, f"{sf_dir}/documents.parquet")
     return identify(docs, PpmModel(training_sample(docs)))

@@ -29,6 +29,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quern.sources.tables import read
+
 from .common import HashIndex, bytes_of, mix, powers, slices
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
@@ -247,4 +249,4 @@ def encode_and_decode(docs: DataFrame, model: str = MODEL) -> DataFrame:
 
 
 def op10_sentencepiece(spark, sf_dir: str) -> DataFrame:
-    return encode_and_decode(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return encode_and_decode(read(spark, f"{sf_dir}/documents.parquet"))

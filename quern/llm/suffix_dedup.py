@@ -45,6 +45,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from quern.sources.tables import read
+
 from .common import mix, powers, root, saved, texts, words
 from .groups import components
 
@@ -412,4 +414,4 @@ def passages(docs: DataFrame, least: int = MIN_WORDS, gram: int = GRAM, shard_wo
 
 
 def op6_suffix_dedup(spark, sf_dir: str) -> DataFrame:
-    return passages(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return passages(read(spark, f"{sf_dir}/documents.parquet"))

@@ -37,6 +37,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quern.sources.tables import read
+
 from .common import HashIndex, mix, ngrams, saved, texts, words
 
 #: Labelled documents read at most; toxic seeds, graph terms and clean seeds at most; least z of a term and a seed; log-odds that count as none.
@@ -306,5 +308,5 @@ def toxicity(docs: DataFrame, lexicon: Lexicon) -> DataFrame:
 
 
 def op5_toxicity(spark, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = read(spark, f"{sf_dir}/documents.parquet")
     return toxicity(docs, induce(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
