@@ -10,7 +10,14 @@ MIN_WORDS words have an equal anchor at an equal place; text without an anchor
 that occurs twice holds no repeat.  What is left are regions of documents;
 regions that share anchors, directly or through others, form families
 (connected components), and whole families are dealt to shards, so every repeat
-lies inside one shard.  Equal texts enter once.
+lies inside one shard.  Equal texts enter once, as do equal regions of a shard.
+
+A family of more than SHARD_WORDS words is not dealt as a whole: a repeated
+window of MIN_WORDS words lies around an anchor that its copies have, too, so the
+surroundings of the family's anchors are dealt by anchor, and what each shard
+covers is united.  Anchors of more than HOT_ANCHOR places are no work for one
+shard either: of their places all windows of MIN_WORDS words are hashed, and
+those of equal hash are repeats.
 
 A shard's regions, as ranks of words with separators between, are suffix-sorted
 by induction.  The left-most S suffixes are ordered by sorting their substrings
@@ -19,10 +26,12 @@ and after them S suffixes are induced through disk-backed priority queues whose
 tuples carry the first word, the time of the source, the place, and the length
 of the prefix shared with the tuple before.  That length is one more than the
 least common prefix among the sources processed in between, which a monotone
-stack of the values so far answers.  Tuples beyond HELD go to sorted runs in
-the cluster's shared folder (a few bytes a word of text and result stay in
-memory, the tuples do not).  Suffixes with a neighbour of common prefix
-MIN_WORDS or more are repeats.
+stack of the values so far answers.  Tuples beyond HELD go to sorted runs in the
+cluster's shared folder.  The text and the arrays of the sort are lists for up to
+IN_MEMORY words and pages in the shared folder beyond (`Paged`: only some pages
+are held), so a shard may exceed the memory; what stays there is an entry a
+distinct word and the stack.  Suffixes with a neighbour of common prefix MIN_WORDS
+or more are repeats.
 
 Words are lower-cased runs of letters and digits (bytes >= 0x80 included); spans
 count words from 0, half open.
@@ -42,17 +51,74 @@ from bisect import bisect_right
 
 import numpy as np
 import pyarrow as pa
+from pyarrow.fs import FileType
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quern.sources.tables import read
 
-from .common import mix, powers, root, saved, texts, words
+from .common import join_groups, mix, powers, root, saved, texts, words
 from .groups import components
 
 MIN_WORDS, GRAM = 50, 32
 #: Words of a shard, aimed at; tuples of a queue kept in memory; tuples of a block of a run; ids up to which a table is broadcast.
 SHARD_WORDS, HELD, BLOCK, BROADCAST_ROWS = 1 << 18, 1 << 16, 1 << 12, 1 << 18
+#: Words of a sort whose arrays are lists; integers of a page and pages of an array held beyond; places of an anchor that one shard takes.
+IN_MEMORY, PAGE, HELD_PAGES, HOT_ANCHOR = 1 << 21, 1 << 13, 64, 1 << 12
+
+
+def _system(folder: str):
+    """(file system, path) of a qualified folder."""
+    from pyarrow import fs
+
+    return fs.FileSystem.from_uri(folder.replace("s3a://", "s3://", 1))
+
+
+class Paged:
+    """Growing array of integers in pages on disk, of which `held` stay in memory."""
+
+    def __init__(self, folder: str, page: int = PAGE, held: int = HELD_PAGES):
+        self.system, path = _system(folder)
+        self.path, self.page, self.held, self.size = f"{path}/{uuid.uuid4().hex}", page, held, 0
+        self.system.create_dir(self.path, recursive=True)
+        self.pages: dict[int, np.ndarray] = {}
+        self.changed: set[int] = set()
+
+    def _get(self, p: int) -> np.ndarray:
+        page = self.pages.pop(p, None)
+        if page is None:
+            if p * self.page >= self.size:
+                page = np.zeros(self.page, np.int64)
+            else:
+                with self.system.open_input_stream(f"{self.path}/{p}") as f:
+                    page = np.frombuffer(f.read(), np.int64).copy()
+            if len(self.pages) >= self.held:  # the page not used for longest goes
+                old, data = next(iter(self.pages.items()))
+                del self.pages[old]
+                if old in self.changed:
+                    self.changed.discard(old)
+                    with self.system.open_output_stream(f"{self.path}/{old}") as f:
+                        f.write(data.tobytes())
+        self.pages[p] = page
+        return page
+
+    def __len__(self) -> int:
+        return self.size
+
+    def __getitem__(self, i: int) -> int:
+        return int(self._get(i // self.page)[i % self.page])
+
+    def __setitem__(self, i: int, v: int) -> None:
+        p = i // self.page
+        self._get(p)[i % self.page] = v
+        self.changed.add(p)
+
+    def append(self, v: int) -> None:
+        self[self.size] = v
+        self.size += 1
+
+    def close(self) -> None:
+        self.system.delete_dir(self.path)
 
 
 class DiskQueue:
@@ -71,9 +137,7 @@ class DiskQueue:
             self._spill()
 
     def _spill(self) -> None:
-        from pyarrow import fs
-
-        system, path = fs.FileSystem.from_uri(self.folder)
+        system, path = _system(self.folder)
         system.create_dir(path, recursive=True)
         name = f"{path}/{uuid.uuid4().hex}"
         self.heap.sort()
@@ -136,67 +200,137 @@ class _Least:
         return self.value[bisect_right(self.at, time)]
 
 
-def suffix_array(t: np.ndarray, folder: str, held: int = HELD) -> tuple[np.ndarray, np.ndarray]:
-    """Suffixes of t in order, and the common prefix of each with the one before; t ends with its only least value."""
+def _profile(t, typed, run, lms) -> None:
+    """For each place: 2 x value + whether an S suffix starts there, and the length of the run of equal values; left-most S places.  All from the last to the first, in blocks."""
+    n = len(t)
+    after, length, kind = -1, 0, True  # the value, run and type behind the block
+    for b in range(n, 0, -BLOCK):
+        a = max(b - BLOCK, 0)
+        v = np.fromiter((t[i] for i in range(a, b)), np.int64, b - a) if not isinstance(t, np.ndarray) else t[a:b].astype(np.int64)
+        end = np.flatnonzero(np.append(v[1:] != v[:-1], True))
+        end = end[np.searchsorted(end, np.arange(b - a))]
+        size = end - np.arange(b - a) + 1
+        last = end == b - a - 1
+        s = np.where(last, after > v, v[np.minimum(end + 1, b - a - 1)] > v)
+        if after == v[-1]:
+            size = size + np.where(last, length, 0)
+            s = np.where(last, kind, s)
+        if b == n:
+            s = np.where(last, True, s)
+        if b < n and kind and not s[-1]:
+            lms.append(b)
+        for i in np.flatnonzero(s[1:] & ~s[:-1])[::-1] + a + 1:
+            lms.append(int(i))
+        for x, y in zip((2 * v + s)[::-1].tolist(), size[::-1].tolist()):
+            typed.append(x)
+            run.append(y)
+        after, length, kind = int(v[0]), int(size[0]), bool(s[0])
+
+
+class _Backwards:
+    """A sequence filled from the last element to the first, read from the first."""
+
+    def __init__(self, inner):
+        self.inner, self.top = inner, len(inner) - 1
+
+    def __getitem__(self, i: int) -> int:
+        return self.inner[self.top - i]
+
+    def __len__(self) -> int:
+        return self.top + 1
+
+
+def suffix_array(t, folder: str, held: int = HELD, in_memory: int = IN_MEMORY, new=None):
+    """(suffixes of t in descending order, the common prefix of each with the next greater one); t ends with its only least value.
+
+    Both are lists, or `Paged` where t has more than in_memory values.
+    """
     n = len(t)
     if n == 1:
-        return np.zeros(1, np.int64), np.zeros(1, np.int64)
-    t = np.asarray(t, np.int64)
-    change = np.flatnonzero(np.append(t[1:] != t[:-1], True))
-    end = change[np.searchsorted(change, np.arange(n))]  # last of the run of equal values
-    run = (end - np.arange(n) + 1).tolist()
-    s_type = np.append(t[:-1], 0)
-    s_type = np.where(end + 1 < n, t[np.minimum(end + 1, n - 1)] > t, True)
-    lms = np.flatnonzero(s_type & np.append(False, ~s_type[:-1]))
-    text, stype = t.tolist(), s_type.tolist()
-    typed = (2 * t + s_type).tolist()  # of equal values, one that starts an L suffix comes before one that starts an S suffix
+        return [0], [0]
+    paged = n > in_memory
+    new = new or (lambda: Paged(folder))
+    used: list[Paged] = []
+
+    def array():
+        if not paged:
+            return []
+        used.append(new())
+        return used[-1]
+
+    if paged:
+        parts = array(), array(), array()
+        _profile(t, *parts)
+        typed, run, starts = (_Backwards(x) for x in parts)
+        text_at, s_at, cut = (lambda i: typed[i] >> 1), (lambda i: typed[i] & 1), (lambda a, b: tuple(typed[i] for i in range(a, b + 1)))
+    else:
+        t = np.asarray(t, np.int64)
+        change = np.flatnonzero(np.append(t[1:] != t[:-1], True))
+        end = change[np.searchsorted(change, np.arange(n))]  # last of the run of equal values
+        run = (end - np.arange(n) + 1).tolist()
+        s_type = np.where(end + 1 < n, t[np.minimum(end + 1, n - 1)] > t, True)
+        starts = np.flatnonzero(s_type & np.append(False, ~s_type[:-1])).tolist()
+        text, stype = t.tolist(), s_type.tolist()
+        typed = (2 * t + s_type).tolist()  # of equal values, one that starts an L suffix comes before one that starts an S suffix
+        text_at, s_at, cut = text.__getitem__, stype.__getitem__, lambda a, b: tuple(typed[a : b + 1])
+    m = len(starts)
 
     # order of the left-most S suffixes, and common prefixes of neighbours among them
-    starts = lms.tolist()
-    m = len(starts)
     queue = DiskQueue(folder, held)
-    for j, a in enumerate(starts):
-        b = starts[j + 1] if j + 1 < m else n - 1
-        queue.push((tuple(typed[a : b + 1]), j))
-    names = [0] * m
+    for j in range(m):
+        queue.push((cut(starts[j], starts[j + 1] if j + 1 < m else n - 1), j))
+    named = DiskQueue(folder, held)
     before, name = None, -1
     for _ in range(m):
         part, j = queue.pop()
         if part != before:
             name += 1
             before = part
-        names[j] = name
+        named.push((j, name))
+    names, order, common = array(), array(), array()
+    for _ in range(m):
+        names.append(named.pop()[1])
     if name + 1 < m:
-        order, common = suffix_array(np.array(names, np.int64), folder, held)
-        order, common = order.tolist(), common.tolist()
+        down, up = suffix_array(names if paged else np.array(names, np.int64), folder, held, in_memory, new)
+        for r in range(m - 1, -1, -1):
+            order.append(down[r])
+            common.append(up[r + 1] if r + 1 < m else 0)
+        for x in (down, up):
+            if isinstance(x, Paged):
+                x.close()
     else:
-        order = [0] * m
-        for j, r in enumerate(names):
-            order[r] = j
-        common = [0] * m
-    lcp_lms = [0] * m
-    for r in range(1, m):
+        by_name = DiskQueue(folder, held)
+        for j in range(m):
+            by_name.push((names[j], j))
+        for _ in range(m):
+            order.append(by_name.pop()[1])
+            common.append(0)
+    lcp_lms = array()
+    for r in range(m):
+        if not r:
+            lcp_lms.append(0)
+            continue
         x, y, k = order[r - 1], order[r], common[r]
         a, b = starts[x + k] if x + k < m else n, starts[y + k] if y + k < m else n
         length = b - starts[y]
-        while a < n and b < n and text[a] == text[b]:
+        while a < n and b < n and text_at(a) == text_at(b):
             a, b, length = a + 1, b + 1, length + 1
-        lcp_lms[r] = length
+        lcp_lms.append(length)
 
     # L suffixes, ascending
     queue, least, last = DiskQueue(folder, held), _Least(), {}
-    l_pos, l_lcp = [], []
+    l_pos, l_lcp = array(), array()
     r, time, prev_first, prev_run, prev_lms = 0, 0, -1, 0, False
     while True:
         top = queue.peek()
-        if top is not None and (r >= m or top[0] <= text[starts[order[r]]]):
+        if top is not None and (r >= m or top[0] <= text_at(starts[order[r]])):
             first, _, i, lcp = queue.pop()
             l_pos.append(i)
             l_lcp.append(lcp)
             prev_lms = False
         elif r < m:
             i = starts[order[r]]
-            first = text[i]
+            first = text_at(i)
             lcp = 0 if first != prev_first else lcp_lms[r] if prev_lms else min(prev_run, run[i])
             r += 1
             prev_lms = True
@@ -204,25 +338,25 @@ def suffix_array(t: np.ndarray, folder: str, held: int = HELD) -> tuple[np.ndarr
             break
         prev_first, prev_run = first, run[i]
         least.add(time, lcp)
-        if i and not stype[i - 1]:
-            c = text[i - 1]
+        if i and not s_at(i - 1):
+            c = text_at(i - 1)
             queue.push((c, time, i - 1, 1 + least.since(last[c]) if c in last else 0))
             last[c] = time
         time += 1
 
     # S suffixes, descending; L suffixes join in from their list
     queue, least, last = DiskQueue(folder, held), _Least(), {}
-    sa, lcps = [], []
+    sa, lcps = array(), array()
     r, time, prev_first, prev_run, prev_l = len(l_pos) - 1, 0, -1, 0, -1
     while True:
         top = queue.peek()
-        if top is not None and (r < 0 or -top[0] >= text[l_pos[r]]):
+        if top is not None and (r < 0 or -top[0] >= text_at(l_pos[r])):
             first, _, i, lcp = queue.pop()
             first = -first
             prev_l = -1
         elif r >= 0:
             i = l_pos[r]
-            first = text[i]
+            first = text_at(i)
             lcp = 0 if first != prev_first else l_lcp[prev_l] if prev_l >= 0 else min(prev_run, run[i])
             prev_l = r
             r -= 1
@@ -230,43 +364,64 @@ def suffix_array(t: np.ndarray, folder: str, held: int = HELD) -> tuple[np.ndarr
             break
         prev_first, prev_run = first, run[i]
         sa.append(i)
-        lcps.append(lcp)  # with the next greater suffix
+        lcps.append(lcp)
         least.add(time, lcp)
-        if i and stype[i - 1]:
-            c = text[i - 1]
+        if i and s_at(i - 1):
+            c = text_at(i - 1)
             queue.push((-c, time, i - 1, 1 + least.since(last[c]) if c in last else 0))
             last[c] = time
         time += 1
     sa.append(n - 1)
     lcps.append(0)
-    return np.array(sa[::-1], np.int64), np.append(0, np.array(lcps[:0:-1], np.int64) if n > 1 else [])[:n]
+    for x in used:
+        if x is not sa and x is not lcps:
+            x.close()
+    return sa, lcps
 
 
-def repeated(parts: list[np.ndarray], folder: str, least: int = MIN_WORDS, held: int = HELD) -> list[list[tuple[int, int]]]:
+def repeated(parts: list[np.ndarray], folder: str, least: int = MIN_WORDS, held: int = HELD, in_memory: int = IN_MEMORY, new=None) -> list[list[tuple[int, int]]]:
     """For each word sequence the stretches covered by sequences of `least` words or more that stand at two places of the parts."""
-    m = len(parts)
-    _, rank = np.unique(np.concatenate(parts), return_inverse=True)
-    sizes = np.array([len(p) for p in parts])
+    kinds: dict[bytes, int] = {}
+    which = [kinds.setdefault(p.tobytes(), len(kinds)) for p in parts]
+    times = np.bincount(which, minlength=len(kinds))
+    once = [np.frombuffer(k, np.uint64) for k in kinds]
+    m = len(once)
+    _, rank = np.unique(np.concatenate(once), return_inverse=True)
+    sizes = np.array([len(p) for p in once])
     ends = np.cumsum(sizes) + np.arange(m)
+    first = ends - sizes
     t = np.empty(int(sizes.sum()) + m, np.int64)
     inside = np.ones(len(t), bool)
     inside[ends] = False
     t[inside] = rank + m
     t[ends] = np.append(np.arange(1, m), 0)
-    sa, lcp = suffix_array(t, folder, held)
-    most = np.maximum(lcp, np.append(lcp[1:], 0))
-    hit = most >= least
-    grow = np.zeros(len(t) + 1, np.int64)
-    np.add.at(grow, sa[hit], 1)
-    np.add.at(grow, sa[hit] + most[hit], -1)
-    cover = np.append(False, np.cumsum(grow) > 0)
-    edge = np.flatnonzero(cover[1:] != cover[:-1])
-    first = ends - sizes
-    out: list[list[tuple[int, int]]] = [[] for _ in range(m)]
-    for a, b in zip(edge[::2].tolist(), edge[1::2].tolist()):
+    sa, up = suffix_array(t, folder, held, in_memory, new)
+    hits, below = DiskQueue(folder, held), 0
+    for k in range(len(sa)):  # up[k]: common prefix with sa[k - 1], `below`: with sa[k + 1]
+        below = up[k + 1] if k + 1 < len(sa) else 0
+        most = max(up[k], below)
+        if most >= least:
+            hits.push((sa[k], sa[k] + most))
+    found: list[list[tuple[int, int]]] = [[] for _ in range(m)]
+    start = end = -1
+
+    def put(a: int, b: int) -> None:
         k = int(np.searchsorted(ends, a, "left"))
-        out[k].append((a - int(first[k]), b - int(first[k])))
-    return out
+        found[k].append((a - int(first[k]), b - int(first[k])))
+
+    while hits.peek() is not None:
+        a, b = hits.pop()
+        if a > end:
+            if end > 0:
+                put(start, end)
+            start, end = a, b
+        end = max(end, b)
+    if end > 0:
+        put(start, end)
+    for x in (sa, up):
+        if isinstance(x, Paged):
+            x.close()
+    return [[(0, len(parts[i]))] if times[k] > 1 and len(parts[i]) >= least else found[k] for i, k in enumerate(which)]
 
 
 def _text_keys(h: np.ndarray, bounds: np.ndarray) -> np.ndarray:
@@ -300,10 +455,11 @@ def anchors(h: np.ndarray, bounds: np.ndarray, least: int, gram: int) -> tuple[n
     return at, g[at]
 
 
-def passages(docs: DataFrame, least: int = MIN_WORDS, gram: int = GRAM, shard_words: int = SHARD_WORDS, held: int = HELD) -> DataFrame:
+def passages(docs: DataFrame, least: int = MIN_WORDS, gram: int = GRAM, shard_words: int = SHARD_WORDS, held: int = HELD, hot_anchor: int = HOT_ANCHOR) -> DataFrame:
     """(doc_id, start_word, end_word) of the stretches of each document that repeated passages cover."""
     spark = docs.sparkSession
-    folder = root(spark)
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(root(spark))
+    folder = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(path).toString()
     src = docs.select(F.col("doc_id").cast("long").alias("doc"), F.lower("text").alias("text")).where("doc is not null")
 
     def mark(batches):
@@ -363,21 +519,35 @@ def passages(docs: DataFrame, least: int = MIN_WORDS, gram: int = GRAM, shard_wo
         lo = np.maximum(place[start] - slack, 0)
         hi = place[np.append(start[1:], len(place)) - 1] + least
         region = (mix(txt[start].view(np.uint64) ^ mix(lo.astype(np.uint64))) >> np.uint64(1)).view(np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(anchor), pa.array(txt), pa.array(doc), pa.array(region[of]), pa.array(lo[of].astype(np.int32)), pa.array(hi[of].astype(np.int32))], ["anchor", "txt", "doc", "region", "lo", "hi"])
+        yield pa.RecordBatch.from_arrays([pa.array(anchor), pa.array(txt), pa.array(doc), pa.array(region[of]), pa.array(lo[of].astype(np.int32)), pa.array(hi[of].astype(np.int32)), pa.array(place)], ["anchor", "txt", "doc", "region", "lo", "hi", "place"])
 
-    linked = saved(kept.where("place >= 0").repartition("txt").mapInArrow(join_up, "anchor long, txt long, doc long, region long, lo int, hi int"), "linked")
+    linked = saved(kept.where("place >= 0").repartition("txt").mapInArrow(join_up, "anchor long, txt long, doc long, region long, lo int, hi int, place int"), "linked")
     leader = F.min("region").over(Window.partitionBy("anchor"))
     links = linked.select("anchor", "region").distinct().select("region", leader.alias("leader")).where("region != leader").distinct()
     family = components(links)
     regions = linked.groupBy("region").agg(F.min("txt").alias("txt"), F.min("doc").alias("doc"), F.min("lo").alias("lo"), F.min("hi").alias("hi"))
     # a text repeated as a whole is covered as a whole: its regions matter to others, not to itself
-    regions = regions.join(family.select(F.col("node").alias("region"), "root"), "region", "left").select("doc", "txt", "lo", "hi", F.coalesce("root", "region").alias("family"))
+    regions = regions.join(family.select(F.col("node").alias("region"), "root"), "region", "left").select("region", "doc", "txt", "lo", "hi", F.coalesce("root", "region").alias("family"))
     regions = saved(regions, "regions")
-    total = regions.agg(F.sum(F.col("hi") - F.col("lo")), F.countDistinct("doc")).first()
+    words_of = F.sum(F.col("hi") - F.col("lo")).alias("words")
+    large = saved(regions.groupBy("family").agg(words_of, F.count(F.lit(1)).alias("n")).where(F.col("words") > shard_words), "large")
+    total = regions.agg(words_of, F.countDistinct("doc")).first()
     shards = max(1, -(-(total[0] or 0) // shard_words))
-    wanted = regions.groupBy("doc").agg(F.collect_list(F.struct("txt", "lo", "hi", F.pmod(F.xxhash64("family"), F.lit(shards)).cast("int").alias("shard"))).alias("r"))
+    shard = lambda c: F.pmod(F.xxhash64(c), F.lit(shards)).cast("int").alias("shard")
+    pieces = regions.select("doc", "txt", "lo", "hi", shard("family"))
+    if not large.isEmpty():
+        several = saved(join_groups(regions, large, ["family"]).select("region"), "several")
+        pieces = regions.join(several, "region", "left_anti").select("doc", "txt", "lo", "hi", shard("family"))
+        around = linked.join(several, "region", "left_semi").select("anchor", "doc", "txt", F.greatest(F.col("place") - (least - gram), F.lit(0)).alias("lo"), (F.col("place") + least).alias("hi"))
+        often = saved(around.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")), "often")
+        around = join_groups(around, often, ["anchor"])
+        # many places to a shard, but those of one anchor together; -1: all windows are hashed
+        spread = max(shards, -(-(often.agg(F.sum("n")).first()[0] or 0) * (2 * least - gram) // shard_words))
+        where = F.when(F.col("n") > hot_anchor, -1).otherwise(shards + F.pmod(F.xxhash64("anchor"), F.lit(spread)))
+        pieces = pieces.unionByName(around.select("doc", "txt", "lo", "hi", where.cast("int").alias("shard")).distinct())
+    wanted = pieces.groupBy("doc").agg(F.collect_list(F.struct("txt", "lo", "hi", "shard")).alias("r"))  # the places of one document
     wanted = wanted.select("doc", *(F.col(f"r.{c}").alias(c) for c in ("txt", "lo", "hi", "shard")))
-    if total[1] <= BROADCAST_ROWS:
+    if (total[1] or 0) <= BROADCAST_ROWS and large.isEmpty():
         wanted = F.broadcast(wanted)
 
     def cut(batches):
@@ -396,18 +566,48 @@ def passages(docs: DataFrame, least: int = MIN_WORDS, gram: int = GRAM, shard_wo
                     yield pa.RecordBatch.from_arrays([pa.array(shard, pa.int32()), pa.array(doc, pa.int64()), pa.array(txt, pa.int64()), pa.array(lo, pa.int32()), lists], ["shard", "doc", "txt", "lo", "words"])
 
     parts = src.join(wanted, "doc").select("doc", "text", "txt", "lo", "hi", "shard").mapInArrow(cut, "shard int, doc long, txt long, lo int, words array<long>")
+    if not large.isEmpty():
+        parts = saved(parts, "parts")
 
     def sort(table):
         seen = {}
         for doc, txt, lo, own in zip(table["doc"].to_pylist(), table["txt"].to_pylist(), table["lo"].to_pylist(), table["words"]):
             seen[txt, lo] = (doc, np.asarray(own.values).view(np.uint64))
         keys = sorted(seen)
-        found = repeated([seen[k][1] for k in keys], f"{folder}/suffixes-{uuid.uuid4().hex}", least, held)
+        own_folder = f"{folder}/suffixes-{uuid.uuid4().hex}"
+        found = repeated([seen[k][1] for k in keys], own_folder, least, held)
+        system, path = _system(own_folder)
+        if system.get_file_info(path).type == FileType.Directory:
+            system.delete_dir(path)
         rows = [(seen[k][0], k[0], a + k[1], b + k[1]) for k, spans in zip(keys, found) for a, b in spans]
         doc, txt, a, b = zip(*rows) if rows else ((), (), (), ())
         return pa.table({"doc_id": pa.array(doc, pa.int64()), "txt": pa.array(txt, pa.int64()), "start_word": pa.array(a, pa.int32()), "end_word": pa.array(b, pa.int32())})
 
-    spans = parts.groupBy("shard").applyInArrow(sort, "doc_id long, txt long, start_word int, end_word int")
+    span = "doc_id long, txt long, start_word int, end_word int"
+    spans = parts.where("shard >= 0").groupBy("shard").applyInArrow(sort, span)
+    if not large.isEmpty():
+
+        def windows(batches):
+            for b in batches:
+                own, size = np.asarray(b.column(4).flatten()).view(np.uint64), np.asarray(b.column(4).value_lengths()).astype(np.int64)
+                pw, ipw = powers(len(own) + 1)
+                c = np.append(np.uint64(0), np.cumsum(own * pw[: len(own)]))
+                bounds = np.append(0, np.cumsum(size))
+                n = np.maximum(size - least + 1, 0)
+                row = np.repeat(np.arange(len(size)), n)
+                at = bounds[:-1][row] + np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
+                h = (c[at + least] - c[at]) * ipw[at]
+                start = np.asarray(b.column(3))[row] + at - bounds[:-1][row]
+                yield pa.RecordBatch.from_arrays([pa.array(mix(h).view(np.int64)), b.column(1).take(pa.array(row)), b.column(2).take(pa.array(row)), pa.array(start.astype(np.int32))], ["window", "doc_id", "txt", "start_word"])
+
+        each = saved(parts.where("shard < 0").mapInArrow(windows, "window long, doc_id long, txt long, start_word int").distinct(), "windows")
+        again = each.groupBy("window").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+        spans = spans.union(join_groups(each, again, ["window"]).select("doc_id", "txt", "start_word", (F.col("start_word") + least).alias("end_word")))
+    # what shards and windows cover is united
+    by = Window.partitionBy("txt", "doc_id").orderBy("start_word", "end_word")
+    reach = F.max("end_word").over(by.rowsBetween(Window.unboundedPreceding, -1))
+    spans = spans.withColumn("fresh", F.coalesce((F.col("start_word") > reach).cast("int"), F.lit(1)))
+    spans = spans.withColumn("island", F.sum("fresh").over(by.rowsBetween(Window.unboundedPreceding, 0))).groupBy("txt", "doc_id", "island").agg(F.min("start_word").alias("start_word"), F.max("end_word").alias("end_word")).select("doc_id", "txt", "start_word", "end_word")
     whole = copies.select(F.col("txt").alias("whole")).distinct()
     spans = spans.join(whole, spans["txt"] == whole["whole"], "left_anti").select("doc_id", "start_word", "end_word")
     return spans.union(copies.select(F.col("doc").alias("doc_id"), F.lit(0).alias("start_word"), F.col("size").alias("end_word")))
