@@ -106,6 +106,8 @@ class Paged:
         return self.size
 
     def __getitem__(self, i: int) -> int:
+        if i >= self.size:
+            raise IndexError(i)
         return int(self._get(i // self.page)[i % self.page])
 
     def __setitem__(self, i: int, v: int) -> None:
