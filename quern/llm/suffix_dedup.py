@@ -48,6 +48,7 @@ import heapq
 import pickle
 import uuid
 from bisect import bisect_right
+from heapq import heappop, heappush
 
 import numpy as np
 import pyarrow as pa
@@ -136,9 +137,9 @@ class DiskQueue:
     def push(self, item) -> None:
         heapq.heappush(self.heap, item)
         if len(self.heap) > self.held:
-            self._spill()
+            self.spill()
 
-    def _spill(self) -> None:
+    def spill(self) -> None:
         system, path = _system(self.folder)
         system.create_dir(path, recursive=True)
         name = f"{path}/{uuid.uuid4().hex}"
@@ -182,26 +183,6 @@ class DiskQueue:
         return heapq.heappop(self.heap)
 
 
-class _Least:
-    """Minimum over the values from a past time to now."""
-
-    def __init__(self):
-        self.at: list[int] = []
-        self.value: list[int] = []
-
-    def add(self, time: int, v: int) -> None:
-        at, value = self.at, self.value
-        while value and value[-1] >= v:
-            at.pop()
-            value.pop()
-        at.append(time)
-        value.append(v)
-
-    def since(self, time: int) -> int:
-        """Least of the values at later times than `time`."""
-        return self.value[bisect_right(self.at, time)]
-
-
 def _profile(t, typed, run, lms) -> None:
     """For each place: 2 x value + whether an S suffix starts there, and the length of the run of equal values; left-most S places.  All from the last to the first, in blocks."""
     n = len(t)
@@ -264,7 +245,7 @@ def suffix_array(t, folder: str, held: int = HELD, in_memory: int = IN_MEMORY, n
         parts = array(), array(), array()
         _profile(t, *parts)
         typed, run, starts = (_Backwards(x) for x in parts)
-        text_at, s_at, cut = (lambda i: typed[i] >> 1), (lambda i: typed[i] & 1), (lambda a, b: tuple(typed[i] for i in range(a, b + 1)))
+        text_at, cut = (lambda i: typed[i] >> 1), (lambda a, b: tuple(typed[i] for i in range(a, b + 1)))
     else:
         t = np.asarray(t, np.int64)
         change = np.flatnonzero(np.append(t[1:] != t[:-1], True))
@@ -272,9 +253,9 @@ def suffix_array(t, folder: str, held: int = HELD, in_memory: int = IN_MEMORY, n
         run = (end - np.arange(n) + 1).tolist()
         s_type = np.where(end + 1 < n, t[np.minimum(end + 1, n - 1)] > t, True)
         starts = np.flatnonzero(s_type & np.append(False, ~s_type[:-1])).tolist()
-        text, stype = t.tolist(), s_type.tolist()
+        text = t.tolist()
         typed = (2 * t + s_type).tolist()  # of equal values, one that starts an L suffix comes before one that starts an S suffix
-        text_at, s_at, cut = text.__getitem__, stype.__getitem__, lambda a, b: tuple(typed[a : b + 1])
+        text_at, cut = text.__getitem__, lambda a, b: tuple(typed[a : b + 1])
     m = len(starts)
 
     # order of the left-most S suffixes, and common prefixes of neighbours among them
@@ -320,58 +301,100 @@ def suffix_array(t, folder: str, held: int = HELD, in_memory: int = IN_MEMORY, n
         lcp_lms.append(length)
 
     # L suffixes, ascending
-    queue, least, last = DiskQueue(folder, held), _Least(), {}
+    queue, last = DiskQueue(folder, held), {}
     l_pos, l_lcp = array(), array()
+    add_pos, add_lcp, fronts, heap = l_pos.append, l_lcp.append, queue.fronts, queue.heap
+    at, low = [], []  # times and values whose least none after them undercuts: that since a time is the first behind it
     r, time, prev_first, prev_run, prev_lms = 0, 0, -1, 0, False
+    i = starts[order[0]] if m else 0
+    wait = typed[i] >> 1 if m else n + 1  # first value of the next left-most S suffix
     while True:
-        top = queue.peek()
-        if top is not None and (r >= m or top[0] <= text_at(starts[order[r]])):
-            first, _, i, lcp = queue.pop()
-            l_pos.append(i)
-            l_lcp.append(lcp)
+        if fronts:
+            top = queue.peek()
+        else:
+            top = heap[0] if heap else None
+        if top is not None and (r >= m or top[0] <= wait):
+            first, _, j, lcp = queue.pop() if fronts else heappop(heap)
+            add_pos(j)
+            add_lcp(lcp)
             prev_lms = False
+            prev_run = run[j]
         elif r < m:
-            i = starts[order[r]]
-            first = text_at(i)
-            lcp = 0 if first != prev_first else lcp_lms[r] if prev_lms else min(prev_run, run[i])
+            j, first = i, wait
+            size = run[j]
+            lcp = 0 if first != prev_first else lcp_lms[r] if prev_lms else min(prev_run, size)
             r += 1
+            if r < m:
+                i = starts[order[r]]
+                wait = typed[i] >> 1
             prev_lms = True
+            prev_run = size
         else:
             break
-        prev_first, prev_run = first, run[i]
-        least.add(time, lcp)
-        if i and not s_at(i - 1):
-            c = text_at(i - 1)
-            queue.push((c, time, i - 1, 1 + least.since(last[c]) if c in last else 0))
-            last[c] = time
+        prev_first = first
+        while low and low[-1] >= lcp:
+            at.pop()
+            low.pop()
+        at.append(time)
+        low.append(lcp)
+        if j:
+            c = typed[j - 1]
+            if not c & 1:
+                c >>= 1
+                heappush(heap, (c, time, j - 1, 1 + low[bisect_right(at, last[c])] if c in last else 0))
+                last[c] = time
+                if len(heap) > held:
+                    queue.spill()
+                    heap = queue.heap
         time += 1
 
     # S suffixes, descending; L suffixes join in from their list
-    queue, least, last = DiskQueue(folder, held), _Least(), {}
+    queue, last = DiskQueue(folder, held), {}
     sa, lcps = array(), array()
+    add_pos, add_lcp, fronts, heap = sa.append, lcps.append, queue.fronts, queue.heap
+    at, low = [], []
     r, time, prev_first, prev_run, prev_l = len(l_pos) - 1, 0, -1, 0, -1
+    i = l_pos[r] if r >= 0 else 0
+    wait = typed[i] >> 1 if r >= 0 else -1
     while True:
-        top = queue.peek()
-        if top is not None and (r < 0 or -top[0] >= text_at(l_pos[r])):
-            first, _, i, lcp = queue.pop()
+        if fronts:
+            top = queue.peek()
+        else:
+            top = heap[0] if heap else None
+        if top is not None and (r < 0 or -top[0] >= wait):
+            first, _, j, lcp = queue.pop() if fronts else heappop(heap)
             first = -first
             prev_l = -1
+            prev_run = run[j]
         elif r >= 0:
-            i = l_pos[r]
-            first = text_at(i)
-            lcp = 0 if first != prev_first else l_lcp[prev_l] if prev_l >= 0 else min(prev_run, run[i])
+            j, first = i, wait
+            size = run[j]
+            lcp = 0 if first != prev_first else l_lcp[prev_l] if prev_l >= 0 else min(prev_run, size)
             prev_l = r
             r -= 1
+            if r >= 0:
+                i = l_pos[r]
+                wait = typed[i] >> 1
+            prev_run = size
         else:
             break
-        prev_first, prev_run = first, run[i]
-        sa.append(i)
-        lcps.append(lcp)
-        least.add(time, lcp)
-        if i and s_at(i - 1):
-            c = text_at(i - 1)
-            queue.push((-c, time, i - 1, 1 + least.since(last[c]) if c in last else 0))
-            last[c] = time
+        prev_first = first
+        add_pos(j)
+        add_lcp(lcp)
+        while low and low[-1] >= lcp:
+            at.pop()
+            low.pop()
+        at.append(time)
+        low.append(lcp)
+        if j:
+            c = typed[j - 1]
+            if c & 1:
+                c >>= 1
+                heappush(heap, (-c, time, j - 1, 1 + low[bisect_right(at, last[c])] if c in last else 0))
+                last[c] = time
+                if len(heap) > held:
+                    queue.spill()
+                    heap = queue.heap
         time += 1
     sa.append(n - 1)
     lcps.append(0)
