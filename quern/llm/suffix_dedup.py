@@ -14,7 +14,8 @@ lies inside one shard.  Equal texts enter once, as do equal regions of a shard.
 
 A family of more than SHARD_WORDS words is not dealt as a whole: a repeated
 window of MIN_WORDS words lies around an anchor that its copies have, too, so the
-surroundings of the family's anchors are dealt by anchor, and what each shard
+surroundings of the family's anchors are dealt by anchor (those of one text that
+overlap in a shard are joined, as they are one place) and what each shard
 covers is united.  Anchors of more than HOT_ANCHOR places are no work for one
 shard either: of their places all windows of MIN_WORDS words are hashed, and
 those of equal hash are repeats.
@@ -597,14 +598,25 @@ def passages(docs: DataFrame, least: int = MIN_WORDS, gram: int = GRAM, shard_wo
     def sort(table):
         seen = {}
         for doc, txt, lo, own in zip(table["doc"].to_pylist(), table["txt"].to_pylist(), table["lo"].to_pylist(), table["words"]):
-            seen[txt, lo] = (doc, np.asarray(own.values).view(np.uint64))
-        keys = sorted(seen)
+            own = np.asarray(own.values).view(np.uint64)
+            if (txt, lo) not in seen or len(own) > len(seen[txt, lo][1]):  # several anchors near a text's start have surroundings from 0
+                seen[txt, lo] = (doc, own)
+        places: list[tuple[int, int, int, list[np.ndarray], int]] = []  # (doc, text, first word, parts, end): surroundings that overlap are one place
+        for txt, lo in sorted(seen):
+            doc, own = seen[txt, lo]
+            if places and places[-1][1] == txt and lo < places[-1][4]:
+                doc, _, start, parts, end = places[-1]
+                if lo + len(own) > end:
+                    parts.append(own[end - lo :])
+                    places[-1] = (doc, txt, start, parts, lo + len(own))
+            else:
+                places.append((doc, txt, lo, [own], lo + len(own)))
         own_folder = f"{folder}/suffixes-{uuid.uuid4().hex}"
-        found = repeated([seen[k][1] for k in keys], own_folder, least, held)
+        found = repeated([np.concatenate(p[3]) for p in places], own_folder, least, held)
         system, path = _system(own_folder)
         if system.get_file_info(path).type == FileType.Directory:
             system.delete_dir(path)
-        rows = [(seen[k][0], k[0], a + k[1], b + k[1]) for k, spans in zip(keys, found) for a, b in spans]
+        rows = [(doc, txt, a + lo, b + lo) for (doc, txt, lo, _, _), spans in zip(places, found) for a, b in spans]
         doc, txt, a, b = zip(*rows) if rows else ((), (), (), ())
         return pa.table({"doc_id": pa.array(doc, pa.int64()), "txt": pa.array(txt, pa.int64()), "start_word": pa.array(a, pa.int32()), "end_word": pa.array(b, pa.int32())})
 

@@ -134,3 +134,14 @@ def test_a_passage_shared_by_all(spark):
     for hot in (1 << 12, 50):
         got = {tuple(r) for r in sd.passages(spark.createDataFrame(docs, "doc_id long, text string"), 20, 8, 500, 64, hot).collect()}
         assert got == want
+
+
+def test_overlapping_surroundings_are_one_place(spark):
+    """Anchors of one text that meet in a shard do not repeat each other; a run of one word has an anchor at every word."""
+    rng = random.Random(5)
+    licence = [f"l{rng.randrange(90)}" for _ in range(40)]
+    docs = [(d, " ".join([f"a{d}x{i}" for i in range(9)] + ["hash"] * rng.randrange(40, 90) + [f"b{d}x{i}" for i in range(9)] + licence[: rng.randrange(25, 40)])) for d in range(40)]
+    want = brute(docs, 20)
+    for hot in (1 << 12, 50):
+        got = {tuple(r) for r in sd.passages(spark.createDataFrame(docs, "doc_id long, text string"), 20, 8, 2000, 1 << 17, hot).collect()}
+        assert got == want
