@@ -1,34 +1,33 @@
-"""Set-similarity join of documents on word n-grams, by universe partitioning.
+"""Exact set-similarity join of documents on word n-grams.
 
 A document is the set of its word n-grams (lower case; fewer words than n make
-one gram; no words, the empty set, which matches nothing).  Two sets r, s with
-Jaccard >= t differ in at most H = floor((1-t)/(1+t) * (|r|+|s|)) tokens.  Sizes
-fall into bands; in band b the token universe is hashed into m segments.  If
-every segment i of r is given an allowance a_i in {-1, 0, 1} with
-sum(a_i + 1) >= H + 1, some segment has |r_i ^ s_i| <= a_i (pigeonhole): it is
-skipped at -1, compared as a whole at 0, and within one deletion at 1.  Each set
-is indexed in its own band under its whole segments and, in a fixed reserve of
-segments of every band, under their one-deletion neighbourhoods; it probes its
-own band and, where its partners may lie there, the next smaller one.
-
-Allowances are dealt by cost.  A probe of a whole segment costs one key, one of a
-neighbourhood a key and one for each of its tokens; each buys a chance that the
-segment is that near in a similar set.  Neighbourhoods that buy more a key than
-whole segments are taken first, then whole segments, largest contents first
-(larger contents are rarer), and contents known to be common to very many sets
-(found in a sample of the index, which only orders the work) last of all.
-
-With recall = 1 the sum of H + 1 is always reached, which is exact; the few sets
-for which even that cannot be are paired with all sets of a compatible size.  The
-worst case behind H + 1, every difference in a segment of its own, hardly happens
-to hashed tokens, though, and the many small segments that it asks for collide by
-chance in numbers that grow with the square of the corpus.  So production runs
-with recall < 1: m is only as large as it must be for a pair at the threshold to
-leave some segment unchanged with that probability, and each probe stops when the
-chance that all its segments differ by more than they are allowed is below
-1 - recall, or at H + 1, which is exact again.  A set with too few filled segments
-for either may then miss pairs; its pairing with all sets of a compatible size
-belongs to recall = 1.
+one gram; no words, the empty set, which matches nothing).  Production loses no
+pair: all grams have one order, grams that a sample of the documents shows to be
+common last, the others by hash.  Two sets r, s, |r| <= |s|, of Jaccard >= t have
+at least t/(1+t) * (|r|+|s|) grams in common, the first k of which stand so early
+in both that r finds them among its first |r| - ceil(2t/(1+t) * |r|) + k grams and s
+among its first |s| - ceil(t * |s|) + k.  Each set is therefore listed under these
+grams with their positions; sets of one gram meet there if their sizes allow the
+threshold and what stands behind the gram in both can still reach it.  Pairs that
+meet k times (or as often as they have grams in common at the threshold, if that is
+less) are candidates.  k grows with the smaller set, as do chance meetings.  Which grams the sample finds common alters the work, never the result.
+
+With recall < 1 (no query asks for it) sets meet in a universe partition instead,
+and pairs may be lost.  Similar sets differ in at
+most H = floor((1-t)/(1+t) * (|r|+|s|)) tokens.  Sizes fall into bands; in band b
+the token universe is hashed into m segments.  If every segment i of r is given an
+allowance a_i in {-1, 0, 1} with sum(a_i + 1) >= H + 1, some segment has
+|r_i ^ s_i| <= a_i (pigeonhole): it is skipped at -1, compared as a whole at 0,
+and within one deletion at 1.  Each set is indexed in its own band under its whole
+segments and, in a fixed reserve of segments of every band, under their
+one-deletion neighbourhoods; it probes its own band and, where its partners may
+lie there, the next smaller one.  Allowances are dealt by cost: neighbourhoods that
+buy more recall a key than whole segments first, then whole segments, largest
+contents first (larger contents are rarer), contents known to be common last of
+all.  m is only as large as it must be for a pair at the threshold to leave some
+segment unchanged with that probability, and each probe stops when the chance that
+all its segments differ by more than they are allowed is below 1 - recall, or at
+H + 1.  A set with too few filled segments for either may miss pairs.
 
 Equal sets are found first and stand under the least doc_id that has them; only
 one text of each is indexed.  Candidates are verified on the full sets, in blocks.
@@ -58,10 +57,12 @@ from quern.sources.tables import read
 from .common import HashIndex, drop, forest, join_groups, mix, ngrams, saved, texts, words
 from .groups import components
 
-N, THRESHOLD, RATIO, RECALL = 2, 0.6, 2.0, 0.995
+N, THRESHOLD, RATIO, RECALL = 2, 0.6, 2.0, 1.0
 #: Segments of a band whose neighbourhoods are indexed; sets of a bucket that meet in one task; share of the sampled index rows that makes a key common.
 RESERVE, BUCKET, COMMON, SAMPLED = 3, 2048, 1e-5, 64
-INDEX, PROBE, FORCED = 1, 2, 8
+INDEX, PROBE = 1, 2
+#: One in so many documents tells which grams are common; at least so many of them hold a common gram; at most so many grams are sent to the tasks.
+ORDERED, SEEN, RANKED = 16, 2, 1 << 20
 
 
 class Bands:
@@ -116,7 +117,7 @@ def set_keys(g: np.ndarray, doc: np.ndarray, n: int, salt: int = 0x5851F42D4C957
 
 
 def signatures(g: np.ndarray, doc: np.ndarray, size: np.ndarray, bands: Bands, common: HashIndex | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(key, document, kind) of all index and probe rows; kind FORCED marks a set that no allocation covers; common: keys that very many sets have."""
+    """(key, document, kind) of all index and probe rows; common: keys that very many sets have."""
     keys, docs, kinds = [], [], []
 
     def put(k, d, kind):
@@ -185,9 +186,6 @@ def signatures(g: np.ndarray, doc: np.ndarray, size: np.ndarray, bands: Bands, c
             nth = np.arange(len(at)) - np.searchsorted(sd[at], sd[at], "left")
             at = at[nth < (short - np.bincount(sd[wide], minlength=len(size)))[sd[at]]]
             wide[at] = True
-            lacking = short - np.bincount(sd[wide], minlength=len(size))
-            f = np.flatnonzero((lacking > 0) & use & (bands.weight == np.inf))
-            put(np.zeros(len(f), np.uint64), f, FORCED)
         put(mix(exact[wide] ^ other), sd[wide], PROBE)  # s has a token more
         part = wide[of_token]
         owner = of_token[part]
@@ -197,6 +195,32 @@ def signatures(g: np.ndarray, doc: np.ndarray, size: np.ndarray, bands: Bands, c
     return np.concatenate(keys), np.concatenate(docs), np.concatenate(kinds)
 
 
+def shared(sizes: np.ndarray, t: float) -> np.ndarray:
+    """Least number of grams in common of two sets of Jaccard >= t whose sizes have this sum."""
+    return np.ceil(t / (1 + t) * sizes * (1 - 1e-12) - 1e-9).astype(np.int64)
+
+
+def meetings(size: np.ndarray) -> np.ndarray:
+    """How often similar sets of this and a larger size meet at least, if they have so many grams in common."""
+    return 4 + size // 32
+
+
+def prefixes(g: np.ndarray, doc: np.ndarray, size: np.ndarray, t: float, common: HashIndex | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(gram, document, kind, position) of the grams under which sets are listed; INDEX: those for partners of its size or more; common: grams that go last, the commonest at the end."""
+    if common is not None:
+        rank = common.get(g)
+        late = np.flatnonzero(rank >= 0)
+        order = np.lexsort((np.arange(len(g)), np.where(rank >= 0, rank, -1), doc)) if len(late) else slice(None)
+        g = g[order]
+    start = np.cumsum(size) - size
+    at = np.arange(len(g)) - start[doc]
+    least = np.ceil(t * size * (1 - 1e-12) - 1e-9).astype(np.int64)  # a smaller partner lies in it but for the rest
+    more = meetings(size) - 1
+    use = at <= (size - least + more)[doc]
+    g, doc, at = g[use], doc[use], at[use]
+    return g, doc, np.where(at <= (size - shared(2 * size, t) + more)[doc], INDEX | PROBE, PROBE).astype(np.int8), at
+
+
 #: Sets of up to so many tokens carry a sketch: the parities of 128 hash classes of tokens, which cannot differ in more
 #: places than the sets differ in tokens.  It spares small sets, whose segments say little, most chance candidates.
 SKETCHED = 128
@@ -233,22 +257,55 @@ def _sets(docs: DataFrame, n: int) -> DataFrame:
 
 
 def _rows(docs: DataFrame, bands: Bands, n: int, common: HashIndex | None = None) -> DataFrame:
-    """Index and probe rows of docs (doc, text); half a set's hash and its size tell it from other sets under a key, and each column more costs a shuffle of its width."""
+    """Index and probe rows of docs (doc, text) in the universe partition."""
 
     def run(batches):
         for b in batches:
             ids = np.asarray(b.column(0))
             for i, j, buf, off in texts(b.column(1)):
                 g, doc = token_sets(buf, off, n)
-                h, size = set_keys(g, doc, j - i)
+                _, size = set_keys(g, doc, j - i)
                 key, d, kind = signatures(g, doc, size, bands, common)
                 sketch = parities(g, doc, size).view(np.int64)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(key.view(np.int64)), pa.array((h[d] >> np.uint64(32)).astype(np.uint32).view(np.int32)), pa.array(ids[i:j][d]), pa.array(size[d].astype(np.int32)), pa.array(kind), pa.array(sketch[0][d]), pa.array(sketch[1][d])],
-                    ["key", "set", "doc", "size", "kind", "s0", "s1"],
+                    [pa.array(key.view(np.int64)), pa.array(np.zeros(len(d), np.int32)), pa.array(ids[i:j][d]), pa.array(size[d].astype(np.int32)), pa.array(kind), pa.array(sketch[0][d]), pa.array(sketch[1][d])], _ROW
                 )
 
-    return docs.mapInArrow(run, "key long, set int, doc long, size int, kind byte, s0 long, s1 long")
+    return docs.mapInArrow(run, _ROW_SCHEMA)
+
+
+_ROW, _ROW_SCHEMA = ["key", "at", "doc", "size", "kind", "s0", "s1"], "key long, at int, doc long, size int, kind byte, s0 long, s1 long"
+
+
+def _listed(docs: DataFrame, t: float, n: int, common: HashIndex | None) -> DataFrame:
+    """Rows of docs (doc, text) under the grams of `prefixes`; sketches, which say little of all but small sets, are left 0."""
+
+    def run(batches):
+        for b in batches:
+            ids = np.asarray(b.column(0))
+            for i, j, buf, off in texts(b.column(1)):
+                g, doc = token_sets(buf, off, n)
+                size = np.bincount(doc, minlength=j - i).astype(np.int64)
+                key, d, kind, at = prefixes(g, doc, size, t, common)
+                none = pa.array(np.zeros(len(d), np.int64))
+                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(at.astype(np.int32)), pa.array(ids[i:j][d]), pa.array(size[d].astype(np.int32)), pa.array(kind), none, none], _ROW)
+
+    return docs.mapInArrow(run, _ROW_SCHEMA)
+
+
+def _ranks(docs: DataFrame, n: int) -> HashIndex | None:
+    """The commonest grams of a sample of the documents, by rising number of its documents that hold them."""
+
+    def run(batches):
+        for b in batches:
+            for _, _, buf, off in texts(b.column(1)):
+                yield pa.RecordBatch.from_arrays([pa.array(token_sets(buf, off, n)[0].view(np.int64))], ["gram"])
+
+    sample = docs.where(F.pmod(F.xxhash64("doc"), F.lit(ORDERED)) == 0).mapInArrow(run, "gram long")
+    counts = sample.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= SEEN)
+    top = counts.orderBy(F.col("n").desc(), "gram").limit(RANKED).toArrow()
+    keys = np.asarray(top["gram"].combine_chunks() if top.num_rows else np.zeros(0, np.int64))[::-1]
+    return HashIndex(keys.view(np.uint64)) if len(keys) else None
 
 
 def _common(docs: DataFrame, bands: Bands, n: int) -> HashIndex | None:
@@ -261,24 +318,30 @@ def _common(docs: DataFrame, bands: Bands, n: int) -> HashIndex | None:
     return HashIndex(np.array(keys, np.int64).view(np.uint64)) if keys else None
 
 
-MEMBER = np.dtype([("doc", np.int64), ("size", np.int32), ("flags", np.int8), ("s0", np.uint64), ("s1", np.uint64)])
+#: Sum of the meetings that make a pair a candidate.
+FULL = 240
+MEMBER = np.dtype([("doc", np.int64), ("size", np.int32), ("at", np.int32), ("flags", np.int8), ("s0", np.uint64), ("s1", np.uint64)])
 
 
 class _Members:
     """Columns of the members of buckets."""
 
     def __init__(self, who: np.ndarray):
-        self.doc, self.size, self.s0, self.s1 = (np.ascontiguousarray(who[c]) for c in ("doc", "size", "s0", "s1"))
+        self.doc, self.size, self.at, self.s0, self.s1 = (np.ascontiguousarray(who[c]) for c in ("doc", "size", "at", "s0", "s1"))
         self.probe, self.index = (who["flags"] & PROBE) > 0, (who["flags"] & INDEX) > 0
 
-    def fit(self, x: np.ndarray, y: np.ndarray, t: float) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of the candidate pairs among the pairs (x, y) of members of one bucket."""
-        lo, hi = np.minimum(self.size[x], self.size[y]), np.maximum(self.size[x], self.size[y])
-        ok = ((self.probe[x] & self.index[y]) | (self.probe[y] & self.index[x])) & (self.doc[x] != self.doc[y]) & (lo >= t * hi - 1e-9)
-        x, y, lo, hi = x[ok], y[ok], lo[ok].astype(np.int64), hi[ok].astype(np.int64)
+    def fit(self, x: np.ndarray, y: np.ndarray, t: float, exact: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of those of the pairs (x, y) of members of one bucket that can be similar, and what part of FULL the meeting is."""
+        lo, hi = np.minimum(self.size[x], self.size[y]).astype(np.int64), np.maximum(self.size[x], self.size[y]).astype(np.int64)
+        ok = ((self.probe[x] & self.index[y]) | (self.probe[y] & self.index[x])) & (self.doc[x] != self.doc[y])
+        need = shared(lo + hi, t)
+        times = np.minimum(meetings(lo), need) if exact else np.ones(len(lo), np.int64)
+        # the gram and all that follows in both; at 0 it asks for sizes that allow the threshold
+        ok &= (lo >= need) & (np.minimum(self.size[x] - self.at[x], self.size[y] - self.at[y]) > need - times)
+        x, y, lo, hi, times = x[ok], y[ok], lo[ok], hi[ok], times[ok]
         apart = np.bitwise_count(self.s0[x] ^ self.s0[y]).astype(np.int64) + np.bitwise_count(self.s1[x] ^ self.s1[y])
         ok = (hi > SKETCHED) | (apart <= np.floor((1 - t) / (1 + t) * (lo + hi) + 1e-9))
-        return self.doc[x[ok]], self.doc[y[ok]]
+        return self.doc[x[ok]], self.doc[y[ok]], -(-FULL // times[ok])
 
 
 def _spans(first: np.ndarray, last: np.ndarray, x: np.ndarray, room: int = 1 << 20):
@@ -295,59 +358,85 @@ def _spans(first: np.ndarray, last: np.ndarray, x: np.ndarray, room: int = 1 <<
 
 
 class _Found:
-    """Distinct pairs of ids, least first."""
+    """Distinct pairs of ids, least first, and their meetings, FULL at most."""
 
     def __init__(self):
         self.parts, self.held, self.room = [], 0, 4 << 20
 
-    def add(self, a: np.ndarray, b: np.ndarray) -> None:
-        p = np.empty(len(a), [("a", np.int64), ("b", np.int64)])
-        p["a"], p["b"] = np.minimum(a, b), np.maximum(a, b)
+    def add(self, a: np.ndarray, b: np.ndarray, w: np.ndarray) -> None:
+        p = np.empty(len(a), PAIR)
+        p["a"], p["b"], p["w"] = np.minimum(a, b), np.maximum(a, b), w
         self.parts.append(p)
         self.held += len(p)
         if self.held > self.room:
-            self.parts = [_distinct(np.concatenate(self.parts))]
+            self.parts = [self.pairs()]
             self.held = len(self.parts[0])
             self.room = max(self.room, 2 * self.held)
 
+    def pairs(self) -> np.ndarray:
+        p = np.concatenate(self.parts) if self.parts else np.zeros(0, PAIR)
+        p = p[np.lexsort((p["b"], p["a"]))]
+        if not len(p):
+            return p
+        first = np.flatnonzero(np.append(True, (p["a"][1:] != p["a"][:-1]) | (p["b"][1:] != p["b"][:-1])))
+        w = np.minimum(np.add.reduceat(p["w"].astype(np.int64), first), FULL)
+        p = p[first]
+        p["w"] = w
+        return p
+
     def batches(self):
-        """(a, n, bs, blk, of): the greater ids of the pairs of each lesser one."""
-        p = _distinct(np.concatenate(self.parts)) if self.parts else np.zeros(0, [("a", np.int64), ("b", np.int64)])
+        """(a, n, bs, ws, blk, of): the greater ids of the pairs of each lesser one, and their meetings."""
+        p = self.pairs()
         if not len(p):
             return
         first = np.flatnonzero(np.append(True, p["a"][1:] != p["a"][:-1]))
         ends = np.append(first[1:], len(p))
         for k in range(0, len(first), 4096):
             blobs = [pack(p["b"][i:j]) for i, j in zip(first[k : k + 4096], ends[k : k + 4096])]
+            times = [p["w"][i:j].tobytes() for i, j in zip(first[k : k + 4096], ends[k : k + 4096])]
             none = pa.array(np.zeros(len(blobs), np.int32))
-            yield pa.RecordBatch.from_arrays([pa.array(p["a"][first[k : k + 4096]]), pa.array((ends - first)[k : k + 4096].astype(np.int32)), pa.array(blobs, pa.binary()), none, none], _MET)
+            yield pa.RecordBatch.from_arrays([pa.array(p["a"][first[k : k + 4096]]), pa.array((ends - first)[k : k + 4096].astype(np.int32)), pa.array(blobs, pa.binary()), pa.array(times, pa.binary()), none, none], _MET)
+
+
+PAIR = np.dtype([("a", np.int64), ("b", np.int64), ("w", np.uint8)])
+_MET = ["a", "n", "bs", "ws", "blk", "of"]
+_MET_SCHEMA = "a long, n int, bs binary, ws binary, blk int, of int"
+_MET_TYPE = pa.schema([("a", pa.int64()), ("n", pa.int32()), ("bs", pa.binary()), ("ws", pa.binary()), ("blk", pa.int32()), ("of", pa.int32())])
 
 
-_MET = ["a", "n", "bs", "blk", "of"]
-_MET_SCHEMA = "a long, n int, bs binary, blk int, of int"
+def _near_sizes(size: np.ndarray, bucket: np.ndarray, t: float) -> np.ndarray:
+    """End of the members of each one's bucket that are not too large for it; buckets in order, sizes in order within."""
+    wide = np.int64(1 << 32)
+    return np.searchsorted(bucket * wide + size, bucket * wide + np.floor(size / t * (1 + 1e-12) + 1e-9).astype(np.int64), "right")
 
 
-def _meet(t: float, bucket: int):
-    """Within a partition of keys: pairs of different sets of which one probes a key that the other is indexed under, each once.
+def _meet(t: float, bucket: int, exact: bool):
+    """Within a partition of keys: pairs of different documents of which one probes a key that the other is indexed under, each once.
 
-    A bucket of more than bucket**2 meetings leaves in blocks (key, -1, members, number, count).
+    In exact mode it is enough that the smaller one is indexed (either, at equal sizes).
+
+    A bucket of more than bucket**2 meetings leaves in blocks (key, -1, members, nothing, number, count).
     """
 
     def run(batches):
         parts = [[np.asarray(b.column(c)) for c in range(7)] for b in batches]
         if not parts:
             return
-        key, own, doc, size, kind, s0, s1 = (np.concatenate(x) for x in zip(*parts))
+        key, at, doc, size, kind, s0, s1 = (np.concatenate(x) for x in zip(*parts))
         del parts
-        order = np.lexsort((doc, size, own, key))
-        key, own, doc, size, kind, s0, s1 = (x[order] for x in (key, own, doc, size, kind, s0, s1))
+        order = np.argsort(key)
+        again = key[order][1:] == key[order][:-1]
+        order = order[np.append(again, False) | np.append(False, again)] if len(key) else order  # others wait in vain
+        order = order[np.lexsort((s1[order], s0[order], at[order], doc[order], size[order], key[order]))]
+        key, at, doc, size, kind, s0, s1 = (x[order] for x in (key, at, doc, size, kind, s0, s1))
         if not len(key):
             return
-        head = np.flatnonzero(np.append(True, (key[1:] != key[:-1]) | (own[1:] != own[:-1]) | (size[1:] != size[:-1])))
+        new = [x[1:] != x[:-1] for x in (key, size, doc, at, s0, s1)]  # an id may have several sets
+        head = np.flatnonzero(np.append(True, np.logical_or.reduce(new)))
         who = np.empty(len(head), MEMBER)
-        who["flags"], who["doc"], who["size"], who["s0"], who["s1"] = np.bitwise_or.reduceat(kind, head), doc[head], size[head], s0[head].view(np.uint64), s1[head].view(np.uint64)
+        who["flags"], who["doc"], who["size"], who["at"], who["s0"], who["s1"] = np.bitwise_or.reduceat(kind, head), doc[head], size[head], at[head], s0[head].view(np.uint64), s1[head].view(np.uint64)
         key = key[head]
-        del own, doc, size, kind, s0, s1
+        del at, doc, size, kind, s0, s1
         start = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
         count = np.diff(np.append(start, len(key)))
         probes = np.add.reduceat(((who["flags"] & PROBE) > 0).astype(np.int64), start)
@@ -356,52 +445,40 @@ def _meet(t: float, bucket: int):
         key, who, start, count, probes = key[keep], who[keep], None, count[met], probes[met]
         if not len(key):
             return
-        order = np.lexsort(((who["flags"] & PROBE) == 0, key))  # those that probe come first
-        key, who = key[order], who[order]
         start = np.cumsum(count) - count
         large = probes * count > bucket * bucket
         for k in np.flatnonzero(large):
             m = -(-int(count[k]) // bucket)
             for i in range(m):
                 blob = who[start[k] + i * bucket : start[k] + min((i + 1) * bucket, int(count[k]))].tobytes()
-                yield pa.RecordBatch.from_arrays([pa.array(key[start[k] : start[k] + 1]), pa.array([-1], pa.int32()), pa.array([blob], pa.binary()), pa.array([i], pa.int32()), pa.array([m], pa.int32())], _MET)
+                yield pa.RecordBatch.from_arrays([pa.array(key[start[k] : start[k] + 1]), pa.array([-1], pa.int32()), pa.array([blob], pa.binary()), pa.array([b""], pa.binary()), pa.array([i], pa.int32()), pa.array([m], pa.int32())], _MET)
         members, found = _Members(who), _Found()
-        x = np.flatnonzero(members.probe & ~np.repeat(large, count))
-        for x, y in _spans(x + 1, np.repeat(start + count, count)[x], x):
-            found.add(*members.fit(x, y, t))
+        last = _near_sizes(who["size"], np.repeat(np.arange(len(count)), count), t)
+        x = np.flatnonzero((members.index | (not exact)) & ~np.repeat(large, count))
+        for x, y in _spans(x + 1, last[x], x):
+            found.add(*members.fit(x, y, t, exact))
         yield from found.batches()
 
     return run
 
 
-def _meet_blocks(t: float):
-    """Pairs of one part (two blocks, or one with itself) of a large bucket."""
+def _meet_blocks(t: float, exact: bool):
+    """Pairs of one part (two blocks, or one with itself) of a large bucket, whose members are in the order of their sizes."""
 
     def run(table):
-        blocks = [np.frombuffer(x, MEMBER) for x in table["bs"].to_pylist()]
+        numbers = np.asarray(table["blk"])
+        blocks = [np.frombuffer(table["bs"][int(k)].as_py(), MEMBER) for k in np.argsort(numbers)]
         members, found, n = _Members(np.concatenate(blocks)), _Found(), len(blocks[0])
-        if len(blocks) == 1:
-            x = np.flatnonzero(members.probe)
-            spans = [_spans(x + 1, np.full(len(x), n), x)]
-        else:
-            x, y = np.flatnonzero(members.probe[:n]), np.flatnonzero(members.probe[n:]) + n
-            still = np.flatnonzero(~members.probe[:n])  # the probes of the second block meet them, too
-            spans = [_spans(np.full(len(x), n), np.full(len(x), len(members.doc)), x)]
-            spans += [((still, np.full(len(still), j)) for j in y)]
-        for pairs in spans:
-            for x, y in pairs:
-                found.add(*members.fit(x, y, t))
+        last = _near_sizes(members.size, np.zeros(len(members.doc), np.int64), t)
+        x = np.flatnonzero((members.index | (not exact)) & (np.arange(len(members.doc)) < n))
+        for x, y in _spans(np.maximum(x + 1, n) if len(blocks) > 1 else x + 1, last[x], x):
+            found.add(*members.fit(x, y, t, exact))
         got = list(found.batches())
-        return pa.Table.from_batches(got) if got else pa.Table.from_pydict({c: [] for c in _MET}, pa.schema([("a", pa.int64()), ("n", pa.int32()), ("bs", pa.binary()), ("blk", pa.int32()), ("of", pa.int32())]))
+        return pa.Table.from_batches(got) if got else _MET_TYPE.empty_table()
 
     return run
 
 
-def _distinct(p: np.ndarray) -> np.ndarray:
-    p = p[np.lexsort((p["b"], p["a"]))]
-    return p[np.append(True, (p[1:] != p[:-1]))] if len(p) else p
-
-
 def pack(ids: np.ndarray) -> bytes:
     """Ascending ids as differences, deflated where that pays."""
     raw = np.diff(ids, prepend=0).astype("<i8").tobytes()
@@ -418,7 +495,7 @@ SIDE, BROADCAST_IDS = 1024, 1 << 20
 
 def linked(docs: DataFrame, t: float = THRESHOLD, n: int = N, recall: float = RECALL, ratio: float = RATIO, bucket: int = BUCKET) -> DataFrame:
     """(doc_id, class_id, links) of every document, as described above."""
-    bands = Bands(t, max(ratio, 1 / t), recall)
+    exact = recall >= 1
     members = saved(_sets(docs, n), "sets")
     own = ["h", "h2", "size"]
     reps = saved(members.where("size > 0").groupBy(*own).agg(F.min("doc").alias("rep"), F.count(F.lit(1)).alias("n")), "reps")
@@ -427,26 +504,30 @@ def linked(docs: DataFrame, t: float = THRESHOLD, n: int = N, recall: float = RE
     send = lambda d, count: F.broadcast(d) if count <= BROADCAST_IDS else d
     src = docs.select(F.col("doc_id").cast("long").alias("doc"), F.lower("text").alias("text")).where("doc is not null")
     one = src.join(send(copies, copies.count()), "doc", "left_anti")
-    rows = _rows(one, bands, n, _common(one, bands, n))
-    met = saved(rows.where(F.col("kind") != FORCED).repartition("key").mapInArrow(_meet(t, bucket), _MET_SCHEMA), "met")
+    if exact:
+        rows = _listed(one, t, n, _ranks(one, n))
+    else:
+        bands = Bands(t, max(ratio, 1 / t), recall)
+        rows = _rows(one, bands, n, _common(one, bands, n))
+    met = saved(rows.repartition("key").mapInArrow(_meet(t, bucket, exact), _MET_SCHEMA), "met")
     lists, large = met.where("n >= 0"), met.where("n < 0")
     if not large.isEmpty():
         i = F.col("blk")
         part = F.explode(F.transform(F.sequence(F.lit(0), F.col("of") - 1), lambda j: F.least(i, j).cast("long") * F.col("of") + F.greatest(i, j)))
-        lists = lists.union(large.withColumn("part", part).groupBy("a", "part").applyInArrow(_meet_blocks(t), _MET_SCHEMA))
+        lists = lists.union(large.withColumn("part", part).groupBy("a", "part").applyInArrow(_meet_blocks(t, exact), _MET_SCHEMA))
 
-    def spread(batches):
+    def met_enough(batches):
+        found = _Found()
         for b in batches:
-            lists = [unpack(x, k) for x, k in zip(b.column(2).to_pylist(), b.column(1).to_pylist())]
-            if lists:
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.asarray(b.column(0)), [len(x) for x in lists])), pa.array(np.concatenate(lists))], ["a", "b"])
-
-    pairs = lists.select("a", "n", "bs").mapInArrow(spread, "a long, b long")
-    if recall >= 1:
-        odd = rows.where(F.col("kind") == FORCED).select(F.col("doc").alias("one"), F.col("size").alias("odd_size")).distinct()
-        near = odd.join(reps.select("rep", "size"), (F.col("size") >= t * F.col("odd_size")) & (F.col("odd_size") >= t * F.col("size")) & (F.col("one") != F.col("rep")))
-        pairs = pairs.union(near.select(F.least("one", "rep").alias("a"), F.greatest("one", "rep").alias("b")))
-    pairs = saved(pairs.distinct(), "pairs")
+            if b.num_rows:
+                lists = [unpack(x, k) for x, k in zip(b.column(2).to_pylist(), b.column(1).to_pylist())]
+                found.add(np.repeat(np.asarray(b.column(0)), [len(x) for x in lists]), np.concatenate(lists), np.frombuffer(b"".join(b.column(3).to_pylist()), np.uint8))
+        p = found.pairs()
+        p = p[p["w"] >= FULL]
+        for k in range(0, len(p), 1 << 16):
+            yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(p[c][k : k + (1 << 16)])) for c in ("a", "b")], ["a", "b"])
+
+    pairs = saved(lists.repartition("a").mapInArrow(met_enough, "a long, b long"), "pairs")
     drop(met)
     both = pairs.union(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
     involved = both.groupBy("a").agg(F.min("b").alias("low")).join(reps.select(F.col("rep").alias("a"), "n"), "a").select(F.col("a").alias("doc"), "low", "n")

@@ -95,6 +95,55 @@ def test_production_recall(spark, bucket):
     assert sum(got.values()) >= 0.97 * sum(n for _, n in want.values()) > 100
 
 
+def small_pair(seed):
+    """Two texts of a few words of their own that differ at their ends; at these seeds segments sized for a recall of 0.995 do not meet."""
+    rng = random.Random(seed)
+    a = ["w%d" % rng.randrange(10**6) for _ in range(rng.randrange(6, 13))]
+    b = a[:]
+    for _ in range(2):
+        b[rng.choice([0, -1])] = "v%d" % rng.randrange(10**6)
+    return " ".join(a), " ".join(b)
+
+
+MISSED = [1639, 2110, 3594, 8379, 8561, 20728, 22300, 22338, 28596, 32067]
+
+
+def test_production_loses_no_link(spark):
+    docs = list(enumerate(s for seed in MISSED for s in small_pair(seed)))
+    got = {r.doc_id: (r.class_id, r.links) for r in nj.linked(frame(spark, docs)).collect()}
+    assert got == classed(docs, nj.THRESHOLD, nj.N) == {d: (d - d % 2, 1) for d, _ in docs}
+
+
+@pytest.mark.parametrize("bucket", [nj.BUCKET, 3])
+def test_production_equals_brute_force(spark, monkeypatch, bucket):
+    monkeypatch.setattr(nj, "ORDERED", 2)  # many grams are ranked
+    docs = corpus(12, 300)
+    docs += [(1000 + d, " ".join(f"c{(d * 7 + i * i) % 90}" for i in range(60 + d % 40))) for d in range(60)]
+    got = {r.doc_id: (r.class_id, r.links) for r in nj.linked(frame(spark, docs), bucket=bucket).collect()}
+    assert got == classed(docs, nj.THRESHOLD, nj.N)
+
+
+def test_similar_sets_meet_often_enough():
+    rng = np.random.default_rng(4)
+    common = nj.HashIndex(rng.permutation(400).astype(np.uint64)[:300])
+    for _ in range(3000):
+        t = rng.choice([0.5, 0.6, 0.8])
+        x = rng.permutation(400)[: rng.integers(1, 200)]
+        y = np.union1d(x[: rng.integers(1, len(x) + 1)], rng.permutation(400)[: rng.integers(0, 30)])
+        x = np.sort(x)
+        j = len(np.intersect1d(x, y)) / len(np.union1d(x, y))
+        if j < t:
+            continue
+        sets = sorted((x, y), key=len)
+        size = np.array([len(v) for v in sets])
+        g, doc, kind, at = nj.prefixes(np.concatenate(sets).astype(np.uint64), np.repeat([0, 1], size), size, t, common)
+        least = {k: p for k, d, f, p in zip(g.tolist(), doc.tolist(), kind.tolist(), at.tolist()) if d == 0 and f & nj.INDEX}
+        need = int(nj.shared(size.sum(), t))
+        times = min(int(nj.meetings(size[:1])[0]), need)
+        met = [k for k, d, p in zip(g.tolist(), doc.tolist(), at.tolist()) if d == 1 and k in least and min(size[0] - least[k], size[1] - p) > need - times]
+        assert len(met) >= times
+
+
 def test_very_long_texts_and_a_large_family(spark):
     rng = random.Random(5)
     long = [f"w{rng.randrange(9000)}" for _ in range(150_000)]
