@@ -2,6 +2,7 @@ import random
 
 import corpus_pipeline as cp
 from quern.llm.groups import components
+from test_ngram_join import MISSED, small_pair
 from test_ngram_join import brute as near
 
 
@@ -66,6 +67,14 @@ def test_repeated_and_null_rows(spark, sf_dir):
     assert cp.near_duplicates(spark, df.limit(0), sf_dir).count() == 0
 
 
+def test_near_duplicates_loses_no_link(spark, sf_dir):
+    docs = list(enumerate(s for seed in MISSED for s in small_pair(seed)))
+    df = spark.createDataFrame([(d, s, "en", "s", len(s)) for d, s in docs], "doc_id long, text string, lang string, source string, n_chars long")
+    left = [r.doc_id for r in cp.near_duplicates(spark, df, sf_dir).collect()]
+    assert sorted(left) == [d for d, _ in docs if d % 2 == 0]
+    _kept_one_of_each([d for d, _ in docs], left, near(docs, 0.6, 2))
+
+
 def test_run_saves_every_stage_but_the_last(spark, sf_dir, monkeypatch):
     tags, real = [], cp.saved
     monkeypatch.setattr(cp, "saved", lambda df, tag: (tags.append(tag), real(df, tag))[1])
