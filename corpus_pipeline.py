@@ -28,23 +28,33 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document, the one of least id, of each group linked by similar n-gram sets.
 
-    Of rows that repeat an id and its text one stays, the least by the other
-    columns; rows that repeat an id with another text stay or go with the id.
+    An id with several texts is as many documents, each compared by its own set;
+    where a group's least id has several of its texts, the one of least hash stays.
+    Of rows that repeat an id and its text one stays, the least by the other columns.
     """
     ship(spark)
-    classes = ngram_join.linked(docs)
-    gone = saved(classes.where("doc_id != class_id").select(F.col("doc_id").alias("gone_id")), "gone")
-    few = gone.count() <= BROADCAST_IDS
-    left = docs.join(F.broadcast(gone) if few else gone, docs["doc_id"] == gone["gone_id"], "left_anti")
     again = docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("times")).where("times > 1 and doc_id is not null").select(F.col("doc_id").alias("again_id"))
     again = saved(again, "again")
     if again.isEmpty():
-        return left
+        return _without(docs, "doc_id", ngram_join.linked(docs).where("doc_id != class_id").select("doc_id"))
     others = [F.col(f"`{c}`").cast("string").asc_nulls_first() for c in docs.columns if c not in ("doc_id", "text")]
-    twice = left.join(again, left["doc_id"] == again["again_id"], "left_semi")
+    twice = docs.join(again, docs["doc_id"] == again["again_id"], "left_semi")
     rank = F.row_number().over(Window.partitionBy("doc_id", "text").orderBy(*(others or [F.lit(0)])))
     one = twice.withColumn("rank of a repeated row", rank).where("`rank of a repeated row` = 1").select(docs.columns)
-    return left.join(again, left["doc_id"] == again["again_id"], "left_anti").union(one)
+    rows = docs.join(again, docs["doc_id"] == again["again_id"], "left_anti").union(one)
+    rows = saved(rows.withColumn("key_of_a_document", F.monotonically_increasing_id()), "documents")  # stands still only once written
+    named = rows.where("doc_id is not null").select(F.col("key_of_a_document").alias("key"), F.col("doc_id").alias("id"), "text")
+    classes = ngram_join.linked(named.select(F.col("key").alias("doc_id"), "text")).select(F.col("doc_id").alias("key"), "class_id")
+    members = saved(classes.join(named.select("key", "id", F.xxhash64("text").alias("h")), "key"), "members")
+    stay = members.groupBy("class_id").agg(F.min(F.struct("id", "h", "key"))["key"].alias("key"))
+    return _without(rows, "key_of_a_document", members.join(stay, "key", "left_anti").select("key")).select(docs.columns)
+
+
+def _without(docs: DataFrame, key: str, keys: DataFrame) -> DataFrame:
+    """docs but for the rows whose key is in keys, a table of one column; rows of null key stay."""
+    gone = saved(keys.toDF("gone_id"), "gone")
+    few = gone.count() <= BROADCAST_IDS
+    return docs.join(F.broadcast(gone) if few else gone, docs[key] == gone["gone_id"], "left_anti")
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

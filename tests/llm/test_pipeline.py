@@ -2,7 +2,7 @@ import random
 
 import corpus_pipeline as cp
 from quern.llm.groups import components
-from test_ngram_join import MISSED, small_pair
+from test_ngram_join import MISSED, corpus, small_pair
 from test_ngram_join import brute as near
 
 
@@ -75,6 +75,30 @@ def test_near_duplicates_loses_no_link(spark, sf_dir):
     _kept_one_of_each([d for d, _ in docs], left, near(docs, 0.6, 2))
 
 
+def test_every_text_of_a_repeated_id_is_compared(spark, sf_dir):
+    text = lambda name: " ".join(f"{name}{i}" for i in range(12))
+    rows = [(1, text("a")), (1, text("b")), (2, text("a") + " end"), (3, text("b") + " end")]  # 1 stays with both texts, 2 and 3 go
+    rows += [(5, text("c")), (5, text("d")), (4, text("c") + " end"), (6, text("d").upper())]  # of 5 only the text that 4 has goes
+    rows += [(7, text("e")), (7, text("e")), (7, text("e").upper()), (7, text("e") + " end"), (8, text("f")), (8, None), (8, None), (None, text("a")), (None, None)]
+    rows += [(100 + d % 40, s) for d, s in corpus(13, 120)]
+    df = spark.createDataFrame([(d, s, "en", "s", 0) for d, s in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    out = cp.near_duplicates(spark, df, sf_dir)
+    left = [(r.doc_id, r.text) for r in out.collect()]
+    assert out.columns == df.columns and sorted(t for d, t in left if d is None and t) == [text("a")]
+    docs = sorted({(d, s) for d, s in rows if d is not None and s is not None})
+    groups = [{k} for k in range(len(docs))]
+    for a, b, _ in near(list(enumerate(s for _, s in docs)), 0.6, 2):
+        if groups[a] is not groups[b]:
+            groups[a] |= groups[b]
+            for k in groups[b]:
+                groups[k] = groups[a]
+    assert sorted((d, s) for d, s in left if d is not None and d < 7) == [(1, text("a")), (1, text("b")), (4, text("c") + " end"), (5, text("d"))]
+    assert sum(d == 7 for d, _ in left) == 1 and sorted((d, s or "") for d, s in left if d == 8) == [(8, ""), (8, text("f"))]
+    at = {doc: min(groups[k]) for k, doc in enumerate(docs)}
+    kept = [(at[r], r[0]) for r in left if r in at]
+    assert sorted(kept) == sorted({(k, docs[k][0]) for k in at.values()})  # one of each group, of its least id
+
+
 def test_run_saves_every_stage_but_the_last(spark, sf_dir, monkeypatch):
     tags, real = [], cp.saved
     monkeypatch.setattr(cp, "saved", lambda df, tag: (tags.append(tag), real(df, tag))[1])
