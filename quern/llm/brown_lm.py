@@ -42,8 +42,8 @@ from quern.sources.tables import read
 from .common import HashIndex, saved, segment_sum, texts, words
 
 EXCHANGE_WORDS, CLASSES, SWEEPS, DISCOUNT = 1536, 48, 6, 4.0
-#: Words sent to all executors; tokens of a block of documents that joins by shuffle; neighbour counts of a shuffle partition.
-HEAD, BLOCK_TOKENS, PART_TOKENS = 1 << 18, 1 << 19, 1 << 21
+#: Words sent to all executors; tokens of a block of documents that joins by shuffle; neighbour counts of a part of the words; of a batch sent from Python.
+HEAD, BLOCK_TOKENS, PART_TOKENS, BATCH_ROWS = 1 << 18, 1 << 19, 1 << 21, 1 << 16
 UNIT = 1 << 16
 
 
@@ -185,20 +185,29 @@ def exchange(table: np.ndarray, movable: int, classes: int = CLASSES, sweeps: in
     return of
 
 
-def _neighbours(docs: DataFrame, units: Units, of: np.ndarray) -> DataFrame:
-    """(word, code, times) of all words that are not units of their own; code: the class before, or the number of classes plus the class after."""
+def _neighbours(docs: DataFrame, units: Units, of: np.ndarray, parts: int) -> DataFrame:
+    """(part, word, code, times) of all words that are not units of their own, a range of hashes a part; a row has arrays of many
+    words, as bytes: hash, the class before or the number of classes plus the class after, and times."""
     shared, k = docs.sparkSession.sparkContext.broadcast((units, of)), int(of.max()) + 1
 
-    def table(parts):
-        h, code, times = (np.concatenate(x) for x in zip(*parts))
+    def table(held):
+        h, code, times = (np.concatenate(x) for x in zip(*held))
         order = np.lexsort((code, h))
         h, code, times = h[order], code[order], times[order]
         first = np.flatnonzero(np.append(True, (h[1:] != h[:-1]) | (code[1:] != code[:-1]))) if len(h) else np.zeros(0, np.int64)
         return h[first], code[first], np.add.reduceat(times, first) if len(first) else times
 
-    def out(part):
-        h, code, times = part
-        return pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(code.astype(np.int16)), pa.array(times)], ["word", "code", "times"])
+    def out(merged):
+        h, code, times = merged
+        edges = np.searchsorted(h, np.array([(i << 64) // parts for i in range(1, parts)], np.uint64))
+        edges = np.concatenate([[0], edges, [len(h)]])
+        full = np.flatnonzero(np.diff(edges))
+        while len(full):
+            m = max(int(np.searchsorted(edges[full + 1], edges[full[0]] + BATCH_ROWS, "right")), 1)
+            cut = [slice(edges[i], edges[i + 1]) for i in full[:m]]
+            cols = [pa.array([x[c].tobytes() for c in cut], pa.binary()) for x in (h, code, times)]
+            yield pa.RecordBatch.from_arrays([pa.array(full[:m]), *cols], ["part", "word", "code", "times"])
+            full = full[m:]
 
     def count(batches):
         units, of = shared.value
@@ -212,19 +221,20 @@ def _neighbours(docs: DataFrame, units: Units, of: np.ndarray) -> DataFrame:
                 last[bounds[1:][np.diff(bounds) > 0] - 1] = True
                 follows = np.flatnonzero(rare & ~last)
                 w = np.concatenate([h[rare], h[follows]])
-                held.append((w, np.concatenate([of[before[rare]], k + of[u[np.minimum(follows + 1, len(u) - 1)]]]), np.ones(len(w), np.int64)))
+                code = np.concatenate([of[before[rare]], k + of[u[np.minimum(follows + 1, len(u) - 1)]]]).astype(np.int16)
+                held.append((w, code, np.ones(len(w), np.int64)))
                 size += len(w)
                 if size > 1 << 21:
                     held = [table(held)]
                     size = len(held[0][0])
                     if size > 1 << 20:
-                        yield out(held[0])
+                        yield from out(held[0])
                         held, size = [], 0
         if held:
-            yield out(table(held))
+            yield from out(table(held))
 
     src = docs.select(F.lower("text").alias("text")).where("text is not null")
-    return src.mapInArrow(count, "word long, code short, times long")
+    return src.mapInArrow(count, "part long, word binary, code binary, times binary")
 
 
 def nearest(left: np.ndarray, right: np.ndarray, n: np.ndarray, classes: int) -> np.ndarray:
@@ -239,22 +249,20 @@ def word_classes(docs: DataFrame, units: Units, of: np.ndarray, n: np.ndarray, c
     """(word, class, times) of all words that are not units of their own."""
     k = len(n)
 
-    def assign(batches):
-        parts = [tuple(np.asarray(b.column(i)) for i in range(3)) for b in batches if b.num_rows]
-        if not parts:
-            return
-        h, code, times = (np.concatenate(x) for x in zip(*parts))
+    def assign(part):
+        h, code, times = (np.frombuffer(b"".join(part[c].to_pylist()), t) for c, t in (("word", np.uint64), ("code", np.int16), ("times", np.int64)))
         word, at = np.unique(h, return_inverse=True)
         order = np.argsort(at, kind="stable")
         at, code, times = at[order], code[order].astype(np.int64), times[order]
+        to, seen = np.zeros(len(word), np.int16), np.zeros(len(word), np.int64)
         for i in range(0, len(word), 1 << 14):
             m = min(1 << 14, len(word) - i)
             a, b = np.searchsorted(at, [i, i + m])
             c = np.bincount((at[a:b] - i) * 2 * k + code[a:b], times[a:b], m * 2 * k).reshape(m, 2 * k)
-            to = nearest(c[:, :k], c[:, k:], n, classes)
-            yield pa.RecordBatch.from_arrays([pa.array(word[i : i + m]), pa.array(to.astype(np.int16)), pa.array(c[:, :k].sum(1).astype(np.int64))], ["word", "class", "times"])
+            to[i : i + m], seen[i : i + m] = nearest(c[:, :k], c[:, k:], n, classes), c[:, :k].sum(1)
+        return pa.table([pa.array(word.view(np.int64)), pa.array(to), pa.array(seen)], ["word", "class", "times"])
 
-    return _neighbours(docs, units, of).repartition(2 * tokens // PART_TOKENS + 4, "word").mapInArrow(assign, "word long, class short, times long")
+    return _neighbours(docs, units, of, 2 * tokens // PART_TOKENS + 4).groupBy("part").applyInArrow(assign, "word long, class short, times long")
 
 
 def _bits(p: np.ndarray) -> np.ndarray:

@@ -119,3 +119,33 @@ def test_rare_words_join_the_class_of_their_neighbours(spark):
         return int(model.of[model.units.of(c.span_hash(b, np.array([0]), np.array([len(b)])))[0]])
 
     assert {of(f"noun{i}") for i in range(8)} == {of("n1")} and {of(f"verb{i}") for i in range(8)} == {of("v1")} and of("n1") != of("v1")
+
+
+def test_rare_words_travel_packed_and_are_written_in_few_files(spark, monkeypatch):
+    docs = corpus(5, 80) + [(500 + i, f"the rare{i} v1 rare{i % 7}") for i in range(40)] + [(600, None), (601, ""), (602, "rare1")]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    want = sorted(lm.fit(df, 4, 3, 7).rest.collect())
+    monkeypatch.setattr(lm, "PART_TOKENS", 32)
+    rest = lm.fit(df, 4, 3, 7).rest
+    assert sorted(rest.collect()) == want and len(rest.inputFiles()) <= int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+    top = [w for w, _ in Counter(w for _, t in docs for w in tokens(t)).most_common(4)]
+    import quern.llm.common as c
+
+    key = lambda w: int(c.span_hash(b := np.frombuffer(w.encode(), np.uint8), np.array([0]), np.array([len(b)]))[0])
+    of, parts = np.array([0, 1, 2, 0, 3, 4]), 6
+    class_of = lambda w: int(of[top.index(w)]) if w in top else 3
+    near = Counter()
+    for _, t in docs:
+        ws = tokens(t)
+        for i, w in enumerate(ws):
+            if w not in top:
+                near[key(w), class_of(ws[i - 1]) if i else 4] += 1
+                if i + 1 < len(ws):
+                    near[key(w), 5 + class_of(ws[i + 1])] += 1
+    got, rows = Counter(), lm._neighbours(df.coalesce(1), lm.Units(np.array([key(w) for w in top], np.uint64), 1), of, parts).collect()
+    for r in rows:
+        for h, code, n in zip(np.frombuffer(r.word, np.uint64), np.frombuffer(r.code, np.int16), np.frombuffer(r.times, np.int64)):
+            assert int(h) * parts >> 64 == r.part
+            got[int(h), int(code)] += int(n)
+    assert got == near and len(rows) <= parts
