@@ -190,10 +190,14 @@ def _neighbours(docs: DataFrame, units: Units, of: np.ndarray, parts: int) -> Da
     words, as bytes: hash, the class before or the number of classes plus the class after, and times."""
     shared, k = docs.sparkSession.sparkContext.broadcast((units, of)), int(of.max()) + 1
 
-    def table(held):
+    def table(held):  # empties `held`; of each column no more than two copies are in memory at once
         h, code, times = (np.concatenate(x) for x in zip(*held))
+        held.clear()
         order = np.lexsort((code, h))
-        h, code, times = h[order], code[order], times[order]
+        h = h[order]
+        code = code[order]
+        times = times[order]
+        del order
         first = np.flatnonzero(np.append(True, (h[1:] != h[:-1]) | (code[1:] != code[:-1]))) if len(h) else np.zeros(0, np.int64)
         return h[first], code[first], np.add.reduceat(times, first) if len(first) else times
 
@@ -225,11 +229,11 @@ def _neighbours(docs: DataFrame, units: Units, of: np.ndarray, parts: int) -> Da
                 held.append((w, code, np.ones(len(w), np.int64)))
                 size += len(w)
                 if size > 1 << 21:
-                    held = [table(held)]
+                    held.append(table(held))
                     size = len(held[0][0])
                     if size > 1 << 20:
-                        yield from out(held[0])
-                        held, size = [], 0
+                        yield from out(held.pop())
+                        size = 0
         if held:
             yield from out(table(held))
 
