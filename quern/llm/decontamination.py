@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from quern.sources.tables import read
 
-from .common import WORD, HashIndex, mix, texts
+from .common import WORD, HashIndex, lean, mix, texts
 
 ERROR_RATE = 0.05
 GROUP_BYTES = 32 << 20
@@ -211,7 +211,7 @@ def contaminated(docs: DataFrame, items: DataFrame, rate: float = ERROR_RATE, li
                     kind = kind or (pa.string() if item == "string" else pa.int32() if item == "int" else pa.int64())
                     yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(rows)), pa.array(ids, kind), pa.array(dist, pa.int32())], ["doc_id", "item_id", "distance"])
 
-        part = src.mapInArrow(run, schema)
+        part = src.mapInArrow(lean(run), schema)
         out = part if out is None else out.union(part)
     if out is None:
         return spark.createDataFrame([], schema)
@@ -232,7 +232,7 @@ def clean(docs: DataFrame, items: DataFrame, rate: float = ERROR_RATE, limit: in
                 yield pa.RecordBatch.from_arrays(b.columns[:width], schema=pa.schema(list(b.schema)[:width])).filter(pa.array(keep))
 
         lowered = docs.select(*(docs[c] for c in docs.columns), F.lower("text").alias("".join(docs.columns) + "_low"))
-        docs = lowered.mapInArrow(run, schema)
+        docs = lowered.mapInArrow(lean(run), schema)
     return docs
 
 

@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from quern.sources.tables import read
 
-from .common import span_hash, texts, word_bounds
+from .common import lean, span_hash, texts, word_bounds
 
 FEATURES = ("log_bytes upper symbol digit space non_ascii word_len distinct repeat stops newline pipe top_word capital log_words").split()
 #: Bound of the training sample, bins of a feature, rounds of boosting, number of pairs.
@@ -198,7 +198,7 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Gam:
             x = _features_of(b.column(1))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), *(pa.array(c) for c in x.T)], ["doc_id", "y_", *FEATURES])
 
-    got = rows_.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, y_ double, " + ", ".join(f"{f} double" for f in FEATURES))
+    got = rows_.mapInArrow(lean(run), f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, y_ double, " + ", ".join(f"{f} double" for f in FEATURES))
     got = got.groupBy("doc_id").agg(F.min(F.struct("y_", *FEATURES)).alias("f")).select("doc_id", "f.*").toPandas()  # a row a labelled id
     got = got.sort_values(list(got.columns))
     return Gam(got[list(FEATURES)].to_numpy(float), got["y_"].to_numpy(float))
@@ -219,7 +219,7 @@ def score(docs: DataFrame, model: Gam) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(p), pa.array(p >= KEEP)], ["doc_id", "p_good", "keep"])
 
     src = docs.select("doc_id", "text")
-    return src.mapInArrow(run, f"doc_id {src.schema['doc_id'].dataType.simpleString()}, p_good double, keep boolean")
+    return src.mapInArrow(lean(run), f"doc_id {src.schema['doc_id'].dataType.simpleString()}, p_good double, keep boolean")
 
 
 def kept(docs: DataFrame, model: Gam) -> DataFrame:
@@ -231,7 +231,7 @@ def kept(docs: DataFrame, model: Gam) -> DataFrame:
         for b in batches:
             yield b.filter(pa.array(shared.value.probability(_features_of(b.column(at))) >= KEEP))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(lean(run), docs.schema)
 
 
 def op9_quality(spark, sf_dir: str) -> DataFrame:

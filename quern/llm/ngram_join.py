@@ -54,7 +54,7 @@ from pyspark.sql import functions as F
 
 from quern.sources.tables import read
 
-from .common import HashIndex, drop, forest, join_groups, mix, ngrams, saved, texts, words
+from .common import HashIndex, drop, forest, join_groups, lean, mix, ngrams, saved, texts, words
 from .groups import components
 
 N, THRESHOLD, RATIO, RECALL = 2, 0.6, 2.0, 1.0
@@ -63,6 +63,8 @@ RESERVE, BUCKET, COMMON, SAMPLED = 3, 2048, 1e-5, 64
 INDEX, PROBE = 1, 2
 #: One in so many documents tells which grams are common; at least so many of them hold a common gram; at most so many grams are sent to the tasks.
 ORDERED, SEEN, RANKED = 16, 2, 1 << 20
+#: Grams of the sets whose listed rows meet in one task, at most about; listed rows that a task packs at once.
+PART_GRAMS, PACKED_ROWS = 1 << 21, 1 << 17
 
 
 class Bands:
@@ -205,6 +207,11 @@ def meetings(size: np.ndarray) -> np.ndarray:
     return 4 + size // 32
 
 
+def indexed(size: np.ndarray, at: np.ndarray, t: float) -> np.ndarray:
+    """Whether sets of this size are listed at this position for partners of their size or more."""
+    return at <= size - shared(2 * size, t) + meetings(size) - 1
+
+
 def prefixes(g: np.ndarray, doc: np.ndarray, size: np.ndarray, t: float, common: HashIndex | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(gram, document, kind, position) of the grams under which sets are listed; INDEX: those for partners of its size or more; common: grams that go last, the commonest at the end."""
     if common is not None:
@@ -215,10 +222,9 @@ def prefixes(g: np.ndarray, doc: np.ndarray, size: np.ndarray, t: float, common:
     start = np.cumsum(size) - size
     at = np.arange(len(g)) - start[doc]
     least = np.ceil(t * size * (1 - 1e-12) - 1e-9).astype(np.int64)  # a smaller partner lies in it but for the rest
-    more = meetings(size) - 1
-    use = at <= (size - least + more)[doc]
+    use = at <= (size - least + meetings(size) - 1)[doc]
     g, doc, at = g[use], doc[use], at[use]
-    return g, doc, np.where(at <= (size - shared(2 * size, t) + more)[doc], INDEX | PROBE, PROBE).astype(np.int8), at
+    return g, doc, np.where(indexed(size[doc], at, t), INDEX | PROBE, PROBE).astype(np.int8), at
 
 
 #: Sets of up to so many tokens carry a sketch: the parities of 128 hash classes of tokens, which cannot differ in more
@@ -252,7 +258,7 @@ def _sets(docs: DataFrame, n: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), pa.array(h.view(np.int64)), pa.array((h2 >> np.uint64(32)).astype(np.uint32).view(np.int32)), pa.array(size.astype(np.int32))], ["doc", "h", "h2", "size"])
 
     src = docs.select(F.col("doc_id").cast("long").alias("doc"), F.lower("text").alias("text")).where("doc is not null")
-    sets = src.mapInArrow(run, "doc long, h long, h2 int, size int")
+    sets = src.mapInArrow(lean(run), "doc long, h long, h2 int, size int")
     return sets.groupBy("doc").agg(F.min(F.struct("h", "h2", "size")).alias("s")).select("doc", "s.*")
 
 
@@ -271,26 +277,50 @@ def _rows(docs: DataFrame, bands: Bands, n: int, common: HashIndex | None = None
                     [pa.array(key.view(np.int64)), pa.array(np.zeros(len(d), np.int32)), pa.array(ids[i:j][d]), pa.array(size[d].astype(np.int32)), pa.array(kind), pa.array(sketch[0][d]), pa.array(sketch[1][d])], _ROW
                 )
 
-    return docs.mapInArrow(run, _ROW_SCHEMA)
+    return docs.mapInArrow(lean(run), _ROW_SCHEMA)
 
 
 _ROW, _ROW_SCHEMA = ["key", "at", "doc", "size", "kind", "s0", "s1"], "key long, at int, doc long, size int, kind byte, s0 long, s1 long"
 
 
-def _listed(docs: DataFrame, t: float, n: int, common: HashIndex | None) -> DataFrame:
-    """Rows of docs (doc, text) under the grams of `prefixes`; sketches, which say little of all but small sets, are left 0."""
+def _listed(docs: DataFrame, t: float, n: int, common: HashIndex | None, parts: int) -> DataFrame:
+    """Documents of docs (doc, text) under the grams of `prefixes`, packed by parts of the grams: a row has arrays, as bytes, of grams
+    and positions, and of the documents to which these belong in turn, with their sizes and numbers of grams."""
+
+    def packed(held):
+        key, at, doc, size = (np.concatenate(x) for x in zip(*held))
+        part = ((mix(key) >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.uint16 if parts <= 1 << 16 else np.int64)
+        order = np.argsort(part, kind="stable")
+        key, at, doc, size, part = (x[order] for x in (key, at, doc, size, part))
+        run = np.flatnonzero(np.append(True, np.logical_or.reduce([x[1:] != x[:-1] for x in (part, doc, size)])))  # an id may have several sets
+        times = np.diff(np.append(run, len(key))).astype(np.int32)
+        first = np.flatnonzero(np.append(True, part[1:] != part[:-1]))
+        doc, size, part = doc[run], size[run], part[first]
+        rows, runs = np.append(first, len(key)), np.append(np.searchsorted(run, first), len(run))
+        cols = [pa.array([x[e[k] : e[k + 1]].tobytes() for k in range(len(first))], pa.binary()) for x, e in ((key, rows), (at, rows), (doc, runs), (size, runs), (times, runs))]
+        return pa.RecordBatch.from_arrays([pa.array(part.astype(np.int32)), *cols], _PACKED)
 
     def run(batches):
+        held, count = [], 0
         for b in batches:
             ids = np.asarray(b.column(0))
             for i, j, buf, off in texts(b.column(1)):
                 g, doc = token_sets(buf, off, n)
                 size = np.bincount(doc, minlength=j - i).astype(np.int64)
-                key, d, kind, at = prefixes(g, doc, size, t, common)
-                none = pa.array(np.zeros(len(d), np.int64))
-                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(at.astype(np.int32)), pa.array(ids[i:j][d]), pa.array(size[d].astype(np.int32)), pa.array(kind), none, none], _ROW)
+                key, d, _, at = prefixes(g, doc, size, t, common)
+                if len(key):
+                    held.append((key, at.astype(np.int32), ids[i:j][d], size[d].astype(np.int32)))
+                    count += len(key)
+                if count >= PACKED_ROWS:
+                    yield packed(held)
+                    held, count = [], 0
+        if held:
+            yield packed(held)
+
+    return docs.mapInArrow(lean(run), _PACKED_SCHEMA)
 
-    return docs.mapInArrow(run, _ROW_SCHEMA)
+
+_PACKED, _PACKED_SCHEMA = ["part", "key", "at", "doc", "size", "times"], "part int, key binary, at binary, doc binary, size binary, times binary"
 
 
 def _ranks(docs: DataFrame, n: int) -> HashIndex | None:
@@ -301,7 +331,7 @@ def _ranks(docs: DataFrame, n: int) -> HashIndex | None:
             for _, _, buf, off in texts(b.column(1)):
                 yield pa.RecordBatch.from_arrays([pa.array(token_sets(buf, off, n)[0].view(np.int64))], ["gram"])
 
-    sample = docs.where(F.pmod(F.xxhash64("doc"), F.lit(ORDERED)) == 0).mapInArrow(run, "gram long")
+    sample = docs.where(F.pmod(F.xxhash64("doc"), F.lit(ORDERED)) == 0).mapInArrow(lean(run), "gram long")
     counts = sample.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= SEEN)
     top = counts.orderBy(F.col("n").desc(), "gram").limit(RANKED).toArrow()
     keys = np.asarray(top["gram"].combine_chunks() if top.num_rows else np.zeros(0, np.int64))[::-1]
@@ -320,14 +350,16 @@ def _common(docs: DataFrame, bands: Bands, n: int) -> HashIndex | None:
 
 #: Sum of the meetings that make a pair a candidate.
 FULL = 240
-MEMBER = np.dtype([("doc", np.int64), ("size", np.int32), ("at", np.int32), ("flags", np.int8), ("s0", np.uint64), ("s1", np.uint64)])
+LISTED = np.dtype([("doc", np.int64), ("size", np.int32), ("at", np.int32), ("flags", np.int8)])
+MEMBER = np.dtype([*LISTED.descr, ("s0", np.uint64), ("s1", np.uint64)])
 
 
 class _Members:
-    """Columns of the members of buckets."""
+    """Columns of the members of buckets; listed ones have no sketches."""
 
     def __init__(self, who: np.ndarray):
-        self.doc, self.size, self.at, self.s0, self.s1 = (np.ascontiguousarray(who[c]) for c in ("doc", "size", "at", "s0", "s1"))
+        self.doc, self.size, self.at = (np.ascontiguousarray(who[c]) for c in ("doc", "size", "at"))
+        self.s0, self.s1 = (np.ascontiguousarray(who[c]) if c in who.dtype.names else None for c in ("s0", "s1"))
         self.probe, self.index = (who["flags"] & PROBE) > 0, (who["flags"] & INDEX) > 0
 
     def fit(self, x: np.ndarray, y: np.ndarray, t: float, exact: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -339,12 +371,14 @@ class _Members:
         # the gram and all that follows in both; at 0 it asks for sizes that allow the threshold
         ok &= (lo >= need) & (np.minimum(self.size[x] - self.at[x], self.size[y] - self.at[y]) > need - times)
         x, y, lo, hi, times = x[ok], y[ok], lo[ok], hi[ok], times[ok]
-        apart = np.bitwise_count(self.s0[x] ^ self.s0[y]).astype(np.int64) + np.bitwise_count(self.s1[x] ^ self.s1[y])
-        ok = (hi > SKETCHED) | (apart <= np.floor((1 - t) / (1 + t) * (lo + hi) + 1e-9))
-        return self.doc[x[ok]], self.doc[y[ok]], -(-FULL // times[ok])
+        if self.s0 is not None:
+            apart = np.bitwise_count(self.s0[x] ^ self.s0[y]).astype(np.int64) + np.bitwise_count(self.s1[x] ^ self.s1[y])
+            ok = (hi > SKETCHED) | (apart <= np.floor((1 - t) / (1 + t) * (lo + hi) + 1e-9))
+            x, y, times = x[ok], y[ok], times[ok]
+        return self.doc[x], self.doc[y], -(-FULL // times)
 
 
-def _spans(first: np.ndarray, last: np.ndarray, x: np.ndarray, room: int = 1 << 20):
+def _spans(first: np.ndarray, last: np.ndarray, x: np.ndarray, room: int = 1 << 18):
     """(x, y) for y in [first, last) of each x, in pieces of about `room` pairs."""
     n = np.maximum(last - first, 0)
     c = np.cumsum(n)
@@ -410,6 +444,34 @@ def _near_sizes(size: np.ndarray, bucket: np.ndarray, t: float) -> np.ndarray:
     return np.searchsorted(bucket * wide + size, bucket * wide + np.floor(size / t * (1 + 1e-12) + 1e-9).astype(np.int64), "right")
 
 
+def _accompanied(key: np.ndarray) -> np.ndarray:
+    """Places of the keys that are there more than once; others wait in vain."""
+    order = np.argsort(key)
+    again = key[order][1:] == key[order][:-1]
+    return order[np.append(again, False) | np.append(False, again)] if len(key) else order
+
+
+def _columns(batches) -> dict[str, np.ndarray]:
+    """Columns of the rows of `_rows` that share their keys."""
+    parts = [[np.asarray(b.column(c)) for c in range(7)] for b in batches]
+    x = dict(zip(_ROW, (np.concatenate(c) for c in zip(*parts)))) if parts else {"key": np.zeros(0, np.int64)}
+    del parts
+    order = _accompanied(x["key"])
+    return {c: v[order] for c, v in x.items()}
+
+
+def _unpacked(batches, t: float) -> dict[str, np.ndarray]:
+    """Columns of the rows packed by `_listed` that share their grams."""
+    held = [b for b in batches if b.num_rows]
+    column = lambda c, kind: np.frombuffer(b"".join(x.as_buffer() for b in held for x in b.column(_PACKED.index(c))), kind)
+    order = _accompanied(key := column("key", np.int64))
+    x = {"key": key[order], "at": column("at", np.int32)[order]}
+    times = column("times", np.int32)
+    of = np.repeat(np.arange(len(times), dtype=np.int32), times)[order]
+    x |= {"doc": column("doc", np.int64)[of], "size": column("size", np.int32)[of]}
+    return x | {"kind": np.where(indexed(x["size"].astype(np.int64), x["at"], t), INDEX | PROBE, PROBE).astype(np.int8)}
+
+
 def _meet(t: float, bucket: int, exact: bool):
     """Within a partition of keys: pairs of different documents of which one probes a key that the other is indexed under, each once.
 
@@ -419,24 +481,20 @@ def _meet(t: float, bucket: int, exact: bool):
     """
 
     def run(batches):
-        parts = [[np.asarray(b.column(c)) for c in range(7)] for b in batches]
-        if not parts:
-            return
-        key, at, doc, size, kind, s0, s1 = (np.concatenate(x) for x in zip(*parts))
-        del parts
-        order = np.argsort(key)
-        again = key[order][1:] == key[order][:-1]
-        order = order[np.append(again, False) | np.append(False, again)] if len(key) else order  # others wait in vain
-        order = order[np.lexsort((s1[order], s0[order], at[order], doc[order], size[order], key[order]))]
-        key, at, doc, size, kind, s0, s1 = (x[order] for x in (key, at, doc, size, kind, s0, s1))
-        if not len(key):
+        x = _unpacked(batches, t) if exact else _columns(batches)
+        if not len(x["key"]):
             return
-        new = [x[1:] != x[:-1] for x in (key, size, doc, at, s0, s1)]  # an id may have several sets
-        head = np.flatnonzero(np.append(True, np.logical_or.reduce(new)))
-        who = np.empty(len(head), MEMBER)
-        who["flags"], who["doc"], who["size"], who["at"], who["s0"], who["s1"] = np.bitwise_or.reduceat(kind, head), doc[head], size[head], at[head], s0[head].view(np.uint64), s1[head].view(np.uint64)
-        key = key[head]
-        del at, doc, size, kind, s0, s1
+        by = [c for c in ("key", "size", "doc", "at", "s0", "s1") if c in x]
+        order = np.lexsort([x[c] for c in reversed(by)])
+        x = {c: v[order] for c, v in x.items()}
+        del order
+        head = np.flatnonzero(np.append(True, np.logical_or.reduce([x[c][1:] != x[c][:-1] for c in by])))  # an id may have several sets
+        who = np.empty(len(head), LISTED if exact else MEMBER)
+        who["flags"] = np.bitwise_or.reduceat(x["kind"], head)
+        for c in by[1:]:
+            who[c] = x[c][head].astype(who.dtype[c], copy=False)
+        key = x["key"][head]
+        del x, head
         start = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
         count = np.diff(np.append(start, len(key)))
         probes = np.add.reduceat(((who["flags"] & PROBE) > 0).astype(np.int64), start)
@@ -467,7 +525,7 @@ def _meet_blocks(t: float, exact: bool):
 
     def run(table):
         numbers = np.asarray(table["blk"])
-        blocks = [np.frombuffer(table["bs"][int(k)].as_py(), MEMBER) for k in np.argsort(numbers)]
+        blocks = [np.frombuffer(table["bs"][int(k)].as_py(), LISTED if exact else MEMBER) for k in np.argsort(numbers)]
         members, found, n = _Members(np.concatenate(blocks)), _Found(), len(blocks[0])
         last = _near_sizes(members.size, np.zeros(len(members.doc), np.int64), t)
         x = np.flatnonzero((members.index | (not exact)) & (np.arange(len(members.doc)) < n))
@@ -505,11 +563,12 @@ def linked(docs: DataFrame, t: float = THRESHOLD, n: int = N, recall: float = RE
     src = docs.select(F.col("doc_id").cast("long").alias("doc"), F.lower("text").alias("text")).where("doc is not null")
     one = src.join(send(copies, copies.count()), "doc", "left_anti")
     if exact:
-        rows = _listed(one, t, n, _ranks(one, n))
+        parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), (reps.agg(F.sum("size")).first()[0] or 0) // PART_GRAMS + 1)
+        rows = _listed(one, t, n, _ranks(one, n), parts).repartitionById(parts, "part")
     else:
         bands = Bands(t, max(ratio, 1 / t), recall)
-        rows = _rows(one, bands, n, _common(one, bands, n))
-    met = saved(rows.repartition("key").mapInArrow(_meet(t, bucket, exact), _MET_SCHEMA), "met")
+        rows = _rows(one, bands, n, _common(one, bands, n)).repartition("key")
+    met = saved(rows.mapInArrow(lean(_meet(t, bucket, exact)), _MET_SCHEMA), "met")
     lists, large = met.where("n >= 0"), met.where("n < 0")
     if not large.isEmpty():
         i = F.col("blk")
@@ -527,7 +586,7 @@ def linked(docs: DataFrame, t: float = THRESHOLD, n: int = N, recall: float = RE
         for k in range(0, len(p), 1 << 16):
             yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(p[c][k : k + (1 << 16)])) for c in ("a", "b")], ["a", "b"])
 
-    pairs = saved(lists.repartition("a").mapInArrow(met_enough, "a long, b long"), "pairs")
+    pairs = saved(lists.repartition("a").mapInArrow(lean(met_enough), "a long, b long"), "pairs")
     drop(met)
     both = pairs.union(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
     involved = both.groupBy("a").agg(F.min("b").alias("low")).join(reps.select(F.col("rep").alias("a"), "n"), "a").select(F.col("a").alias("doc"), "low", "n")
@@ -551,7 +610,7 @@ def linked(docs: DataFrame, t: float = THRESHOLD, n: int = N, recall: float = RE
     blocks = pairs.join(send(left_side, count), "a").join(send(right_side, count), "b").select((F.col("side_a") * g + F.col("side_b")).alias("block"), "a", "b")
     needed = saved(blocks.select(F.col("block").alias("of"), F.explode(F.array("a", "b")).alias("doc")).distinct().join(send(involved.select("doc", "n"), count), "doc"), "needed")
     wanted = one.join(send(involved.select("doc"), count), "doc", "left_semi")
-    grams = wanted.mapInArrow(sets, "doc long, grams array<long>").join(send(needed, needed.count()), "doc")
+    grams = wanted.mapInArrow(lean(sets), "doc long, grams array<long>").join(send(needed, needed.count()), "doc")
 
     def verify(left, right):
         a, b = np.asarray(left["a"]), np.asarray(left["b"])

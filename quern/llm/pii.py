@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 
 from quern.sources.tables import read
 
-from .common import HashIndex, segment_sum, span_hash, texts, word_bounds
+from .common import HashIndex, lean, segment_sum, span_hash, texts, word_bounds
 
 _DIGIT_WORDS = {"zero": "0", "oh": "0", "one": "1", "two": "2", "three": "3", "four": "4", "five": "5", "six": "6", "seven": "7", "eight": "8", "nine": "9"}
 _LOOKS = dict(zip("АВСЕНІЈКМОРЅТХаеорсухіјѕһԁԛԝΑΒΕΖΗΙΚΜΝΟΡΤΥΧοα∙․⋅‐‑‒–—−", "ABCEHIJKMOPSTXaeopcyxijshdqwABEZHIKMNOPTYXoa...------"))
@@ -270,7 +270,7 @@ def deobfuscate(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(rows, SPANS), text], ["doc_id", "spans", "redacted"])
 
     src = docs.select("doc_id", "text")
-    return src.mapInArrow(run, f"doc_id {src.schema['doc_id'].dataType.simpleString()}, spans array<struct<start:int,end:int,kind:string>>, redacted string")
+    return src.mapInArrow(lean(run), f"doc_id {src.schema['doc_id'].dataType.simpleString()}, spans array<struct<start:int,end:int,kind:string>>, redacted string")
 
 
 def redacted(docs: DataFrame) -> DataFrame:
@@ -287,7 +287,7 @@ def redacted(docs: DataFrame) -> DataFrame:
                 cols[n] = _replaced(cols[n], {i: len(x) for i, x in new.items()})
             yield pa.RecordBatch.from_arrays(cols, schema=b.schema)
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(lean(run), docs.schema)
 
 
 def op3_pii(spark, sf_dir: str) -> DataFrame:

@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from quern.sources.tables import read
 
-from .common import HashIndex, bytes_of, mix, powers, slices
+from .common import HashIndex, bytes_of, lean, mix, powers, slices
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = 0x2581
@@ -245,7 +245,7 @@ def encode_and_decode(docs: DataFrame, model: str = MODEL) -> DataFrame:
 
     src = docs.select(F.col("doc_id"), F.col("text"))
     kind = src.schema["doc_id"].dataType.simpleString()
-    return src.mapInArrow(run, f"doc_id {kind}, n_tokens long, token_ids array<int>, decoded string")
+    return src.mapInArrow(lean(run), f"doc_id {kind}, n_tokens long, token_ids array<int>, decoded string")
 
 
 def op10_sentencepiece(spark, sf_dir: str) -> DataFrame:

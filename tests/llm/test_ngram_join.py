@@ -1,5 +1,6 @@
 import random
 import re
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -144,6 +145,35 @@ def test_similar_sets_meet_often_enough():
         assert len(met) >= times
 
 
+def test_listed_rows_travel_packed(spark):
+    docs = [(d, s) for d, s in corpus(13, 200)] + [(300, "a b c d"), (300, "a b c d e f g"), (301, ""), (302, "one")]
+    want, parts = Counter(), 5
+    for d, s in docs:
+        buf = np.frombuffer(s.encode(), np.uint8)
+        g, at = nj.token_sets(buf, np.array([0, len(buf)]), nj.N)
+        g, _, kind, at = nj.prefixes(g, at, np.array([len(g)]), nj.THRESHOLD)
+        size = len(grams(s, nj.N))
+        want.update((k, p, d, size, f) for k, p, f in zip(g.tolist(), at.tolist(), kind.tolist()))
+    rows = nj._listed(spark.createDataFrame(docs, "doc long, text string").coalesce(1), nj.THRESHOLD, nj.N, None, parts).collect()
+    assert len(rows) == len({r.part for r in rows}) == parts < sum(want.values()) / 100
+    got = Counter()
+    for r in rows:
+        key, at, doc, size, times = (np.frombuffer(r[c], t) for c, t in (("key", np.uint64), ("at", np.int32), ("doc", np.int64), ("size", np.int32), ("times", np.int32)))
+        assert ((nj.mix(key) >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32) == r.part).all()
+        doc, size = np.repeat(doc, times), np.repeat(size, times).astype(np.int64)
+        kind = np.where(nj.indexed(size, at, nj.THRESHOLD), nj.INDEX | nj.PROBE, nj.PROBE)
+        got.update(zip(key.tolist(), at.tolist(), doc.tolist(), size.tolist(), kind.tolist()))
+    assert got == want
+
+
+def test_parts_and_batches_do_not_alter_the_result(spark, monkeypatch):
+    monkeypatch.setattr(nj, "PART_GRAMS", 200)
+    monkeypatch.setattr(nj, "PACKED_ROWS", 50)
+    docs = corpus(14, 200)
+    got = {r.doc_id: (r.class_id, r.links) for r in nj.linked(frame(spark, docs)).collect()}
+    assert got == classed(docs, nj.THRESHOLD, nj.N)
+
+
 def test_very_long_texts_and_a_large_family(spark):
     rng = random.Random(5)
     long = [f"w{rng.randrange(9000)}" for _ in range(150_000)]

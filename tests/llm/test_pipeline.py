@@ -1,11 +1,28 @@
 import random
 
 import corpus_pipeline as cp
+import numpy as np
+from quern.llm.common import lean
 from quern.llm.groups import components
 from test_ngram_join import MISSED, corpus, small_pair
 from test_ngram_join import brute as near
 
 
+def test_workers_give_freed_memory_back():
+    def anon():
+        with open("/proc/self/status") as f:
+            return next(int(x.split()[1]) for x in f if x.startswith("RssAnon")) / 1024
+
+    def run(batches):
+        held = [np.ones(8000) for _ in range(2500)]  # 160 MB in pieces of the heap, the last of which stays
+        kept.append(held[-1])
+        yield from batches
+        seen.append(anon())
+
+    kept, seen = [], []
+    assert list(lean(run)(iter([1, 2]))) == [1, 2] and anon() < seen[0] - 100
+
+
 def test_components(spark):
     rng = random.Random(3)
     pairs = [(rng.randrange(60), rng.randrange(60)) for _ in range(45)] + [(100 + i, 101 + i) for i in range(20)] + [(5, 5), (None, 3), (7, 8), (7, 8)]
