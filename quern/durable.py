@@ -50,8 +50,8 @@ def _patch(e: Engine, rows: DataFrame) -> None:
 
 _case("patch_merge", _patch, "SELECT id, cust, CASE WHEN id % 7 = 0 THEN 'X' ELSE status END AS status, CASE WHEN id % 14 = 0 THEN NULL ELSE price END AS price FROM b")
 _case("delete_tombstone", lambda e, rows: e.write("ns", deletes=rows.where("id % 5 = 0").select("id")), "SELECT id, cust, status, price FROM b WHERE id % 5 <> 0")
-_case("delete_by_filter", lambda e, rows: e.write("ns", delete_by_filter=["price", "Lt", 150000]), "SELECT id, cust, status, price FROM b WHERE NOT price < 150000")
-_case("patch_by_filter", lambda e, rows: e.write("ns", patch_by_filter={"filters": ["status", "Eq", "O"], "patch": {"status": "Z", "price": None}}), "SELECT id, cust, CASE WHEN status = 'O' THEN 'Z' ELSE status END AS status, CASE WHEN status = 'O' THEN NULL ELSE price END AS price FROM b")
+_case("delete_by_filter", lambda e, rows: e.write("ns", delete_by_filter=["price", "Lt", 150000], whole=True), "SELECT id, cust, status, price FROM b WHERE NOT price < 150000")
+_case("patch_by_filter", lambda e, rows: e.write("ns", patch_by_filter={"filters": ["status", "Eq", "O"], "patch": {"status": "Z", "price": None}}, whole=True), "SELECT id, cust, CASE WHEN status = 'O' THEN 'Z' ELSE status END AS status, CASE WHEN status = 'O' THEN NULL ELSE price END AS price FROM b")
 
 
 def _cond_upsert(e: Engine, rows: DataFrame) -> None:
@@ -99,7 +99,7 @@ _case("compact_equiv", _compact, _TAIL_SQL)
 def copy_ns(spark: SparkSession, sf_dir: str) -> DataFrame:
     engine = Engine(spark, shared(spark, "namespaces"))
     engine.write("from", upsert=_orders(spark, sf_dir))
-    engine.write("from", delete_by_filter=["status", "Eq", "F"])
+    engine.write("from", delete_by_filter=["status", "Eq", "F"], whole=True)
     engine.write("to", copy_from="from", upsert=[{"id": 3, "status": "own"}])
     return engine.query("to", {"aggregate_by": {"n": ["Count"]}, "group_by": ["status"]})
 

@@ -413,8 +413,11 @@ class Engine:
     def write(self, ns: str, upsert: DataFrame | list[dict] | None = None, patch: DataFrame | list[dict] | None = None, deletes: list | DataFrame | None = None, *,
               upsert_columns: dict[str, list] | None = None, delete_by_filter: object = None, patch_by_filter: dict | None = None, upsert_condition: object = None,
               patch_condition: object = None, delete_condition: object = None, copy_from: str | None = None, schema: dict | None = None, distance_metric: str | None = None,
-              request_id: str | None = None, allow_partial: bool = False, disable_backpressure: bool = False) -> WriteResult:
-        """One atomic write. Phases: delete_by_filter, patch_by_filter, copy, upserts, patches, deletes; of two mutations of a key the later phase, then the later row, wins."""
+              request_id: str | None = None, allow_partial: bool = False, disable_backpressure: bool = False, whole: bool = False) -> WriteResult:
+        """One atomic write. Phases: delete_by_filter, patch_by_filter, copy, upserts, patches, deletes; of two mutations of a key the later phase, then the later row, wins.
+
+        A filter that matches over MOST_DELETED or MOST_PATCHED rows is refused, or with `allow_partial` applied to so many; with `whole` it is applied to all, however many.
+        """
         args = {k: v for k, v in locals().items() if k not in ("self", "ns")}
         for attempt in (0, 1):
             result = self._write(ns, **args)
@@ -432,7 +435,7 @@ class Engine:
                 out.append(e)
         return out
 
-    def _write(self, ns, upsert, patch, deletes, upsert_columns, delete_by_filter, patch_by_filter, upsert_condition, patch_condition, delete_condition, copy_from, schema, distance_metric, request_id, allow_partial, disable_backpressure):
+    def _write(self, ns, upsert, patch, deletes, upsert_columns, delete_by_filter, patch_by_filter, upsert_condition, patch_condition, delete_condition, copy_from, schema, distance_metric, request_id, allow_partial, disable_backpressure, whole):
         s = self._load(ns)
         now = time.time()
         s.requests = {k: v for k, v in s.requests.items() if now - v[0] < REPLAY_SECONDS}
@@ -465,9 +468,10 @@ class Engine:
             parts.append(df.select(F.lit(s.head + 1).cast("long").alias("_seq"), F.lit(phase).alias("_phase"), place.alias("_pos"), F.lit(op).alias("_op"), (present if present is not None else F.array().cast("array<string>")).alias("_present"), self._key(df, s), *cols))
 
         if delete_by_filter is not None and before is not None:
-            hit = before.where(compiler(before).compile(delete_by_filter)).select("id").orderBy("id")
-            result.remaining |= self._over(hit, MOST_DELETED, allow_partial)
-            add(hit.limit(MOST_DELETED), "D", 0)
+            hit = before.where(compiler(before).compile(delete_by_filter)).select("id")
+            if not whole and self._over(hit, MOST_DELETED, allow_partial):
+                hit, result.remaining = hit.orderBy("id").limit(MOST_DELETED), True
+            add(hit, "D", 0)
         if patch_by_filter is not None and before is not None:
             values = patch_by_filter["patch"]
             if "vector" in values or "id" in values:
@@ -475,9 +479,10 @@ class Engine:
             hit = before.where(compiler(before).compile(patch_by_filter["filters"]))
             if delete_by_filter is not None:
                 hit = hit.where(~F.coalesce(compiler(before).compile(delete_by_filter), F.lit(False)))
-            hit = hit.select("id").orderBy("id")
-            result.remaining |= self._over(hit, MOST_PATCHED, allow_partial)
-            add(hit.limit(MOST_PATCHED).select("id", *[F.lit(v).cast(s.schema[k]).alias(k) for k, v in values.items()]), "P", 1, F.array(*map(F.lit, values)))
+            hit = hit.select("id")
+            if not whole and self._over(hit, MOST_PATCHED, allow_partial):
+                hit, result.remaining = hit.orderBy("id").limit(MOST_PATCHED), True
+            add(hit.select("id", *[F.lit(v).cast(s.schema[k]).alias(k) for k, v in values.items()]), "P", 1, F.array(*map(F.lit, values)))
         if source is not None:
             add(source, "U", 2)
         current = before if before is not None else self.spark.createDataFrame([], self._schema(s))
