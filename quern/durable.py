@@ -68,7 +68,7 @@ _case("ref_new", lambda e, rows: e.write("ns", upsert=rows.withColumn("price", F
 def _phases(e: Engine, rows: DataFrame) -> None:
     e.write(
         "ns", delete_by_filter=["status", "Eq", "P"], patch_by_filter={"filters": ["status", "Eq", "O"], "patch": {"status": "N"}}, upsert=rows.where("status = 'P' and id % 2 = 0").withColumn("price", F.lit(0.0)),
-        patch=rows.where("id % 4 = 0").select("id", F.lit(7).cast("long").alias("cust")), deletes=rows.where("id % 8 = 0").select("id"),
+        patch=rows.where("id % 4 = 0").select("id", F.lit(7).cast("long").alias("cust")), deletes=rows.where("id % 8 = 0").select("id"), whole=True,
     )
 
 
