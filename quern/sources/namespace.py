@@ -359,8 +359,9 @@ class Engine:
             fresh = None if changes is None else fold(changes, "id", list(s.schema))
             if bottom.get("centroids"):
                 rows = self._rows(s, bottom, True)
-                centroids = np.array(json.loads(self.files.read(bottom["centroids"])))
-                index = ann.Ivf(rows if keys is None else rows.join(keys, "id", "left_anti"), centroids, s.metric or "cosine_distance", "vector", fresh, bottom["rows"])
+                fitted = json.loads(self.files.read(bottom["centroids"]))
+                centroids, radii = (np.array(fitted), None) if isinstance(fitted, list) else (np.array(fitted["centroids"]), np.array([np.inf if r is None else r for r in fitted["radii"]]))
+                index = ann.Ivf(rows if keys is None else rows.join(keys, "id", "left_anti"), centroids, s.metric or "cosine_distance", "vector", fresh, bottom["rows"], radii)
             for a, t in (bottom.get("texts") or {}).items():
                 if t["fts"] == s.fts.get(a):
                     texts[a] = text_rank.Postings(t["path"], "id", a, Fts(**s.fts[a]), t["docs"], t["length"], keys, fresh)
@@ -649,9 +650,9 @@ class Engine:
         """Write a segment; the bottom one with the indexes that the schema asks for."""
         path, out = self.path(ns, "segment", uuid.uuid4().hex), {}
         if level == 2 and "vector" in s.schema:
-            centroids, _ = ann.Ivf.write(df, path, "vector", s.metric or "cosine_distance")
+            centroids, radii, _ = ann.Ivf.write(df, path, "vector", s.metric or "cosine_distance")
             out["centroids"] = f"{path}/_centroids.json"
-            self.files.create(out["centroids"], json.dumps(centroids.tolist()))
+            self.files.create(out["centroids"], json.dumps({"centroids": centroids.tolist(), "radii": [r if np.isfinite(r) else None for r in radii.tolist()]}))
         else:
             df.write.parquet(path)
         written = self.spark.read.parquet(path)
