@@ -17,7 +17,6 @@ from dataclasses import dataclass, field
 from functools import reduce
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column, DataFrame
@@ -77,21 +76,23 @@ class Counts:
 
             return F.transform(F.array(tokens), lambda t: F.when(t.isNotNull(), measure(t)))[0]
         terms, prefixes = list(self.terms), list(self.prefixes)
-
-        def count(lists):
-            seen: dict[str, str] = {}  # distinct tokens of the batch are stemmed once
-            out = []
-            for x in lists:
-                if x is None:
-                    out.append(None)
-                    continue
-                stems = [seen[t] if t in seen else seen.setdefault(t, step(t)) for t in x]
-                n = Counter(stems)
-                out.append([len(stems), *(n[t] for t in terms), *(int(any(s.startswith(p) for s in n)) for p in prefixes)])
-            return pd.Series(out, dtype=object)
-
-        count.__annotations__ = {"lists": pd.Series, "return": pd.Series}
-        got = F.pandas_udf(count, "array<int>")(tokens)
+        # a stemmer drops leading apostrophes and changes ends, so only tokens that begin as a term does can have its stem
+        heads = sorted({x[:1].lower()[:1] for x in (*terms, *prefixes)} | {"'", "’"})
+        begins = lambda x: F.substring(F.lower(F.substring(x, 1, 1)), 1, 1).isin(*heads)
+        kept = F.transform(F.array(tokens), lambda t: F.when(t.isNotNull(), F.struct(F.size(t).alias("dl"), F.filter(t, begins).alias("kept"))))[0]
+
+        def count(docs):
+            lists = docs.field("kept")
+            doc = np.repeat(np.arange(len(docs)), np.asarray(lists.value_lengths().fill_null(0)))
+            flat = lists.flatten().dictionary_encode()  # distinct tokens of the batch are stemmed once
+            stems, code = [step(x) for x in flat.dictionary.to_pylist()], np.asarray(flat.indices)
+            found = lambda hits: np.bincount(doc[np.array(hits, bool)[code]], minlength=len(docs))
+            out = [np.asarray(docs.field("dl").fill_null(0)), *(found([s == x for s in stems]) for x in terms), *(np.minimum(found([s.startswith(x) for s in stems]), 1) for x in prefixes)]
+            values = pa.array(np.stack(out, 1).astype(np.int32).ravel())
+            return pa.ListArray.from_arrays(pa.array(np.arange(len(docs) + 1, dtype=np.int32) * len(out)), values, mask=docs.is_null())
+
+        count.__annotations__ = {"docs": pa.Array, "return": pa.Array}
+        got = F.arrow_udf(count, "array<int>")(kept)
         return F.transform(F.array(got), lambda a: F.when(a.isNotNull(), F.struct(*[a[i].alias(n) for i, n in enumerate(names)])))[0]
 
 
