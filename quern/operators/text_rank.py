@@ -12,7 +12,7 @@ With an index (`Postings`) a query reads only the postings of its terms.
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 from functools import reduce
 
@@ -29,6 +29,10 @@ from quern.functions.textproc import Fts, terms_of, tokenize
 from quern.sources.tables import spread
 
 
+#: Tokens counted at once when postings are made: what a Python worker needs does not grow with its documents.
+PART_TOKENS = 1 << 18
+
+
 class RankError(ValueError):
     """The ranking is malformed."""
 
@@ -174,15 +178,22 @@ def is_composite(rank: object) -> bool:
     return isinstance(rank, (list, tuple)) and bool(rank) and rank[0] in ("Sum", "Max", "Product")
 
 
+def parts(b: pa.RecordBatch, tokens: int = PART_TOKENS) -> Iterator[pa.RecordBatch]:
+    """Slices of a batch whose second column, of token lists, has about so many tokens each, and a document at least."""
+    ends, at = np.cumsum(np.asarray(b.column(1).value_lengths()).astype(np.int64)), 0
+    while at < b.num_rows:
+        to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + tokens, "right")))
+        yield b.slice(at, to - at)
+        at = to
+
+
 def postings(df: DataFrame, key: str, attribute: str, fts: Fts) -> DataFrame:
     """(term, key, tf, dl) of all documents with a text; one of no tokens has one row of a null term."""
     step = STEMMERS.get(fts.language) if fts.stemming else None
     src = df.select(F.col(f"`{key}`").alias("key"), tokenize(F.col(f"`{attribute}`"), fts).alias("tokens")).where("tokens is not null")
 
     def run(batches):
-        for b in batches:
-            if not b.num_rows:
-                continue
+        for b in (part for whole in batches for part in parts(whole)):
             lists = b.column(1)
             size = np.asarray(lists.value_lengths()).astype(np.int64)
             flat = lists.flatten().dictionary_encode()
