@@ -91,7 +91,7 @@ class State:
     head: int = 0
     indexed: int = 0
     segments: list = field(default_factory=list)  # oldest first: path, level, hi, rows, dead, bytes; the bottom one's vectors: centroids; texts: {attribute: path, docs, length}
-    log: dict = field(default_factory=dict)  # sequence number: path, bytes, U, P, D
+    log: dict = field(default_factory=dict)  # sequence number: path, bytes, U, P, D, once (all of one phase)
     schema: dict = field(default_factory=dict)
     key_type: str = "bigint"
     fts: dict = field(default_factory=dict)
@@ -169,10 +169,21 @@ class Files:
 
 def fold(log: DataFrame, key: str, attributes: list[str]) -> DataFrame:
     """Live rows (key, attributes) of a mutation log, in one aggregation by key."""
+    return _newest_of(log, key, attributes).where("_last = 'U'").drop("_last")
+
+
+def changed(log: DataFrame, key: str, attributes: list[str], after: int) -> DataFrame:
+    """The keys with a mutation after a sequence number, folded over all of the log: attributes, null where `_dead`; in the same one aggregation."""
+    rows = _newest_of(log, key, attributes, F.max(F.col("_seq") > after).alias("$in")).where("`$in`")
+    live = F.coalesce(F.col("_last") == "U", F.lit(False))
+    return rows.select(key, *[F.when(live, F.col(f"`{a}`")).alias(a) for a in attributes], (~live).alias("_dead"))
+
+
+def _newest_of(log: DataFrame, key: str, attributes: list[str], *more: Column) -> DataFrame:
     version = F.struct("_seq", "_phase", "_pos")
     whole = F.col("_op") != "P"
     newest = [F.max_by(F.struct(F.col(f"`{a}`").alias("v")), F.when(whole | F.array_contains("_present", a), version))["v"].alias(a) for a in attributes]
-    return log.groupBy(key).agg(F.max_by("_op", F.when(whole, version)).alias("_last"), *newest).where("_last = 'U'").drop("_last")
+    return log.groupBy(key).agg(F.max_by("_op", F.when(whole, version)).alias("_last"), *newest, *more)
 
 
 @dataclass
@@ -314,6 +325,13 @@ class Engine:
             out = out.union(self._mutations(self._rows(s, bottom).join(keys, "id", "left_semi"), s, 0))
         return out, many
 
+    def _live(self, s: State, changes: DataFrame, lowest: int = 0) -> DataFrame:
+        """The fold of changes; where these are one write's upserts alone, each key is there once and nothing is shuffled."""
+        tail = [v for k, v in s.log.items() if max(s.indexed, lowest) < int(k) <= s.head]
+        if not s.segments and len(tail) == 1 and tail[0].get("once") and tail[0]["U"]:
+            return changes.select("id", *[F.col(f"`{n}`") for n in s.schema])
+        return fold(changes, "id", list(s.schema))
+
     @staticmethod
     def _keys(changes: DataFrame, many: int) -> DataFrame:
         keys = changes.select("id")
@@ -328,7 +346,7 @@ class Engine:
         base = self._rows(s, bottom) if bottom else None
         if changes is None:
             return base if base is not None else self.spark.createDataFrame([], self._schema(s))
-        new = fold(changes, "id", list(s.schema))
+        new = self._live(s, changes, lowest)
         return new if base is None else base.join(self._keys(changes, many), "id", "left_anti").unionByName(new)
 
     def _at(self, ns: str, consistency: str | dict, state: State | None) -> tuple[State, int]:
@@ -512,7 +530,7 @@ class Engine:
         counts = {r._op: r.n for r in self.spark.read.parquet(target).groupBy("_op").agg(F.count(F.lit(1)).alias("n")).collect()}
         result.upserted, result.patched, result.deleted = (counts.get(k, 0) for k in "UPD")
         s.head += 1
-        s.log[str(s.head)] = {"path": target, "bytes": self.files.size(target), **{k: counts.get(k, 0) for k in "UPD"}}
+        s.log[str(s.head)] = {"path": target, "bytes": self.files.size(target), **{k: counts.get(k, 0) for k in "UPD"}, "once": len(parts) == 1}
         if request_id is not None:
             s.requests[request_id] = [now, asdict(result)]
         self.files.create(f"{target}/_state.json", json.dumps(asdict(s)))
@@ -526,7 +544,7 @@ class Engine:
         bottom, (changes, many) = self._bottom(s), self._changes(ns, s)
         if changes is None:
             return self._rows(s, bottom) if bottom else self.spark.createDataFrame([], self._schema(s))
-        new = fold(changes, "id", list(s.schema))
+        new = self._live(s, changes)
         return new if bottom is None else self._rows(s, bottom).join(self._keys(changes, many), "id", "left_anti").unionByName(new)
 
     @staticmethod
@@ -675,15 +693,10 @@ class Engine:
             return s.indexed
         changes, _ = self._changes(ns, s)
         if s.indexed < s.head:
-            live = fold(changes, "id", list(s.schema)) if changes is not None else None
             if not s.segments:
-                new = self._segment(ns, s, live, 2, s.head)
+                new = self._segment(ns, s, self._live(s, changes), 2, s.head)
             else:
-                many = sum(v["U"] + v["P"] + v["D"] for k, v in s.log.items() if int(k) > s.indexed)
-                keys = self.log(ns, s.indexed, s.head, s).select("id").distinct()
-                live = live.join(F.broadcast(keys) if many <= BROADCAST_KEYS else keys, "id", "left_semi")
-                both = keys.withColumnRenamed("id", "_id").join(live, F.col("_id") == F.col("id"), "left")
-                new = self._segment(ns, s, both.select(F.col("_id").alias("id"), *[F.col(f"`{n}`") for n in s.schema], F.col("id").isNull().alias("_dead")), 0, s.head)
+                new = self._segment(ns, s, changed(changes, "id", list(s.schema), s.indexed), 0, s.head)
             s.segments.append(new)
             s.indexed = s.head
         if merge:
